@@ -22,13 +22,21 @@ from pyspark.sql import functions as F
 from furrow.operators.latest import latest
 from furrow.session import cut
 
+#: How often a vote of each function is taken to be right before any data is seen.
+TRUST = {
+    "empty": [0.998, 0.998, 0.997, 0.98, 0.98],
+    "copy": [0.98, 0.98, 0.985, 0.9, 0.97],
+    "refusal": [0.985, 0.9, 0.97, 0.97],
+    "truncated": [0.985, 0.99, 0.97, 0.98, 0.97, 0.985, 0.98],
+    "language": [0.97, 0.95, 0.9, 0.96],
+}
 DEFECTS = ["empty", "copy", "refusal", "truncated", "language"]
 
 # Frequent words that tell the seven languages apart.
 LANGUAGE_WORDS = {
     "en": "the of and is are to in with that this you your my it on at be by from what which how when should can does not these there if more than use per has was were most likely damage give plant sow once after before half takes need bags tank margin costs good choice matures growers success chose next season keep people point signs advice sorry i am please would answer could will tell".split(),
     "fr": "le la les des du de et est un une pour dans sur avec que qui il elle au aux ce cette pas ne plus par en après avant si quand comment pourquoi faut jours cent près été quelle mon vous je sont ont sols lourds soit puis seconde".split(),
-    "pcm": "dey don wetin una abeg no fit sabi go wey dem am make e for comot sharp pass na im wahala vex oga abi dis dat".split(),
+    "pcm": "dey don wetin una abeg fit sabi wey dem comot wahala oga abi".split(),
     "ha": "ta ne ce kuma idan kafin bayan cikin daga yake zan nawa wa su amma don ba ko manoman kwana kowace saboda kamar shekarar garin aka da yana ƙasa irin ruwan taki kilo yaya gonar wannan abin haƙuri iya jure har".split(),
     "yo": "ni ní ti tí sí àwọn kí fi bá ń wọn lórí ọjọ́ ṣe mo mi lè jẹ́ ọdún lẹ́yìn nínú láti báwo irú máa lọ kan ọjà àpò ilẹ̀ gbó ẹ ò yìí ìdá oko omi ìlú".split(),
     "ig": "nke ka m ga ndị nwere bụ ma ụbọchị kwa mgbe ala dị si akwụkwọ ọrụ ụmụ ahụhụ ọnụ ahịa otu akpa ụdị kedu gịnị mmiri kilogram enweghị ihe maara esi eme tupu mere".split(),
@@ -52,12 +60,13 @@ REFUSAL = re.compile(
 REFUSAL_ASKED = re.compile(r"declin|refus|no advice is to be given|out of scope|not covered|not a farming question|should not be answered", re.I)
 PLACEHOLDER = re.compile(r"(?:null|none|nil|n/?a|nan|undefined|tbd|todo|empty|blank|no[ _]answer|no[ _]response|no[ _]output|answer|response|output|text|pending|placeholder|unknown|reply|content|result|insert.*here|your answer here|to be (?:added|done|completed|filled in))", re.I)
 FAILURE = re.compile(r"^\W*(?:\w*error\b|exception\b|traceback\b|fail(?:ed|ure)\b|time[d ]*out\b|http\W*[45]\d\d|[45]\d\d\b.{0,12}(?:error|unavailable|gateway)|internal server|connection (?:refused|reset|error)|service unavailable|out of memory|cuda|context window)|\b(?:connection refused|generator (?:timed out|returned nothing)|context window exceeded)", re.I)
-DANGLING = frozenset("the a an of and or to for with at in on by than as about such from into between is are be was that which if when because so du de la le les des et ou à au aux pour par avec dans sur en que qui dont sans kuma da na ta don a idan daga cikin ko sannan amma tí kí sí ní láti àti fún nke na ma ka maka wey make for and inside because pass before reach ya wa kwa katika lakini kama".split())
+DANGLING = frozenset("the a an of and or to for with at in on by than as about such from into between is are be was that which if when because so du de la le les des et ou à au aux pour par avec dans sur en que qui dont sans kuma da na ta don a idan daga cikin ko sannan amma tí kí sí ní láti àti fún nke na ma ka maka wey make for and inside because pass before reach but while whereas unless until since once after however therefore not only your their mais car puis amma saboda ṣùgbọ́n nítorí mana n'ihi lakini ya wa kwa katika lakini kama".split())
 _TOKEN = re.compile(r"[\p{L}\p{M}'’\-]+|\d+(?:[.,]\d+)*|[,;:]")
 _WORD = re.compile(r"[\p{L}\p{M}]+")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+|\n+")
 _BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
 _DECOR = re.compile(r"(?:\s*\[(?:SRC|RAW)[^\]\s]*\]|\s*\(locally known as [^()]*\))+\s*$|^\s*\*\*[^*\n]*\*\*\s*", re.I)
+_LEAD = re.compile(r"^(?:yes|no|answer|advice|a)\s*:\s*(?=\S)", re.I)
 _CODE = re.compile(r"\b[A-Z]{2,}-\d+\b")
 
 
@@ -69,7 +78,7 @@ def segments(text: str) -> list[str]:
     """Sentences and list items, without bullets, citations and headings in bold."""
     out = []
     for s in _SPLIT.split(_DECOR.sub("", text)):
-        s = _DECOR.sub("", _BULLET.sub("", s)).strip()
+        s = _LEAD.sub("", _DECOR.sub("", _BULLET.sub("", s)).strip())
         if s and not re.fullmatch(r"\*\*.*\*\*", s):
             out.append(s)
     return out
@@ -95,7 +104,7 @@ def skeleton(sentence: str) -> list[str]:
 
 def language_of(text: str) -> tuple[str | None, float]:
     """The language whose words fit best, and its lead over the next; None without evidence."""
-    low = _nfc(text).lower()
+    low = re.sub(r"\b(\w+)n't\b", r"\1 not", _nfc(text).lower())
     score = dict.fromkeys(LANGUAGE_WORDS, 0.0)
     words = _WORD.findall(low)
     for w in words:
@@ -103,10 +112,13 @@ def language_of(text: str) -> tuple[str | None, float]:
         if langs:
             for lang in langs:
                 score[lang] += 1 / len(langs)
-    score["pcm"] *= 2.5  # Pidgin keeps many English words
+    score["pcm"] *= 8  # Pidgin keeps most English words; these it does not share
     for lang, letters in LANGUAGE_LETTERS.items():
         score[lang] += 0.7 * sum(low.count(c) for c in letters)
     (best, a), (_, b) = sorted(score.items(), key=lambda x: -x[1])[:2]
+    if best == "pcm":
+        a = 1 + a / 8
+        b = min(b, a - 1)
     return (best, a - b) if a >= 1 and a > b else (None, 0.0)
 
 
@@ -129,33 +141,31 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     bare = re.sub(r"[^\p{L}\p{N}/ ]+", " ", bare).strip()
     words = _WORD.findall(plain.lower())
     e = [
-        1 if not re.search(r"[\p{L}\p{N}]", bare) else -1,
-        1 if all(PLACEHOLDER.fullmatch(x.strip()) for x in re.split(r"\s{2,}|(?<=answer) ", bare, flags=re.I) if x.strip(" /")) else -1,
-        1 if FAILURE.search(plain) and len(words) < 25 else (-1 if len(words) > 4 else 0),
+        1 if not re.search(r"[\p{L}\p{N}]", bare) else 0,
+        1 if all(PLACEHOLDER.fullmatch(x.strip()) for x in re.split(r"\s{2,}|(?<=answer) ", bare, flags=re.I) if x.strip(" /")) else 0,
+        1 if FAILURE.search(plain) and len(words) < 25 else 0,
+        -1 if len(words) > 4 and not FAILURE.search(plain) else 0,
     ]
     segs = segments(a.strip())
     # copy: what is left of the answer without the words of the question
-    qw, bag = _WORD.findall(q.lower()), {}
-    for w in qw:
-        bag[w] = bag.get(w, 0) + 1
-    extra = []
-    for w in words:
-        if bag.get(w, 0) > 0:
-            bag[w] -= 1
-        else:
-            extra.append(w)
-    same = len(words) - len(extra)
-    cover = same / max(1, len(qw))
+    qw = _WORD.findall(q.lower())
+    asked_words = set(qw)
+    extra = {w for w in words if w not in asked_words}
+    same = len(asked_words & set(words))
+    cover = same / max(1, len(asked_words))
     qn, an = " ".join(qw), " ".join(words)
+    fold = lambda x: re.sub(r"[^\p{L}\p{N}]+", "", unicodedata.normalize("NFD", x).lower())
+    fq, fa = fold(q), fold(a)
+    within = len(fq) > 10 and fq in fa and len(fa) - len(fq) <= 24
     new_digits = set(re.findall(r"\d+", a)) - set(re.findall(r"\d+", q))
     asked = bool(segs) and a.strip(" \n\"'”»*_").endswith("?")
     c = [
-        1 if qn and len(qw) > 2 and qn in an and len(extra) <= 4 else (-1 if len(extra) > 8 else 0),
+        1 if within or (qn and len(qw) > 2 and qn in an and len(extra) <= 4) else (-1 if len(extra) > 8 else 0),
         1 if cover >= 0.6 and len(extra) <= max(4, 0.35 * len(qw)) and len(qw) > 2 else (-1 if cover < 0.4 or len(extra) > 8 else 0),
         1 if asked and cover >= 0.5 and len(extra) <= 12 else 0,
         -1 if new_digits else 0,
     ]
-    r = [1 if REFUSAL.search(a) else -1, -1 if re.search(r"\d", a) and not REFUSAL.search(a) else 0]
+    r = [1 if REFUSAL.search(a) else 0, -1 if re.search(r"\d", a) and not REFUSAL.search(a) else 0]
     last = segs[-1] if segs else ""
     tail = a.strip()
     tail = _DECOR.sub("", tail).rstrip(" \"'”’)]*_")
@@ -188,17 +198,17 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
             cut_gold = 1
     t.append(cut_gold)
     return {
-        "empty": e, "copy": c, "refusal": r, "truncated": t, "language": lang, "segs": [" ".join(skeleton(s)) for s in segs], "ctx": " ".join(toks[:-1]), "last": toks[-1] if toks else "",
+        "empty": e, "copy": c, "refusal": r, "truncated": t, "language": lang, "segs": [" ".join(skeleton(s)) for s in segs], "heads": [" ".join(toks[:k]) for k in range(len(toks) - 1, max(len(toks) - 7, 2), -1)] if not stop else [], "ctx": " ".join(toks[:-1]), "last": toks[-1] if toks else "",
         "stop": stop or dots or js != 0, "asks_refusal": bool(REFUSAL_ASKED.search(g)),
     }
 
 
-_FEATURES = "id string, empty array<tinyint>, copy array<tinyint>, refusal array<tinyint>, truncated array<tinyint>, language array<tinyint>, segs array<string>, ctx string, last string, stop boolean, asks_refusal boolean"
+_FEATURES = "id string, empty array<tinyint>, copy array<tinyint>, refusal array<tinyint>, truncated array<tinyint>, language array<tinyint>, segs array<string>, heads array<string>, ctx string, last string, stop boolean, asks_refusal boolean"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), *[pa.list_(pa.int8())] * 5, pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-    names = ["id", *["empty", "copy", "refusal", "truncated", "language"], "segs", "ctx", "last", "stop", "asks_refusal"]
+    kinds = [pa.string(), *[pa.list_(pa.int8())] * 5, pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+    names = ["id", *["empty", "copy", "refusal", "truncated", "language"], "segs", "heads", "ctx", "last", "stop", "asks_refusal"]
     for batch in batches:
         rows = [{"id": i} | votes(q, a, g) for i, q, a, g in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
@@ -210,37 +220,33 @@ def _gold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["skel"])
 
 
-def fit_labels(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, strength: float = 20.0, trust: float = 0.9) -> dict[tuple[int, ...], float]:
+def fit_labels(patterns: list[tuple[tuple[int, ...], int]], trust: list[float], rounds: int = 200) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern under a model with one latent label, by expectation maximisation.
 
-    Each function has its own rates of yes, no and abstain for either label; the prior (weight ``strength``) says that a vote is right
-    with probability ``trust``. Patterns are few whatever the number of records: 3 to the power of the functions at most.
+    A function that votes is right at a rate of its own; abstaining says nothing. Its prior rate ``trust`` weighs forty times its
+    votes, and the prior share of the label, that of the records with more votes for than against it, as much as the records:
+    that anchors functions which only ever vote one way. Patterns are few whatever the number of
+    records: 3 to the power of the functions at most.
     """
     if not patterns:
         return {}
-    votes_, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
-    is_ = np.stack([votes_ == -1, votes_ == 0, votes_ == 1], axis=2).astype(float)  # pattern, function, vote
-    share = (is_ * n[:, None, None]).sum(0) / n.sum()  # how often each function votes what
-    prior = np.zeros((2, votes_.shape[1], 3))
-    voted = np.maximum(share[:, [0, 2]].sum(1), 1e-3)
-    for y, right in ((0, 0), (1, 2)):
-        prior[y, :, 1] = share[:, 1]
-        prior[y, :, right] = trust * voted
-        prior[y, :, 2 - right] = (1 - trust) * voted
-    prior = strength * (prior + 1e-3)
-    theta, pi = prior / prior.sum(2, keepdims=True), 0.05
+    votes_, n = np.array([p for p, _ in patterns], float), np.array([c for _, c in patterns], float)
+    prior = np.array(trust)
+    weight = np.maximum(200.0, 40 * (np.abs(votes_) * n[:, None]).sum(0))
+    share = float(np.clip(n[votes_.sum(1) > 0].sum() / n.sum(), 0.02, 0.5))
+    rate, pi = prior.copy(), share
     post = np.zeros(len(n))
     for _ in range(rounds):
-        like = np.einsum("pfv,yfv->py", is_, np.log(theta)) + np.log([1 - pi, pi])
-        new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
-            break
+        odds = votes_ @ np.log(rate / (1 - rate)) + np.log(pi / (1 - pi))
+        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        moved = np.abs(new - post).max()
         post = new
-        weight = np.stack([n * (1 - post), n * post])
-        theta = np.einsum("yp,pfv->yfv", weight, is_) + prior
-        theta /= theta.sum(2, keepdims=True)
-        pi = float(np.clip((weight[1].sum() + 1) / (n.sum() + 20), 1e-4, 0.5))
+        if moved < 1e-7:
+            break
+        right = ((votes_ > 0) * (n * post)[:, None] + (votes_ < 0) * (n * (1 - post))[:, None]).sum(0)
+        cast = (np.abs(votes_) * n[:, None]).sum(0)
+        rate = np.clip((right + weight * prior) / (cast + weight), 0.51, 0.999)
+        pi = float(np.clip(((n * post).sum() + share * n.sum()) / (2 * n.sum()), 0.01, 0.5))
     return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
 
 
@@ -285,7 +291,9 @@ def label_pairs(results: DataFrame, *, key: str = "id", question: str = "questio
     phrased = segs.groupBy("skel").agg(F.sum(F.col("asks_refusal").cast("int")).alias("asked"), F.count("*").alias("all")).where("asked >= 2 and asked >= 0.25 * all").join(known, "skel", "left_anti").select("skel", F.lit(1).alias("is_ref"))
     marked = segs.join(known.select("skel", F.lit(1).alias("is_known")), "skel", "left").join(phrased, "skel", "left")
     per = marked.groupBy("id").agg(F.sum(F.coalesce("is_known", F.lit(0))).alias("n_known"), F.sum(F.coalesce("is_ref", F.lit(0))).alias("n_ref"), F.count("*").alias("n_segs"))
-    joined = feats.join(per, "id", "left").join(nexts, "ctx", "left")
+    # an unfinished sentence that begins with a whole known one runs on ("..., but", "... with about")
+    past = feats.select("id", F.explode("heads").alias("skel")).join(known.select("skel"), "skel").groupBy("id").agg(F.count("*").alias("n_past"))
+    joined = feats.join(per, "id", "left").join(past, "id", "left").join(nexts, "ctx", "left")
     here = F.filter(F.coalesce("nexts", F.array()), lambda x: x["tok"] == F.col("last"))
     ends, total = F.aggregate(here, F.lit(0).cast("long"), lambda s, x: s + x["ends"]), F.aggregate(here, F.lit(0).cast("long"), lambda s, x: s + x["n"])
     partial = F.exists(F.coalesce("nexts", F.array()), lambda x: x["tok"].startswith(F.col("last")) & (x["tok"] != F.col("last")))
@@ -296,8 +304,8 @@ def label_pairs(results: DataFrame, *, key: str = "id", question: str = "questio
         "id", "asks_refusal",
         F.concat("empty", tiny(F.when(n_known > 0, -1).otherwise(0))).alias("empty"),
         F.concat("copy", tiny(F.when(n_known > 0, -1).otherwise(0))).alias("copy"),
-        F.concat("refusal", tiny(F.when(n_known > 0, -1).otherwise(0)), tiny(F.when(n_ref > 0, 1).otherwise(-1))).alias("refusal"),
-        F.concat("truncated", tiny(goes_on)).alias("truncated"), "language",
+        F.concat("refusal", tiny(F.when(n_known > 0, -1).otherwise(0)), tiny(F.when(n_ref > 0, 1).otherwise(0))).alias("refusal"),
+        F.concat("truncated", tiny(goes_on), tiny(F.when((goes_on == 0) & (F.col("n_past") > 0) & ~F.col("stop"), 1).otherwise(0))).alias("truncated"), "language",
     ))
     # one pass counts the patterns of all defects; a fifth of the records is held out for the cutoffs
     held = (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held")
@@ -310,7 +318,7 @@ def label_pairs(results: DataFrame, *, key: str = "id", question: str = "questio
         out: dict[tuple[int, ...], int] = {}
         for r in own:
             (out if r.held else fit)[tuple(r.p)] = r["count"]
-        post = fit_labels(list(fit.items()))
+        post = fit_labels(list(fit.items()), TRUST[d])
         cutoff = best_cutoff(post, out or fit)
         table += [(d, list(p), x, cutoff, DEFECTS.index(d)) for p, x in post.items() if x >= cutoff and 1 in p]
     kept = F.broadcast(spark.createDataFrame(table, "d string, p array<tinyint>, posterior double, cutoff double, ord int"))  # as few as there are patterns
