@@ -27,7 +27,7 @@ _WORDS = (
     + _RECORDS
     + r""", worded AS (
   SELECT id, list_distinct(regexp_extract_all(strip_accents(lower(coalesce(title, ''))), '[a-z0-9]+')) AS words,
-         list_filter(list_distinct(list_transform(string_split(coalesce(crops_covered, ''), ';'), x -> lower(trim(x)))), x -> x <> '') AS crops FROM records),
+         list_filter(list_distinct(list_transform(string_split(coalesce(crops_covered, ''), ';'), lambda x: lower(trim(x)))), lambda x: x <> '') AS crops FROM records),
 titled AS (SELECT * FROM worded WHERE len(words) > 0),
 postings AS (SELECT id, unnest(words) AS w FROM titled),
 frequency AS (SELECT w, count(*) AS df FROM postings GROUP BY w),
