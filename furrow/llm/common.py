@@ -54,5 +54,5 @@ def word_set(s: pd.Series) -> pd.Series:
 def crop_set(col: str | Column = "crops_covered") -> Column:
     """Sorted distinct crop names, split at ``;``, case and outer spaces ignored; null gives an empty array."""
     c = F.col(col) if isinstance(col, str) else col
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))))
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.lower(F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
