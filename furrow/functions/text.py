@@ -177,7 +177,8 @@ def detect_language(text: ColumnOrName, marks: Mapping[str, Sequence[str]] = LAN
 
 def split_list(c: ColumnOrName, sep: str = ";") -> Column:
     """Parts of a separated list without empty ones; null gives an empty array."""
-    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), sep), F.trim), lambda x: x != "")
+    outer = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), sep), lambda x: F.regexp_replace(x, outer, "")), lambda x: x != "")
 
 
 def crop_list(c: ColumnOrName) -> Column:

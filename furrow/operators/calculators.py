@@ -67,16 +67,18 @@ def best_rates(requests: DataFrame, rates: DataFrame) -> DataFrame:
     Candidates of the crop and zone are ordered by soil penalty (equal 0, unspecified 1, other 2; without a wish 0 or 1), by
     distance of the yield (unspecified last; without a wish 0 or 1), and by id.
     """
-    r = rates.select(F.struct(*rates.columns).alias("rate"), F.col("crop").alias("_c"), F.col("zone").alias("_z"))
+    few = F.broadcast(rates.groupBy(F.col("crop").alias("_c"), F.col("zone").alias("_z")).agg(F.collect_list(F.struct(*rates.columns)).alias("_rates")))
     soil, wish = F.col("soil_class"), F.col("target_yield")
-    rs, ry = F.col("rate.soil_class"), F.col("rate.target_yield")
-    p1 = F.when(soil.isNotNull(), F.when(rs == soil, 0).when(rs.isNull(), 1).otherwise(2)).otherwise(F.when(rs.isNull(), 0).otherwise(1))
-    p2 = F.when(wish.isNotNull(), F.coalesce(F.abs(ry - wish), F.lit(1e9))).otherwise(F.when(ry.isNull(), 0.0).otherwise(1.0))
-    joined = requests.join(F.broadcast(r), (F.col("crop") == F.col("_c")) & (F.col("zone") == F.col("_z")), "left").withColumn("_p", F.struct(p1.alias("a"), p2.alias("b"), F.col("rate.id").alias("c")))
+
+    def penalties(r: Column) -> Column:
+        p1 = F.when(soil.isNotNull(), F.when(r["soil_class"] == soil, 0).when(r["soil_class"].isNull(), 1).otherwise(2)).otherwise(F.when(r["soil_class"].isNull(), 0).otherwise(1))
+        p2 = F.when(wish.isNotNull(), F.coalesce(F.abs(r["target_yield"] - wish), F.lit(1e9))).otherwise(F.when(r["target_yield"].isNull(), 0.0).otherwise(1.0))
+        return F.struct(p1.alias("a"), p2.alias("b"), r["id"].alias("c"), r.alias("rate"))
+
     keys = requests.columns
-    best = joined.groupBy(*keys).agg(F.min_by("rate", "_p").alias("rate"), F.min("_p").alias("_p"))
     known = F.broadcast(rates.select(F.col("crop").alias("_k")).distinct())
-    out = best.join(known, F.col("crop") == F.col("_k"), "left")
+    joined = requests.join(few, (F.col("crop") == F.col("_c")) & (F.col("zone") == F.col("_z")), "left").join(known, F.col("crop") == F.col("_k"), "left")
+    out = joined.withColumn("_p", F.array_min(F.transform("_rates", penalties))).withColumn("rate", F.col("_p.rate"))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     error = F.when(blank("crop") | blank("zone") | F.coalesce(F.col("area_ha") <= 0, F.lit(True)), "InvalidInput").when(F.col("_k").isNull() | F.col("rate").isNull(), "MissingConstant")
     return out.select(*keys, "rate", F.when(F.col("rate").isNotNull(), (F.col("_p.a") == 0) & (F.col("_p.b") == 0)).alias("matched_exactly"), error.alias("error_type"))
@@ -120,7 +122,6 @@ def seed_rate(requests: DataFrame, material: DataFrame) -> DataFrame:
     germination_pct, seeds_per_stand). Seed is divided by germination; cuttings and setts are not."""
     m = F.broadcast(material.groupBy(F.col("crop").alias("_c")).agg(F.min_by(F.struct("material_type", "unit_weight_g", "stands_per_unit", "units_per_bundle"), "material_type").alias("m")))
     rows = requests.join(m, F.col("crop") == F.col("_c"), "left")
-    stands = F.col("area_ha") * 10000.0 / ((F.col("row_cm") / 100.0) * (F.col("within_row_cm") / 100.0))
     bad = lambda c: F.coalesce(c, F.lit(True))
     kind = F.col("m.material_type")
     error = (
@@ -134,17 +135,16 @@ def seed_rate(requests: DataFrame, material: DataFrame) -> DataFrame:
     kg = population * F.col("seeds_per_stand") * F.col("m.unit_weight_g") / 1000.0 / 1000.0 / (safe("germination_pct") / 100.0)
     units = whole_up(population / F.coalesce(F.nullif(F.col("m.stands_per_unit"), F.lit(0)), F.lit(1)))
     bundles = F.when(F.col("m.units_per_bundle") > 0, F.ceil(units / F.col("m.units_per_bundle")).cast("long"))
-    del stands
     return rows.select("request_id", error.alias("error_type"), ok(population).alias("population"), ok(F.when(kind == "seed", half_up(kg))).alias("seed_kg"), ok(F.when(kind != "seed", units)).alias("units"), ok(F.when(kind != "seed", bundles)).alias("bundles"))
 
 
 def spray_dilution(requests: DataFrame, chemicals: DataFrame) -> DataFrame:
     """(request_id, error_type, amount, unit, interval_days, match_kind) for requests (request_id, product_name, crop, tank_litres,
     rate_per_ha, spray_volume_l_per_ha). The row for the crop comes before one without crop, that before any other."""
-    c = chemicals.select(F.struct(*chemicals.columns).alias("chem"), F.col("product_name").alias("_p"))
-    pref = F.when(F.col("chem.crop") == F.col("crop"), 0).when(F.coalesce("chem.crop", F.lit("")) == "", 1).otherwise(2)
-    keys = requests.columns
-    best = requests.join(F.broadcast(c), F.col("product_name") == F.col("_p"), "left").withColumn("_o", F.struct(pref.alias("p"), F.col("chem.id").alias("i"))).groupBy(*keys).agg(F.min_by("chem", "_o").alias("chem"), F.min("_o.p").alias("pref"))
+    few = F.broadcast(chemicals.groupBy(F.col("product_name").alias("_p")).agg(F.collect_list(F.struct(*chemicals.columns)).alias("_rows")))
+    pref = lambda r: F.when(r["crop"] == F.col("crop"), 0).when(F.coalesce(r["crop"], F.lit("")) == "", 1).otherwise(2)
+    best = requests.join(few, F.col("product_name") == F.col("_p"), "left").withColumn("_o", F.array_min(F.transform("_rows", lambda r: F.struct(pref(r).alias("p"), r["id"].alias("i"), r.alias("chem")))))
+    best = best.withColumn("chem", F.col("_o.chem")).withColumn("pref", F.col("_o.p"))
     bad = lambda x: F.coalesce(x, F.lit(True))
     error = F.when((F.trim(F.coalesce("product_name", F.lit(""))) == "") | bad(F.col("tank_litres") <= 0) | bad(F.col("spray_volume_l_per_ha") <= 0) | F.coalesce(F.col("rate_per_ha") <= 0, F.lit(False)), "InvalidInput").when(F.col("chem").isNull(), "MissingConstant")
     rate = F.coalesce(F.col("rate_per_ha"), F.col("chem.rate_per_ha"))

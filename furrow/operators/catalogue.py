@@ -33,7 +33,7 @@ def quality(publisher: Column, year: Column, kind: Column, pages: Column, points
     """Two thirds of the publisher's points, plus recency and a long PDF; 30 at most. A year that is no number gives none."""
     table = F.create_map(*[F.lit(x) for kv in points.items() for x in kv])
     pub = F.least(F.coalesce(F.try_element_at(table, publisher), F.lit(10)), F.lit(30))
-    y = F.expr("try_cast(_year AS int)") if isinstance(year, str) else year.try_cast("int")
+    y = year.try_cast("int")
     age = F.when(y > 2015, 10).when(y >= 2010, 5).otherwise(0)
     form = F.when((kind == "PDF") & (F.coalesce(pages, F.lit(0)) > 10), 10).otherwise(5)
     return F.least(F.bround(pub * 0.67).cast("int") + age + form, F.lit(30))

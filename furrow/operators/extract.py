@@ -111,7 +111,7 @@ def _distance(term: str) -> Column:
 def nearest_crop(doc_crops: Column, crops: Sequence[str] = CROPS) -> Column:
     """The crop mentioned nearest to the match. If the document is about one crop, that one, unless another is mentioned within
     ``OVERRIDE`` characters. '' if there is none."""
-    near = F.array_compact(F.array(*[F.when(_distance(c).isNotNull(), F.struct(_distance(c).alias("d"), F.lit(i).alias("o"), F.lit(c).alias("c"))) for i, c in enumerate(crops)]))
+    near = F.filter(F.array(*[F.struct(_distance(c).alias("d"), F.lit(i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(crops)]), lambda x: x["d"].isNotNull())
     best = F.array_min(near)["c"]
     single = F.when(F.size(doc_crops) == 1, doc_crops[0])
     rival = F.array_min(F.filter(near, lambda x: x["c"] != single))
@@ -183,6 +183,14 @@ def extract(docs: DataFrame, table: str, key: str = "doc_id", text: str = "text"
     return out.withColumn("needs_review", F.col("confidence") < 0.7)
 
 
+def fact_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: Mapping[str, Sequence[tuple[str, str]]] = PATTERNS) -> DataFrame:
+    """(key, fact_table, pattern, n): matches per document, of all tables in one pass over the texts."""
+    named = [(f"{t}|{n}", p) for t, ps in tables.items() for n, p in ps]
+    per = matches(docs, named, key, text).groupBy("key", "pattern").agg(F.count("*").alias("n"))
+    parts = F.split("pattern", r"\|")
+    return per.select(F.col("key").alias(key), parts[0].alias("fact_table"), parts[1].alias("pattern"), "n")
+
+
 def all_facts(docs: DataFrame, key: str = "doc_id", text: str = "text", crops: str | None = None, tables: Mapping[str, object] = PATTERNS) -> DataFrame:
     """(key, table, pattern, start, crop, confidence, needs_review) of every table."""
     out = None

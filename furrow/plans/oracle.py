@@ -1,7 +1,246 @@
-"""DuckDB counterparts of the core queries."""
+"""DuckDB counterparts of the core queries. Where SQL cannot express a query it has none, and is tested against brute force."""
 
 from __future__ import annotations
 
+from furrow.functions.text import STOPWORDS
+from furrow.functions.vocabulary import COUNTRIES, CROPS, LANGUAGE_MARKS, LEXICON, LOOSE_ZONES, PUBLISHER_POINTS, TABLE_WORDS, TOPIC_WORDS, ZONES
+from furrow.operators.calculators import SEEDS
+from furrow.operators.extract import PATTERNS
+from furrow.plans.questions import SAFETY
+
+
+def _s(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join(_s(x) for x in xs) + "]"
+
+
+def _latest(table: str, key: str, at: str, name: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {at} DESC) AS _rn FROM {table}) WHERE _rn = 1)"
+
+
+_M = "WITH " + _latest("download_manifest", "id", "listed_at", "m")
+_C = "WITH " + _latest("chunks", "chunk_id", "chunked_at", "c")
+_E = "WITH " + _latest("eval_results", "id", "answered_at", "e")
+_CROPS = "list_filter(list_distinct(list_transform(string_split(coalesce(crops_covered, ''), ';'), lambda x: lower(trim(x)))), lambda x: x <> '')"
+_TABLES = "list_filter(list_transform(string_split(coalesce(sql_tables_likely, ''), ';'), lambda x: trim(x)), lambda x: x <> '')"
+_FLAT = _M + f", pairs AS (SELECT id, unnest({_CROPS}) AS crop, tables FROM (SELECT *, {_TABLES} AS tables FROM m)), flat AS (SELECT id, crop, unnest(CASE WHEN len(tables) > 0 THEN tables ELSE ['(unspecified)'] END) AS fact_table FROM pairs)"
+_SCORE = "CASE WHEN isnan(score) THEN NULL ELSE score END"
+_PAGES = "CASE WHEN estimated_pages > 0 THEN estimated_pages WHEN upper(format) = 'PDF' THEN 15 ELSE 1 END"
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+_WORDS = r"[\p{L}\p{M}\p{N}_]+"
+_ASCII = "[a-z0-9]+(?:''[a-z0-9]+)?"
+
+
+def _truthy(c: str) -> str:
+    return f"coalesce(lower(trim({c})) IN ('true', '1', 'yes'), false)"
+
+
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, {_s(w)})" for w in words) + ")"
+
+
+def _outcome(status: str = "status") -> str:
+    note = f"lower(trim(coalesce(regexp_replace({status}, '^failed:', ''), '')))"
+    code = f"try_cast(regexp_extract({note}, ':\\s*(-?\\d+)$', 1) AS int)"
+    return (
+        f"CASE WHEN {note} IN ('ok', 'success', 'done', 'downloaded', '200') THEN 'success' WHEN {note} = '' THEN 'empty' WHEN contains({note}, 'robots') THEN 'robots' "
+        f"WHEN {code} = 429 OR contains({note}, 'rate') THEN 'rate_limited' WHEN contains({note}, 'timeout') OR contains({note}, 'timed out') THEN 'timeout' "
+        f"WHEN {code} = 404 OR contains({note}, 'not found') THEN 'not_found' WHEN starts_with({note}, 'blocked') OR {code} IN (401, 403) THEN 'blocked' ELSE 'error' END"
+    )
+
+
+def _topic() -> str:
+    count = lambda words: " + ".join(f"((length(t) - length(replace(t, {_s(w)}, ''))) // {len(w)})" for w in words)
+    cols = ", ".join(f"{count(ws)} AS {name}" for name, ws in TOPIC_WORDS.items())
+    best = "greatest(" + ", ".join(TOPIC_WORDS) + ")"
+    pick = " ".join(f"WHEN {name} = {best} THEN '{name}'" for name in TOPIC_WORDS)
+    return f"WITH t AS (SELECT lower(coalesce(text, '')) AS t FROM chunks), n AS (SELECT {cols} FROM t) SELECT topic, count(*) AS n FROM (SELECT CASE WHEN {best} = 0 THEN 'unclassified' {pick} END AS topic FROM n) GROUP BY topic"
+
+
+def _scores() -> str:
+    low = "lower(concat_ws(' ', title, download_instructions))"
+    zone = f"CASE WHEN {_any(low, LOOSE_ZONES)} THEN 10 WHEN contains({low}, 'nigeria') THEN 5 WHEN contains({low}, 'west africa') THEN 2 ELSE 0 END"
+    rel = f"least(least(len({_CROPS}) * 4, 40) + {zone} + least(len({_TABLES}) * 5, 30), 40)"
+    pub = "CASE publisher " + " ".join(f"WHEN {_s(k)} THEN {v}" for k, v in PUBLISHER_POINTS.items()) + " ELSE 10 END"
+    year = "CASE WHEN try_cast(year AS int) > 2015 THEN 10 WHEN try_cast(year AS int) >= 2010 THEN 5 ELSE 0 END"
+    form = "CASE WHEN upper(format) = 'PDF' AND coalesce(estimated_pages, 0) > 10 THEN 10 ELSE 5 END"
+    qual = f"least(cast(round_even({pub} * 0.67, 0) AS int) + {year} + {form}, 30)"
+    net, free = "contains(coalesce(publisher, ''), 'ResearchGate')", _truthy("gap_filler")
+    acc = f"CASE WHEN {net} AND NOT {free} THEN 10 WHEN {free} AND upper(format) = 'PDF' THEN 30 WHEN {free} AND upper(format) = 'HTML' THEN 20 WHEN {net} THEN 10 ELSE 0 END"
+    return _M + f", s AS (SELECT id, {rel} AS relevance_score, {qual} AS quality_score, {acc} AS accessibility_score FROM m) SELECT *, relevance_score + quality_score + accessibility_score AS total_score FROM s"
+
+
+def _language() -> str:
+    toks = f"regexp_extract_all(lower(strip_accents(lower(question))), '{_WORDS}')"
+    case = " ".join(f"WHEN list_has_any({toks}, {_list(ws)}) THEN '{k}'" for k, ws in LANGUAGE_MARKS.items())
+    return _E + f" SELECT id, CASE {case} ELSE 'en' END AS lang FROM e WHERE question IS NOT NULL"
+
+
+def _facts() -> str:
+    parts = [f"SELECT {_s(t)} AS fact_table, {_s(n)} AS pattern, sum(len(regexp_extract_all(text, {_s(p)}))) AS n FROM documents WHERE text IS NOT NULL" for t, ps in PATTERNS.items() for n, p in ps]
+    return "SELECT fact_table, pattern, cast(n AS bigint) AS n FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
+
+
+def _no_facts() -> str:
+    hits = " OR ".join(f"regexp_matches(coalesce(text, ''), {_s(p)})" for ps in PATTERNS.values() for _, p in ps)
+    return f"SELECT doc_id FROM documents WHERE NOT ({hits})"
+
+
+_CENTROIDS = """parts AS (SELECT label, i - 1 AS pos, avg(embedding[i]::double) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM {v}) GROUP BY ALL),
+norms AS (SELECT label, sqrt(sum(x * x)) AS n FROM parts GROUP BY label),
+cells AS (SELECT p.label, p.pos, p.x / n.n AS x FROM parts p JOIN norms n USING (label)),
+centres AS (SELECT label, list(x ORDER BY pos) AS c FROM cells GROUP BY label)"""
+_SIMS = "sims AS (SELECT v.vec_id, v.label, t.label AS tier, list_dot_product(v.embedding::double[], t.c) AS sim FROM embeddings v, centres t)"
+_ROUTED = "WITH " + _CENTROIDS.format(v="embeddings") + ", " + _SIMS + ", r AS (SELECT vec_id, label, tier, sim, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, tier) AS k, lead(sim) OVER (PARTITION BY vec_id ORDER BY sim DESC, tier) AS second FROM sims), routed AS (SELECT * FROM r WHERE k = 1)"
+_FOLDS = "f AS (SELECT *, cast((row_number() OVER (PARTITION BY label ORDER BY md5(cast(vec_id AS varchar)), vec_id) - 1) % 5 AS int) AS fold FROM embeddings)"
+_CV = (
+    "WITH "
+    + _FOLDS
+    + """, cellsum AS (SELECT label, fold, i - 1 AS pos, sum(embedding[i]::double) AS s, count(*) AS c FROM (SELECT label, fold, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM f) GROUP BY ALL),
+held AS (SELECT label, fold, pos, (sum(s) OVER (PARTITION BY label, pos) - s) / nullif(sum(c) OVER (PARTITION BY label, pos) - c, 0) AS x FROM cellsum),
+hn AS (SELECT label, fold, sqrt(sum(x * x)) AS n FROM held WHERE x IS NOT NULL GROUP BY label, fold),
+hc AS (SELECT h.label AS tier, h.fold, list(h.x / hn.n ORDER BY h.pos) AS c FROM held h JOIN hn USING (label, fold) WHERE h.x IS NOT NULL GROUP BY h.label, h.fold),
+cv AS (SELECT * FROM (SELECT f.vec_id, f.label, hc.tier AS predicted, list_dot_product(f.embedding::double[], hc.c) AS sim, row_number() OVER (PARTITION BY f.vec_id ORDER BY list_dot_product(f.embedding::double[], hc.c) DESC, hc.tier) AS k FROM f JOIN hc USING (fold)) WHERE k = 1)
+"""
+)
+_BM25 = f"""toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_ASCII}') AS t FROM documents),
+stats AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM toks),
+posts AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY term, doc_id),
+dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+_SEARCH = (
+    _BM25
+    + """, q AS (SELECT doc_id AS query_id, term, count(*) AS qtf FROM (SELECT doc_id, unnest(t) AS term FROM toks WHERE doc_id % 100 = 0) GROUP BY ALL),
+hits AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN terms USING (term) JOIN posts USING (term), stats GROUP BY query_id, doc_id),
+lexical AS (SELECT query_id, doc_id AS item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits WHERE score > 0)"""
+)
+_DENSE = "near AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(q.embedding::double[], v.embedding::double[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM near)"
+_FUSED = (
+    "WITH "
+    + _SEARCH
+    + ", "
+    + _DENSE
+    + """, ranks AS (SELECT query_id, 0 AS ranker, rank, item_id FROM dense WHERE rank <= 8 UNION ALL SELECT query_id, 1, rank, item_id FROM lexical WHERE rank <= 8),
+fused AS (SELECT query_id, item_id, round(sum(1.0::double / (60 + rank)), 12) AS score, min(ranker * 1000 + rank) AS seen FROM ranks GROUP BY query_id, item_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, item_id) AS rank FROM fused) WHERE rank <= 4)
+"""
+)
+_REQUESTS = f"""req AS (SELECT row_number() OVER () AS rid, l_orderkey * 10 + l_linenumber AS request_id, ['maize','cassava','rice','cowpea','yam','tomato','sorghum'][l_partkey % 7 + 1] AS crop, {_list(ZONES)}[l_suppkey % 3 + 1] AS zone, cast(l_quantity / 10 AS double) AS area_ha,
+ l_quantity, l_extendedprice, l_tax, l_discount, l_linenumber FROM lineitem)"""
+
+
+def _values(table: str, extra=()) -> str:
+    schema, rows = SEEDS[table]
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"string": "varchar", "double": "double", "int": "int"}
+    casts = [kinds[c.split()[1]] for c in schema.split(", ")]
+    lit = lambda v, k: "NULL::" + k if v is None else f"{_s(v) if isinstance(v, str) else v}::{k}"
+    body = ", ".join("(" + ", ".join(lit(v, k) for v, k in zip(r, casts, strict=True)) + ")" for r in [*rows, *extra])
+    return f"{table} AS (SELECT * FROM (VALUES {body}) AS t({', '.join(names)}))"
+
+
+_EXTRA_RATES = [(7, "maize", "Northern Guinea Savanna", "clayey", 3.0, 100.0, 50.0, 50.0, "x"), (8, "maize", "Northern Guinea Savanna", "clayey", 5.0, 140.0, 60.0, 60.0, "x")]
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    content = f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce({{0}}, ''), '[a-zA-Z][a-zA-Z\\-]+'), lambda x: lower(x))), lambda x: length(x) > 2 AND NOT list_contains({_list(STOPWORDS)}, x))"
+    lex = "MAP {" + ", ".join(f"{_s(k)}: {_s(v)}" for k, v in LEXICON.items()) + "}"
+    zone_cols = ", ".join(f"count(CASE WHEN zone = {_s(z)} THEN 1 END) AS {z.lower().replace(' ', '_').replace('/', '_')}" for z in ZONES)
+    crop_cols = ", ".join(f"count(CASE WHEN f.crop = '{c}' THEN 1 END) AS {c}" for c in CROPS)
+    return {
+        "scan_parquet": "SELECT chunk_id, source_id, page_start, page_end FROM chunks WHERE page_start > 10",
+        "scan_documents": "SELECT lang, count(*) AS n, sum(length(text)) AS chars, count(*) FILTER (text IS NULL) AS n_null FROM documents GROUP BY lang",
+        "latest_records": _M + " SELECT id, priority_rank, publisher FROM m",
+        "json_extract": "SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS bigint)) AS sum_k, max(try_cast(json_extract_string(props, '$.k') AS bigint)) AS max_k FROM events GROUP BY event_type",
+        "url_domain_filter": f"SELECT DISTINCT id, {_HOST} AS host FROM download_manifest WHERE {_HOST} IN ('www.seedpress.example', 'repo.cropnotes.example')",
+        "url_functions": f"SELECT host, count(*) AS n, count(*) FILTER (path LIKE '%.pdf') AS n_pdf, min(path) AS first_path FROM (SELECT {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM fetch_log) GROUP BY host",
+        "url_dedupe": "SELECT regexp_replace(trim(url), '/+$', '') AS url_key, min(source_id) AS source_id FROM sources WHERE trim(url) <> '' GROUP BY 1",
+        "url_union_dedupe": "SELECT regexp_replace(trim(url), '/+$', '') AS url_key, min(origin) AS origin, count(*) AS n FROM (SELECT url, 'manifest' AS origin FROM download_manifest UNION ALL SELECT url, 'sources' FROM sources) WHERE trim(url) <> '' GROUP BY 1",
+        "page_link_harvest": "SELECT DISTINCT source_id, url AS link FROM sources WHERE url <> ''",
+        "tag_terms": "SELECT crop, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS crop, chunk_id FROM chunks WHERE regexp_matches(lower(text), '\\b{c}\\b')" for c in CROPS) + ") GROUP BY crop",
+        "tag_first_term": "SELECT doc_id, zone FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b{z.lower()}\\b') THEN {_s(z)}" for z in ZONES) + " END AS zone FROM documents) WHERE zone IS NOT NULL",
+        "guess_categories": "SELECT category, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS category FROM chunks WHERE {_any('lower(text)', ws)}" for k, ws in TABLE_WORDS.items()) + ") GROUP BY category",
+        "classify_topic": _topic(),
+        "make_row": r"SELECT doc_id, trim(regexp_replace(substring(coalesce(text, ''), 1, 400), '\s+', ' ', 'g')) AS abstract, concat_ws(';', lower(lang), source) AS tags FROM documents",
+        "classify_outcome": f"SELECT {_outcome()} AS outcome, count(*) AS n, count(DISTINCT id) AS n_ids FROM fetch_log GROUP BY 1",
+        "score_sources": _scores(),
+        "manifest": _M + f" SELECT id, row_number() OVER (ORDER BY score DESC, id) AS priority, score, {_PAGES} AS pages FROM m WHERE {_truthy('gap_filler')} AND {_SCORE} >= 50",
+        "manifest_by_publisher": _M + rf", p AS (SELECT coalesce(nullif(lower(trim(regexp_replace(publisher, '\s+', ' ', 'g'))), ''), '(none)') AS publisher, count(*) AS n, sum({_PAGES})::bigint AS pages FROM m GROUP BY 1) SELECT publisher, n, pages, sum(pages) OVER (ORDER BY pages DESC, publisher ROWS UNBOUNDED PRECEDING)::bigint AS running_pages FROM p",
+        "source_ids": r"SELECT DISTINCT file_path, 'RAW_' || substring(regexp_replace(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.[^.]*$', ''), '[^A-Za-z0-9_\-]', '_', 'g'), 1, 40) || '_' || substring(sha1(file_path), 1, 8) AS raw_id FROM sources WHERE file_path <> ''",
+        "safe_filename": _M + r", n AS (SELECT id, substring(regexp_replace(trim(regexp_replace(coalesce(title, ''), '[^\p{L}\p{N} _.\-]', '_', 'g')), '\s+', '_', 'g'), 1, 120) AS name FROM m) SELECT id, CASE WHEN name = '' THEN 'untitled' ELSE name END AS name FROM n",
+        "is_garbled": r"SELECT garbled, count(*) AS n FROM (SELECT CASE WHEN len(w) = 0 THEN true WHEN len(w) < 4 THEN false ELSE len(list_filter(w, lambda x: length(x) <= 2)) / len(w) > 0.35 END AS garbled FROM (SELECT list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM chunks)) GROUP BY garbled",
+        "is_toc_page": r"SELECT doc_id, true AS toc FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents) WHERE regexp_matches(t, '(?im)table of contents|^contents$') OR (len(ls) > 3 AND len(list_filter(ls, lambda x: regexp_matches(x, '\.{3,}\s*\d+\s*$'))) / len(ls) > 0.3)",
+        "safety_override": _E + f" SELECT id, coalesce(regexp_matches(question, {_s(SAFETY)}), false) AS unsafe FROM e",
+        "structural_checks": _C + r" SELECT coalesce(token_count, 0) < 50 AS too_short, len(regexp_extract_all(coalesce(text, ''), '\[\[TABLE_START\]\]')) <> len(regexp_extract_all(coalesce(text, ''), '\[\[TABLE_END\]\]')) AS broken_table, count(*) AS n FROM c GROUP BY 1, 2",
+        "licence_left_join": _M + ", l AS (SELECT source_id, max(licence) AS licence FROM sources GROUP BY source_id) SELECT m.id, coalesce(l.licence, '') AS licence FROM m LEFT JOIN l ON l.source_id = m.id",
+        "chunk_provenance_join": _C + ", s AS (SELECT source_id, min(title) AS source_title FROM sources GROUP BY source_id) SELECT source_id, source_title, count(*) AS n_chunks FROM c JOIN s USING (source_id) GROUP BY ALL",
+        "rejected_chunks": _C + " SELECT source_id, count(*) AS n_chunks FROM c WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.source_id = c.source_id) GROUP BY source_id",
+        "resume_antijoin": f"SELECT DISTINCT id FROM download_manifest d WHERE NOT EXISTS (SELECT 1 FROM fetch_log f WHERE f.id = d.id AND {_outcome('f.status')} IN ('success', 'robots', 'not_found'))",
+        "query_grid": f"SELECT crop, country, crop || ' ' || country || ' planting guide' AS query FROM (SELECT unnest({_list(CROPS)}) AS crop), (SELECT unnest({_list(COUNTRIES)}) AS country)",
+        "word_column_range_join": "SELECT CASE WHEN x0 >= 0 AND x0 < 10 THEN 'a' WHEN x0 >= 10 AND x0 < 25.5 THEN 'b' WHEN x0 >= 25.5 AND x0 < 40 THEN 'c' WHEN x0 >= 40 AND x0 < 50 THEN 'd' END AS \"column\", count(*) AS n, max(x0) AS max_x0 FROM (SELECT cast(l_quantity AS double) AS x0 FROM lineitem) GROUP BY 1",
+        "anchor_band_asof": "SELECT l.event_id, r.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts",
+        "combo_counts": _FLAT + " SELECT crop, fact_table, count(*) AS n FROM flat GROUP BY crop, fact_table",
+        "gap_filler": _FLAT + ", counts AS (SELECT crop, fact_table, count(*) AS n FROM flat GROUP BY crop, fact_table), g AS (SELECT id, bool_or(n < 20) AS g FROM flat JOIN counts USING (crop, fact_table) GROUP BY id) SELECT m.id, coalesce(g.g, false) AS gap_filler FROM m LEFT JOIN g USING (id)",
+        "coverage_counts": _M + f", f AS (SELECT unnest({_CROPS}) AS name FROM m) SELECT d.name, count(f.name) AS n FROM (SELECT unnest({_list(CROPS)}) AS name) d LEFT JOIN f ON f.name = d.name GROUP BY d.name",
+        "table_crop_matrix": _FLAT + f" SELECT d.name, {crop_cols} FROM (SELECT unnest({_list(TABLE_WORDS)}) AS name) d LEFT JOIN flat f ON f.fact_table = d.name GROUP BY d.name",
+        "crop_zone_matrix": _C + f", f AS (SELECT zone, unnest({_CROPS.replace('crops_covered', 'crops')}) AS crop FROM c) SELECT d.name, {zone_cols} FROM (SELECT unnest({_list(CROPS)}) AS name) d LEFT JOIN f ON f.crop = d.name GROUP BY d.name",
+        "hard_gaps": _FLAT + f" SELECT a.crop, b.fact_table FROM (SELECT unnest({_list(CROPS)}) AS crop) a, (SELECT unnest({_list(TABLE_WORDS)}) AS fact_table) b WHERE NOT EXISTS (SELECT 1 FROM flat f WHERE f.crop = a.crop AND f.fact_table = b.fact_table)",
+        "chunk_stats": _C + " SELECT count(*) AS n, min(token_count) AS least, quantile_cont(token_count, 0.5) AS median, max(token_count) AS most FROM c",
+        "crop_chunk_counts": _C + " SELECT crop, count(*) FILTER (contains(lower(coalesce(crops, '')), crop)) AS n FROM c, (SELECT unnest(" + _list(CROPS) + ") AS crop) GROUP BY crop",
+        "topic_distribution": _C + " SELECT topic, count(*) AS n FROM c GROUP BY topic",
+        "crop_balance": _C + ", n AS (SELECT crop, count(*) FILTER (contains(lower(coalesce(crops, '')), crop)) AS n FROM c, (SELECT unnest(" + _list(CROPS) + ") AS crop) GROUP BY crop) SELECT round(max(n) / min(n), 6) AS ratio, max(n) / min(n) > 3 AS unbalanced, count(*) AS crops FROM n WHERE n > 0",
+        "hit_rates": _E + ", h AS (SELECT gold_tier, detected_language, cast(coalesce(gold_tier, '') = coalesce(routed_tier, '') AS int) AS hit FROM e WHERE error IS NULL) SELECT gold_tier, detected_language, cast(grouping(gold_tier, detected_language) AS bigint) AS level, count(*) AS n, round(avg(hit), 3) AS rate FROM h GROUP BY GROUPING SETS ((gold_tier), (detected_language), ())",
+        "eval_scorecard": _E + " SELECT gold_tier, count(*) AS n, round(avg(proxy_accuracy_score), 4) AS mean_f1, round(avg(elapsed_s), 4) AS mean_s, count(*) FILTER (refused) AS refused, count(DISTINCT detected_language) AS languages FROM e WHERE error IS NULL GROUP BY gold_tier",
+        "outcome_breakdown": "SELECT status, count(*) AS n, count(DISTINCT id) AS n_ids FROM fetch_log GROUP BY status",
+        "next_ids": "WITH t AS (SELECT max(try_cast(substring(id, 4) AS bigint)) AS top FROM download_manifest WHERE starts_with(id, 'SRC')), n AS (SELECT source_id, row_number() OVER (ORDER BY source_id) AS k FROM (SELECT DISTINCT source_id FROM sources WHERE starts_with(source_id, 'RAW_'))) SELECT source_id, 'SRC' || lpad(cast(top + k AS varchar), 8, '0') AS new_id FROM n, t",
+        "tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_ASCII}') AS t FROM documents)",
+        "tokenize_unicode": f"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS n_tokens FROM documents",
+        "token_count": _C + r" SELECT chunk_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')) AS n FROM c",
+        "content_tokens": _E + f" SELECT id, array_to_string(list_sort({content.format('question')}), ' ') AS tokens FROM e",
+        "proxy_f1": _E + f", t AS (SELECT id, {content.format('answer_text')} AS a, {content.format('gold_answer')} AS g FROM e) SELECT id, CASE WHEN len(a) = 0 OR len(g) = 0 OR len(list_intersect(a, g)) = 0 THEN 0.0 ELSE round(200.0::double * len(list_intersect(a, g)) / (len(a) + len(g)), 2) END AS f1 FROM t",
+        "fold_diacritics": _E + " SELECT id, strip_accents(question) AS folded FROM e WHERE question IS NOT NULL",
+        "dehyphenate": r"SELECT doc_id, length(regexp_replace(text, '([\p{L}\p{M}\p{N}_])-\n([\p{L}\p{M}\p{N}_])', '\1\2', 'g')) AS n_chars FROM documents WHERE text IS NOT NULL",
+        "normalize_ws": r"SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS n_chars FROM documents WHERE text IS NOT NULL",
+        "normalise_query": _E + f" SELECT id, array_to_string(list_transform(regexp_extract_all(lower(strip_accents(lower(question))), '{_WORDS}'), lambda t: coalesce({lex}[t], t)), ' ') AS normalised FROM e WHERE question IS NOT NULL",
+        "detect_language": _language(),
+        "table_to_markdown": "SELECT p_partkey, '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || coalesce(p_name, '') || ' | ' || coalesce(cast(p_size AS varchar), '') || ' |' || chr(10) || '| ' || coalesce(p_brand, '') || ' |  |' AS markdown FROM part",
+        "inverted_index_text": _M + f", t AS (SELECT id, regexp_extract_all(lower(coalesce(title, '')), '{_ASCII}') AS w FROM m) SELECT id, array_to_string(w[1:6], ' ') AS opening FROM t WHERE len(w) > 0",
+        "facts_union": _facts(),
+        "zero_yield_docs": _no_facts(),
+        "bm25_stats": "WITH " + _BM25 + " SELECT term, df, round(idf, 6) AS idf FROM terms WHERE df > 1",
+        "bm25_search": "WITH " + _SEARCH + " SELECT query_id, item_id AS doc_id, round(score, 4) AS score, rank FROM lexical WHERE rank <= 10",
+        "dense_topk": "WITH " + _DENSE + " SELECT query_id, item_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10",
+        "rrf_fuse": _FUSED + "SELECT query_id, item_id, score, rank FROM top",
+        "hybrid_retrieve": _FUSED + "SELECT t.query_id, t.rank, t.item_id AS doc_id, d.lang, d.source, t.score FROM top t JOIN documents d ON d.doc_id = t.item_id",
+        "cosine_pairs": "WITH " + _CENTROIDS.format(v="embeddings") + ", " + _SIMS + " SELECT tier, round(max(sim), 6) AS best, round(avg(sim), 6) AS mean FROM sims GROUP BY tier",
+        "tier_centroids": "WITH " + _CENTROIDS.format(v="embeddings") + " SELECT label, pos, round(x, 6) AS x FROM cells",
+        "route_tier": _ROUTED + " SELECT vec_id, tier, round(sim, 6) AS confidence, sim < 0.74 OR tier = 3 AS refused, CASE WHEN sim < 0.74 THEN 'low_confidence' ELSE 'classified' END AS reason FROM routed",
+        "centroid_margin": _ROUTED + " SELECT tier, count(*) AS n, round(avg(sim - second), 6) AS mean_margin FROM routed GROUP BY tier",
+        "confidence_stats": _ROUTED + " SELECT tier = label AS ok, count(*) AS n, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.9), 6) AS p90 FROM routed GROUP BY 1",
+        "ood_refusal_rate": "WITH known AS (SELECT * FROM embeddings WHERE label < 5), " + _CENTROIDS.format(v="known") + ", " + _SIMS + " SELECT label >= 5 AS outside, count(*) AS n, round(avg(cast(best < 0.74 AS int)), 6) AS refusal_rate FROM (SELECT vec_id, label, max(sim) AS best FROM sims GROUP BY vec_id, label) GROUP BY 1",
+        "knn_classify": "WITH " + _DENSE.replace("WHERE q.vec_id % 100 = 0)", "WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)") + ", votes AS (SELECT query_id, label, count(*) AS votes, min(rank) AS first, avg(score) AS mean_sim FROM dense JOIN embeddings e ON e.vec_id = item_id WHERE rank <= 5 GROUP BY query_id, label) SELECT query_id, label AS predicted, votes, round(mean_sim, 6) AS mean_sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, first) AS k FROM votes) WHERE k = 1",
+        "stratified_folds": "WITH " + _FOLDS + " SELECT vec_id, label, fold FROM f",
+        "router_cv_eval": _CV + "SELECT label, count(*) AS n, round(avg(cast(predicted = label AS int)), 6) AS accuracy FROM cv GROUP BY ROLLUP (label)",
+        "threshold_sweep": _CV + ", g AS (SELECT range / 100 AS threshold FROM range(50, 95, 2)) SELECT threshold, round(coalesce(100.0::double * count(*) FILTER (predicted <> label AND round(sim, 6) < threshold) / nullif(count(*) FILTER (predicted <> label), 0), 0), 4) AS wrong_caught, round(coalesce(100.0::double * count(*) FILTER (predicted = label AND round(sim, 6) < threshold) / nullif(count(*) FILTER (predicted = label), 0), 0), 4) AS correct_lost FROM cv, g GROUP BY threshold",
+        "calc_seed_tables": " UNION ALL ".join(f"SELECT '{t}' AS name, {len(rows)}::bigint AS n" for t, (_, rows) in SEEDS.items()),
+        "fert_best_match": "WITH " + _REQUESTS + ", " + _values("calc_fertilizer_rate", _EXTRA_RATES) + """, q AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'clayey' END AS soil, CASE WHEN l_linenumber > 2 THEN 4.5 END AS wish FROM req),
+cand AS (SELECT q.rid, r.id, CASE WHEN soil IS NOT NULL THEN CASE WHEN r.soil_class = soil THEN 0 WHEN r.soil_class IS NULL THEN 1 ELSE 2 END ELSE CASE WHEN r.soil_class IS NULL THEN 0 ELSE 1 END END AS p1,
+ CASE WHEN wish IS NOT NULL THEN coalesce(abs(r.target_yield - wish), 1e9) ELSE CASE WHEN r.target_yield IS NULL THEN 0.0 ELSE 1.0 END END AS p2 FROM q JOIN calc_fertilizer_rate r ON r.crop = q.crop AND r.zone = q.zone),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p1, p2, id) AS k FROM cand) WHERE k = 1)
+SELECT q.request_id, b.id AS rate_id, b.p1 = 0 AND b.p2 = 0 AS matched_exactly, CASE WHEN q.area_ha <= 0 THEN 'InvalidInput' WHEN b.id IS NULL THEN 'MissingConstant' END AS error_type FROM q LEFT JOIN best b USING (rid)""",
+        "fert_error_status": "WITH " + _REQUESTS + ", " + _values("calc_fertilizer_rate") + " SELECT error_type, count(*) AS n FROM (SELECT CASE WHEN area_ha <= 0 THEN 'InvalidInput' WHEN r.id IS NULL THEN 'MissingConstant' END AS error_type FROM req q LEFT JOIN calc_fertilizer_rate r ON r.crop = q.crop AND r.zone = q.zone) GROUP BY error_type",
+        "seed_rate": "WITH " + _REQUESTS + ", " + _values("calc_planting_material") + """, p AS (SELECT q.*, m.material_type, m.stands_per_unit, m.units_per_bundle, area_ha * 10000.0::double / ((75.0::double / 100.0::double) * (25.0::double / 100.0::double)) AS pop, 100 - l_discount * 100 AS germ FROM req q LEFT JOIN calc_planting_material m ON m.crop = q.crop)
+SELECT request_id, CASE WHEN area_ha <= 0 OR germ <= 0 OR germ > 100 THEN 'InvalidInput' WHEN material_type IS NULL THEN 'MissingConstant' END AS error_type,
+ CASE WHEN material_type IS NOT NULL THEN round(pop, 4) END AS population, CASE WHEN material_type <> 'seed' THEN ceil(round(pop, 9))::bigint END AS units, CASE WHEN material_type <> 'seed' AND units_per_bundle > 0 THEN ceil(ceil(round(pop, 9)) / units_per_bundle)::bigint END AS bundles FROM p""",
+        "spray_dilution": "WITH " + _REQUESTS + ", " + _values("calc_agrochemical") + """, q AS (SELECT rid, request_id, crop, ['Glyphosate','Paraquat','Mancozeb','Atrazine','Nothing'][l_linenumber % 5 + 1] AS product_name, cast(l_quantity AS double) AS tank FROM req),
+b AS (SELECT * FROM (SELECT q.*, a.id, a.rate_per_ha, a.rate_unit, a.pre_harvest_interval_days AS days, CASE WHEN a.crop = q.crop THEN 0 WHEN coalesce(a.crop, '') = '' THEN 1 ELSE 2 END AS pref, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN a.crop = q.crop THEN 0 WHEN coalesce(a.crop, '') = '' THEN 1 ELSE 2 END, a.id) AS k FROM q LEFT JOIN calc_agrochemical a ON a.product_name = q.product_name) WHERE k = 1)
+SELECT request_id, CASE WHEN tank <= 0 THEN 'InvalidInput' WHEN id IS NULL THEN 'MissingConstant' END AS error_type, CASE WHEN id IS NOT NULL THEN round(round(rate_per_ha * 1000.0::double * tank / 200.0::double, 9), 0) END AS amount,
+ CASE WHEN id IS NOT NULL THEN CASE rate_unit WHEN 'kg' THEN 'g' ELSE 'ml' END END AS unit, days AS interval_days, CASE WHEN id IS NOT NULL THEN CASE pref WHEN 0 THEN 'crop' WHEN 1 THEN 'generic' ELSE 'other' END END AS match_kind FROM b""",
+        "gross_margin": "WITH " + _REQUESTS + """, r AS (SELECT CASE WHEN cast(l_discount * 100 - 1 AS double) < 0 THEN 'InvalidInput' END AS error_type, cast(l_quantity AS double) * cast(l_extendedprice AS double) AS revenue, (0.0::double + cast(l_tax * 1000 AS double)) + cast(l_discount * 100 - 1 AS double) AS cost FROM req)
+SELECT error_type, count(*) AS n, sum(CASE WHEN error_type IS NULL THEN round(round(revenue, 9), 0) END) AS revenue, sum(CASE WHEN error_type IS NULL THEN round(round(revenue - cost, 9), 0) END) AS margin FROM r GROUP BY error_type""",
+        "tumbling_windows": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    }
