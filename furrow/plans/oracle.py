@@ -17,6 +17,20 @@ def _list(xs) -> str:
     return "[" + ", ".join(_s(x) for x in xs) + "]"
 
 
+def _space(pattern: str) -> str:
+    """The pattern with white space as wide as the engine's: RE2 takes ``\\s`` as ASCII only."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        if c == "\\s":
+            out += r"\s\p{Z}" if inside else r"[\s\p{Z}]"
+        else:
+            out += c
+            inside = c == "[" or (inside and c != "]")
+        i += len(c)
+    return out
+
+
 def _latest(table: str, key: str, at: str, name: str) -> str:
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {at} DESC) AS _rn FROM {table}) WHERE _rn = 1)"
 
@@ -80,12 +94,12 @@ def _language() -> str:
 
 
 def _facts() -> str:
-    parts = [f"SELECT {_s(t)} AS fact_table, {_s(n)} AS pattern, sum(len(regexp_extract_all(text, {_s(p)}))) AS n FROM documents WHERE text IS NOT NULL" for t, ps in PATTERNS.items() for n, p in ps]
+    parts = [f"SELECT {_s(t)} AS fact_table, {_s(n)} AS pattern, sum(len(regexp_extract_all(text, {_s(_space(p))}))) AS n FROM documents WHERE text IS NOT NULL" for t, ps in PATTERNS.items() for n, p in ps]
     return "SELECT fact_table, pattern, cast(n AS bigint) AS n FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
 
 
 def _no_facts() -> str:
-    hits = " OR ".join(f"regexp_matches(coalesce(text, ''), {_s(p)})" for ps in PATTERNS.values() for _, p in ps)
+    hits = " OR ".join(f"regexp_matches(coalesce(text, ''), {_s(_space(p))})" for ps in PATTERNS.values() for _, p in ps)
     return f"SELECT doc_id FROM documents WHERE NOT ({hits})"
 
 
