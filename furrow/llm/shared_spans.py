@@ -92,51 +92,107 @@ def _long_windows(length: int):
     return run
 
 
-def shared_intervals(a: str, b: str, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal intervals of ``a`` covered by runs of at least ``length`` code points that also occur in ``b``. Exact: every
-    window whose fingerprint occurs in b is confirmed on the text."""
-    h = window_hashes(code_points(a), length)
-    other = window_hashes(code_points(b), length)
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals sorted, and merged where they touch or overlap."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+class Prints:
+    """A text as code points, its window fingerprints, and those that winnowing keeps."""
+
+    def __init__(self, text: str, length: int = LENGTH, window: int = WINDOW) -> None:
+        self.points = code_points(text)
+        self.hashes = window_hashes(self.points, window)
+        self.kept = winnow(self.hashes, length - window + 1)
+
+    def places(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All positions whose fingerprint is one of ``prints`` (sorted), and which."""
+        at = np.searchsorted(prints, self.hashes)
+        at[at == len(prints)] = 0
+        hit = np.flatnonzero(prints[at] == self.hashes)
+        return hit, at[hit]
+
+
+def shared_intervals(a: Prints, b: Prints, length: int = LENGTH, most: int = 64) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Maximal intervals of ``a``, and of ``b``, covered by runs of at least ``length`` code points that also occur in the other.
+
+    Exact: a shared run holds a kept fingerprint at the same offset in both, so every offset at which one occurs in both is compared
+    point by point. Texts that repeat themselves have very many offsets; more than ``most`` are replaced by looking up all
+    windows of the full length, confirmed point by point too.
+    """
+    both = np.intersect1d(a.kept, b.kept, assume_unique=True)
+    if not len(both):
+        return [], []
+    (pa_, ka), (pb_, kb) = a.places(both), b.places(both)
+    if len(pa_) * len(pb_) <= 20_000:
+        same = ka[:, None] == kb[None, :]
+        shifts = np.unique((pb_[None, :] - pa_[:, None])[same])
+        if len(shifts) <= most:
+            return _along(a.points, b.points, shifts, length)
+    return _windows(a.points, b.points, length), _windows(b.points, a.points, length)
+
+
+def _along(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    in_x, in_y = [], []
+    for d in shifts.tolist():
+        lo = max(0, -d)
+        n = min(len(x) - lo, len(y) - lo - d)
+        if n < length:
+            continue
+        breaks = np.r_[-1, np.flatnonzero(x[lo : lo + n] != y[lo + d : lo + d + n]), n]
+        for i in np.flatnonzero(np.diff(breaks) > length).tolist():
+            s, e = lo + int(breaks[i]) + 1, lo + int(breaks[i + 1])
+            in_x.append((s, e))
+            in_y.append((s + d, e + d))
+    return merge_spans(in_x), merge_spans(in_y)
+
+
+def _windows(x: np.ndarray, y: np.ndarray, length: int) -> list[tuple[int, int]]:
+    h, other = window_hashes(x, length), window_hashes(y, length)
     if not len(h) or not len(other):
         return []
-    order = np.argsort(other, kind="stable")
-    at = np.searchsorted(other[order], h)
-    at[at == len(other)] = 0
-    hit = np.flatnonzero(other[order[at]] == h)
+    values, first = np.unique(other, return_index=True)
+    at = np.searchsorted(values, h)
+    at[at == len(values)] = 0
     out: list[tuple[int, int]] = []
-    i = 0
-    while i < len(hit):
-        p = int(hit[i])
-        q = int(order[at[p]])
-        if a[p : p + length] != b[q : q + length]:
-            i += 1
-            continue
-        # one comparison confirms the whole stretch of consecutive windows that run on in b as well
-        j = i
-        while j + 1 < len(hit) and hit[j + 1] == hit[j] + 1 and a[int(hit[j + 1]) + length - 1] == b[q + int(hit[j + 1]) - p + length - 1 : q + int(hit[j + 1]) - p + length]:
-            j += 1
-        end = int(hit[j]) + length
-        if out and p <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((p, end))
-        i = j + 1
+    for p in np.flatnonzero(values[at] == h).tolist():
+        q = int(first[at[p]])
+        if np.array_equal(x[p : p + length], y[q : q + length]):
+            if out and p <= out[-1][1]:
+                out[-1] = (out[-1][0], p + length)
+            else:
+                out.append((p, p + length))
     return out
 
 
 _SPANS = "a long, b long, in_a array<struct<s:int,e:int>>, in_b array<struct<s:int,e:int>>"
 
 
-def _compare(length: int):
+def _compare(length: int, window: int, held: int = 256):
     spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Prints] = {}  # texts come back in several pairs
+
+        def prints(key: int, text: str) -> Prints:
+            if key not in known:
+                if len(known) >= held:
+                    known.pop(next(iter(known)))
+                known[key] = Prints(text, length, window)
+            return known[key]
+
         for batch in batches:
             rows = []
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ia = shared_intervals(ta, tb, length)
+                ia, ib = shared_intervals(prints(a, ta), prints(b, tb), length)
                 if ia:
-                    rows.append((a, b, [{"s": s, "e": e} for s, e in ia], [{"s": s, "e": e} for s, e in shared_intervals(tb, ta, length)]))
+                    rows.append((a, b, [{"s": s, "e": e} for s, e in ia], [{"s": s, "e": e} for s, e in ib]))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], spans), pa.array(cols[3], spans)], ["a", "b", "in_a", "in_b"])
 
@@ -182,7 +238,7 @@ def class_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
     involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     texts = cut(singles.join(involved, "cls", "left_semi"))
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_compare(length), _SPANS)), members
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_compare(length, window), _SPANS)), members
 
 
 def sharing_pairs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
