@@ -13,8 +13,9 @@ from pyspark.sql.functions import pandas_udf
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes; all columns as declared, ``''`` stays empty."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """CSV with a header, quoted line breaks and doubled quotes; all columns as declared. CSV cannot tell null from empty: missing
+    text is ``''``."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
