@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
+_LOCAL = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written by ``cut`` inside the block are deleted at its end, except those cut with ``keep=True``, which belong to the block
+    around it. The block's result must be such a table: what still reads a deleted one would fail."""
+    scopes = _LOCAL.__dict__.setdefault("scopes", [])
+    mine: list[tuple[SparkSession, str]] = []
+    scopes.append(mine)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        for spark, path in mine:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads it back.
 
     The result survives the loss of executors, is never computed twice, and starts a new plan. Parquet is several
@@ -54,4 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _LOCAL.__dict__.get("scopes", [])
+    if len(scopes) > keep:
+        scopes[-2 if keep else -1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

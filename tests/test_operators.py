@@ -191,3 +191,43 @@ def test_incremental_runs_read_only_new_files(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(src)
     assert run_new(spark, src, "id long", out, mark) == 3
     assert spark.read.parquet(out).count() == 8
+
+
+def test_scratch_deletes_all_but_what_is_kept(spark, tmp_path, monkeypatch):
+    from furrow import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
+    with session.scratch():
+        session.cut(spark.range(3))
+        with session.scratch():
+            session.cut(spark.range(4))
+            kept = session.cut(spark.range(5), keep=True)
+        assert kept.count() == 5 and len(list(tmp_path.iterdir())) == 2
+        last = session.cut(kept, keep=True)
+    assert last.count() == 5 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_plugins(spark):
+    from furrow.operators import plugins as P
+
+    df = spark.createDataFrame([(1, "maize yam"), (2, ""), (3, None), (4, "maize yam")], "id int, t string")
+    got = {r.id: r.embedding for r in P.embed_texts(df, "id", "t").collect()}
+    assert got[1] == got[4] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2]) and not any(got[3])
+    done = df.withColumn("text_print", F.xxhash64("t")).where("id < 3")
+    assert {r.id for r in P.stale_vectors(df, done, "id", "t").collect()} == {3, 4}
+
+    def extractor(raw):
+        if raw == b"bad":
+            raise ValueError("broken")
+        return [(raw.decode(), [[["h", "k"], ["1"]]])]
+
+    files_ = spark.createDataFrame([("a", bytearray(b"text")), ("b", bytearray(b"bad"))], "path string, content binary")
+    rows = {r.path: r for r in P.extract_pages(files_, extractor).collect()}
+    assert rows["a"].text == "[[PAGE:1]]\ntext\n[[TABLE_START]]\n| h | k |\n| --- | --- |\n| 1 |  |\n[[TABLE_END]]" and rows["b"].text is None and "broken" in rows["b"].error
+    reg = P.register_rows(spark.createDataFrame([("Karate", "lambda", "x"), ("a b c d", None, "y")], "product string, ingredient string, raw string")).collect()
+    assert (reg[0].confidence, reg[0].needs_review, reg[1].confidence) == (1.0, False, 0.4)
+    diff = P.value_diff(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, None), (4, "d")], "k int, v string"), "k", "v")
+    assert {r.k for r in diff.collect()} == {1, 3, 4}
+    assert P.report_lines(spark.createDataFrame([("x", 10), ("long", 2)], "name string, n int")) == ["name  n", "long  2", "x     10"]
+    facts = spark.createDataFrame([("maize", 0.5, "b"), ("maize", 0.9, "a"), ("", 1.0, "z")], "crop string, confidence double, raw_text string")
+    assert [tuple(r) for r in P.fact_summary(facts).collect()] == [("maize", "a\nb")]
