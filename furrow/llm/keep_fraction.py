@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import publisher_key, usable_score
-from furrow.session import cut
+from furrow.session import cut, scratch
 
 CUTOFFS = "source string, target_pct int, n_records long, cutoff double, n_kept long, kept_pct double, rounds int"
 
@@ -53,40 +53,41 @@ def source_cutoffs(records: DataFrame, targets: DataFrame, *, source: str = "pub
     if not goals:
         return spark.createDataFrame([], CUTOFFS)
     wanted = F.broadcast(spark.createDataFrame(list(goals.items()), "k string, goal int"))
-    hist = cut(
-        records.select(publisher_key(source).alias("k"), usable_score(score).alias("s")).where("k is not null and s is not null")
-        .groupBy("k", "s").agg(F.count("*").alias("n")).join(wanted.select("k"), "k")
-    )
-    state: dict[str, dict] = {}
-    for r in hist.groupBy("k").agg(F.sum("n").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum(F.when(F.abs("s") != float("inf"), F.col("n") * F.col("s"))).alias("total")).collect():
-        p = min(max(goals[r.k], 0), 100)
-        keep = p / 100  # the share above the cutoff; the pinball level is 1 - keep
-        # beyond both ends the loss is linear: its slopes there are the first two cuts
-        mean = (r.total or 0.0) / r.n
-        state[r.k] = {"n": r.n, "pct": p, "keep": keep, "lo": r.lo, "n_lo": r.n, "below_hi": r.hi, "hi": r.hi, "g_lo": -(1 - keep), "l_lo": (1 - keep) * (mean - r.lo), "g_hi": keep, "l_hi": keep * (r.hi - mean), "rounds": 0}
-    live = {k for k, s in state.items() if s["lo"] < s["below_hi"]}
-    rounds = 0
-    while live:
-        trials = {k: _next_trial(state[k], rounds) for k in live}
-        at = F.broadcast(spark.createDataFrame(list(trials.items()), "k string, t double"))
-        ge, finite = F.col("s") >= F.col("t"), F.abs("s") != float("inf")
-        rows = hist.join(at, "k").groupBy("k").agg(
-            F.sum(F.when(ge, F.col("n")).otherwise(0)).alias("n_ge"), F.min(F.when(ge, F.col("s"))).alias("above"), F.max(F.when(~ge, F.col("s"))).alias("below"),
-            F.sum(F.when(ge & finite, F.col("n") * (F.col("s") - F.col("t"))).otherwise(0.0)).alias("over"),
-            F.sum(F.when(~ge & finite, F.col("n") * (F.col("t") - F.col("s"))).otherwise(0.0)).alias("under"),
-        ).collect()
-        rounds += 1
-        for r in rows:
-            s = state[r.k]
-            s["rounds"] = rounds
-            loss = ((1 - s["keep"]) * r.over + s["keep"] * r.under) / s["n"]
-            slope = s["keep"] - r.n_ge / s["n"]  # left subgradient at the trial
-            if 100 * r.n_ge >= s["pct"] * s["n"] and r.above is not None and r.n_ge > 0:
-                s |= {"g_lo": slope, "l_lo": loss + slope * (r.above - trials[r.k]), "lo": r.above, "n_lo": r.n_ge}
-            else:
-                s |= {"g_hi": slope, "l_hi": loss, "hi": trials[r.k], "below_hi": r.below}
-            if s["below_hi"] is None or s["lo"] >= s["below_hi"]:
-                live.discard(r.k)
+    with scratch():
+        hist = cut(
+            records.select(publisher_key(source).alias("k"), usable_score(score).alias("s")).where("k is not null and s is not null")
+            .groupBy("k", "s").agg(F.count("*").alias("n")).join(wanted.select("k"), "k")
+        )
+        state: dict[str, dict] = {}
+        for r in hist.groupBy("k").agg(F.sum("n").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum(F.when(F.abs("s") != float("inf"), F.col("n") * F.col("s"))).alias("total")).collect():
+            p = min(max(goals[r.k], 0), 100)
+            keep = p / 100  # the share above the cutoff; the pinball level is 1 - keep
+            # beyond both ends the loss is linear: its slopes there are the first two cuts
+            mean = (r.total or 0.0) / r.n
+            state[r.k] = {"n": r.n, "pct": p, "keep": keep, "lo": r.lo, "n_lo": r.n, "below_hi": r.hi, "hi": r.hi, "g_lo": -(1 - keep), "l_lo": (1 - keep) * (mean - r.lo), "g_hi": keep, "l_hi": keep * (r.hi - mean), "rounds": 0}
+        live = {k for k, s in state.items() if s["lo"] < s["below_hi"]}
+        rounds = 0
+        while live:
+            trials = {k: _next_trial(state[k], rounds) for k in live}
+            at = F.broadcast(spark.createDataFrame(list(trials.items()), "k string, t double"))
+            ge, finite = F.col("s") >= F.col("t"), F.abs("s") != float("inf")
+            rows = hist.join(at, "k").groupBy("k").agg(
+                F.sum(F.when(ge, F.col("n")).otherwise(0)).alias("n_ge"), F.min(F.when(ge, F.col("s"))).alias("above"), F.max(F.when(~ge, F.col("s"))).alias("below"),
+                F.sum(F.when(ge & finite, F.col("n") * (F.col("s") - F.col("t"))).otherwise(0.0)).alias("over"),
+                F.sum(F.when(~ge & finite, F.col("n") * (F.col("t") - F.col("s"))).otherwise(0.0)).alias("under"),
+            ).collect()
+            rounds += 1
+            for r in rows:
+                s = state[r.k]
+                s["rounds"] = rounds
+                loss = ((1 - s["keep"]) * r.over + s["keep"] * r.under) / s["n"]
+                slope = s["keep"] - r.n_ge / s["n"]  # left subgradient at the trial
+                if 100 * r.n_ge >= s["pct"] * s["n"] and r.above is not None and r.n_ge > 0:
+                    s |= {"g_lo": slope, "l_lo": loss + slope * (r.above - trials[r.k]), "lo": r.above, "n_lo": r.n_ge}
+                else:
+                    s |= {"g_hi": slope, "l_hi": loss, "hi": trials[r.k], "below_hi": r.below}
+                if s["below_hi"] is None or s["lo"] >= s["below_hi"]:
+                    live.discard(r.k)
     out = []
     for k, goal in goals.items():
         s = state.get(k)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import crop_set, word_set
-from furrow.session import cut
+from furrow.session import cut, scratch
 
 REGISTERS, BAND = 192, 2
 _U = np.uint64
@@ -135,9 +135,10 @@ def duplicate_members(records: DataFrame, *, key: str = "id", title: str = "titl
 def _links(members: DataFrame, threshold: float) -> DataFrame:
     """Linked pairs (rep_a, rep_b), rep_a < rep_b, of classes of equal words and crops; within one word set the pairs of different crop
     sets that share a crop."""
-    classes = members.groupBy("cid").agg(F.first("words").alias("words"))
-    reps = cut(members.groupBy("rep").agg(F.first("cid").alias("cid"), F.first("crop_list").alias("crops")))
-    pairs = cut(similar_classes(cut(classes), threshold=threshold).select("a", "b"))
+    with scratch():
+        classes = members.groupBy("cid").agg(F.first("words").alias("words"))
+        reps = cut(members.groupBy("rep").agg(F.first("cid").alias("cid"), F.first("crop_list").alias("crops")), keep=True)
+        pairs = cut(similar_classes(cut(classes), threshold=threshold).select("a", "b"), keep=True)
     # a crop, or one mark for no crop: links are found by equality on (class pair, crop), not by all pairs of reps
     marks = reps.select("rep", "cid", F.explode(F.when(F.size("crops") > 0, F.col("crops")).otherwise(F.array(F.lit("")))).alias("crop"))
     x, y = marks.select(F.col("rep").alias("ra"), F.col("cid").alias("a"), "crop"), marks.select(F.col("rep").alias("rb"), F.col("cid").alias("b"), "crop")
@@ -182,13 +183,14 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
 def near_duplicate_groups(records: DataFrame, *, threshold: float = 0.6, key: str = "id", title: str = "title", crops: str = "crops_covered") -> DataFrame:
     """One row per record with a title: (key, group_id, group_size, n_links). group_id is the smallest key of the group;
     n_links counts the records it is directly linked to. Copies are never expanded to pairs."""
-    members = duplicate_members(records, key=key, title=title, crops=crops).dropDuplicates(["key"])
-    links = cut(_links(members, threshold))
-    sizes = cut(members.groupBy("rep").agg(F.count("*").alias("n"), F.min("key").alias("least")))
-    labels = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), sizes.select(F.col("rep").alias("node")))
-    both = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("o")).unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("o")))
-    degree = both.join(sizes.select(F.col("rep").alias("o"), F.col("n").alias("m")), "o").groupBy("rep").agg(F.sum("m").alias("others"))
-    named = cut(sizes.join(labels.withColumnRenamed("node", "rep"), "rep").join(degree, "rep", "left"))
-    groups = named.groupBy("group").agg(F.min("least").alias("group_id"), F.sum("n").alias("group_size"))
-    reps = named.join(groups, "group").select("rep", "group_id", "group_size", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return members.select("rep", "key").join(reps, "rep").select(F.col("key").alias(key), "group_id", "group_size", "n_links")
+    with scratch():
+        members = duplicate_members(records, key=key, title=title, crops=crops).dropDuplicates(["key"])
+        links = cut(_links(members, threshold))
+        sizes = cut(members.groupBy("rep").agg(F.count("*").alias("n"), F.min("key").alias("least")))
+        labels = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), sizes.select(F.col("rep").alias("node")))
+        both = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("o")).unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("o")))
+        degree = both.join(sizes.select(F.col("rep").alias("o"), F.col("n").alias("m")), "o").groupBy("rep").agg(F.sum("m").alias("others"))
+        named = cut(sizes.join(labels.withColumnRenamed("node", "rep"), "rep").join(degree, "rep", "left"))
+        groups = named.groupBy("group").agg(F.min("least").alias("group_id"), F.sum("n").alias("group_size"))
+        reps = named.join(groups, "group").select("rep", "group_id", "group_size", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return cut(members.select("rep", "key").join(reps, "rep").select(F.col("key").alias(key), "group_id", "group_size", "n_links"), keep=True)

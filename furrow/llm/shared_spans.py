@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.session import cut
+from furrow.session import cut, scratch
 
 LENGTH, WINDOW = 200, 100
 _U = np.uint64
@@ -207,7 +207,7 @@ def text_classes(docs: DataFrame, key: str, text: str, length: int) -> tuple[Dat
     ids = prints.groupBy("h1", "h2", "n").agg(F.min("key").alias("cls"), F.count("*").alias("copies"))
     repeated = cut(ids.where("copies > 1"))
     members = prints.join(repeated.drop("copies"), ["h1", "h2", "n"]).select("key", "cls", "n").distinct()
-    return cut(members), repeated
+    return cut(members, keep=True), repeated
 
 
 def class_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, hot: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -218,27 +218,28 @@ def class_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", len
     texts are joined on the fingerprints of all their windows of the full length instead, of which two texts that share a passage
     have one in common; so no pair is lost, and no pair is formed that shares less.
     """
-    members, _ = text_classes(docs, key, text, length)
-    extra = members.where("key <> cls").select(F.col("key").alias("extra"))
-    long = docs.where(F.length(text) >= length).select(F.col(key).cast("long").alias("cls"), F.col(text).alias("text")).where("cls is not null")
-    singles = long.join(extra, long["cls"] == extra["extra"], "left_anti")
-    prints = cut(singles.mapInArrow(_fingerprints(length, window), "cls long, print long"))
-    counts = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(prints.join(counts, "print"))
-    few = shared.where(F.col("n") <= hot).select("print", "cls")
-    x, y = few.select("print", F.col("cls").alias("a")), few.select("print", F.col("cls").alias("b"))
-    pairs = x.join(y, "print").where("a < b").select("a", "b")
-    many = cut(shared.where(F.col("n") > hot).select("cls").distinct())
-    if many.limit(1).count():
-        full = singles.join(many, "cls", "left_semi").mapInArrow(_long_windows(length), "cls long, print long")
-        again = full.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
-        full = cut(full.join(again.select("print"), "print", "left_semi"))
-        pairs = pairs.unionByName(full.select("print", F.col("cls").alias("a")).join(full.select("print", F.col("cls").alias("b")), "print").where("a < b").select("a", "b"))
-    pairs = cut(pairs.distinct())
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = cut(singles.join(involved, "cls", "left_semi"))
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_compare(length, window), _SPANS)), members
+    with scratch():
+        members, _ = text_classes(docs, key, text, length)
+        extra = members.where("key <> cls").select(F.col("key").alias("extra"))
+        long = docs.where(F.length(text) >= length).select(F.col(key).cast("long").alias("cls"), F.col(text).alias("text")).where("cls is not null")
+        singles = long.join(extra, long["cls"] == extra["extra"], "left_anti")
+        prints = cut(singles.mapInArrow(_fingerprints(length, window), "cls long, print long"))
+        counts = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
+        shared = cut(prints.join(counts, "print"))
+        few = shared.where(F.col("n") <= hot).select("print", "cls")
+        x, y = few.select("print", F.col("cls").alias("a")), few.select("print", F.col("cls").alias("b"))
+        pairs = x.join(y, "print").where("a < b").select("a", "b")
+        many = cut(shared.where(F.col("n") > hot).select("cls").distinct())
+        if many.limit(1).count():
+            full = singles.join(many, "cls", "left_semi").mapInArrow(_long_windows(length), "cls long, print long")
+            again = full.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
+            full = cut(full.join(again.select("print"), "print", "left_semi"))
+            pairs = pairs.unionByName(full.select("print", F.col("cls").alias("a")).join(full.select("print", F.col("cls").alias("b")), "print").where("a < b").select("a", "b"))
+        pairs = cut(pairs.distinct())
+        involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        texts = cut(singles.join(involved, "cls", "left_semi"))
+        both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+        return cut(both.select("a", "b", "ta", "tb").mapInArrow(_compare(length, window), _SPANS), keep=True), members
 
 
 def sharing_pairs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
