@@ -25,7 +25,7 @@ from furrow.session import cut, scratch
 #: How often a vote of each function is taken to be right before any data is seen.
 TRUST = {
     "empty": [0.998, 0.998, 0.997, 0.98, 0.98],
-    "copy": [0.98, 0.98, 0.985, 0.9, 0.97],
+    "copy": [0.98, 0.98, 0.985, 0.9, 0.985, 0.97],
     "refusal": [0.985, 0.9, 0.97, 0.97],
     "truncated": [0.985, 0.99, 0.97, 0.98, 0.97, 0.985, 0.98],
     "language": [0.97, 0.95, 0.9, 0.96],
@@ -46,6 +46,8 @@ _BY_WORD: dict[str, list[str]] = {}
 for _lang, _list in LANGUAGE_WORDS.items():
     for _w in _list:
         _BY_WORD.setdefault(unicodedata.normalize("NFC", _w), []).append(_lang)
+#: Words that add no content to a question given back.
+NEUTRAL = frozenset(_BY_WORD) | frozenset("so know like ask asked asking question wonder wondering want wanted hear say saying said thank thanks me he she they their about whether".split())
 # Letters that only some of the languages write.
 LANGUAGE_LETTERS = {"ha": "ɗƙɓƴ", "ig": "ịụṅ", "yo": "ẹṣ", "fr": "çêîœùûâëï"}
 
@@ -67,6 +69,7 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+|\n+")
 _BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
 _DECOR = re.compile(r"(?:\s*\[(?:SRC|RAW)[^\]\s]*\]|\s*\(locally known as [^()]*\))+\s*$|^\s*\*\*[^*\n]*\*\*\s*", re.I)
 _LEAD = re.compile(r"^(?:yes|no|answer|advice|a)\s*:\s*(?=\S)", re.I)
+_OPENING = re.compile(r"^(?:[\p{L}\p{M}']+\s?){1,4}(?:,(?: but)?|:)\s+(?=\S+\s\S+\s\S)")
 _CODE = re.compile(r"\b[A-Z]{2,}-\d+\b")
 
 
@@ -157,6 +160,7 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     fold = lambda x: re.sub(r"[^\p{L}\p{N}]+", "", unicodedata.normalize("NFD", x).lower())
     fq, fa = fold(q), fold(a)
     within = len(fq) > 10 and fq in fa and len(fa) - len(fq) <= 24
+    content = {w for w in extra if w not in NEUTRAL}
     new_digits = set(re.findall(r"\d+", a)) - set(re.findall(r"\d+", q))
     asked = bool(segs) and a.strip(" \n\"'”»*_").endswith("?")
     c = [
@@ -164,6 +168,7 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
         1 if cover >= 0.6 and len(extra) <= max(4, 0.35 * len(qw)) and len(qw) > 2 else (-1 if cover < 0.4 or len(extra) > 8 else 0),
         1 if asked and cover >= 0.5 and len(extra) <= 12 else 0,
         -1 if new_digits else 0,
+        1 if cover >= 0.6 and not content and len(words) <= len(qw) + 14 and len(qw) > 2 else 0,
     ]
     r = [1 if REFUSAL.search(a) else 0, -1 if re.search(r"\d", a) and not REFUSAL.search(a) else 0]
     last = segs[-1] if segs else ""
@@ -185,7 +190,7 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     lq, _ = language_of(q)
     lg, _ = language_of(g) if g and not REFUSAL_ASKED.search(g) else (None, 0)
     n = len(words)
-    few = n < 4
+    few = n < 4 or js != 0 or 1 in e
     v = lambda x, y: 0 if few or not x or not y else 1 if x != y else -1
     marks = {k for k, s in LANGUAGE_LETTERS.items() if sum(a.lower().count(ch) for ch in s) >= 2}
     qmarks = {k for k, s in LANGUAGE_LETTERS.items() if sum(q.lower().count(ch) for ch in s) >= 2}
@@ -198,17 +203,17 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
             cut_gold = 1
     t.append(cut_gold)
     return {
-        "empty": e, "copy": c, "refusal": r, "truncated": t, "language": lang, "segs": [" ".join(skeleton(s)) for s in segs], "heads": [" ".join(toks[:k]) for k in range(len(toks) - 1, max(len(toks) - 7, 2), -1)] if not stop else [], "ctx": " ".join(toks[:-1]), "last": toks[-1] if toks else "",
-        "stop": stop or dots or js != 0, "asks_refusal": bool(REFUSAL_ASKED.search(g)),
+        "empty": e, "copy": c, "refusal": r, "truncated": t, "language": lang, "segs": [" ".join(skeleton(x)) for s in segs for x in (s, _OPENING.sub("", s)) if x is s or x != s], "heads": [" ".join(toks[:k]) for k in range(len(toks) - 1, max(len(toks) - 7, 2), -1)] if not stop else [], "ctx": " ".join(toks[:-1]), "last": toks[-1] if toks else "",
+        "gives_back": 1 in (c[0], c[1], c[4]), "stop": stop or dots or js != 0, "asks_refusal": bool(REFUSAL_ASKED.search(g)),
     }
 
 
-_FEATURES = "id string, empty array<tinyint>, copy array<tinyint>, refusal array<tinyint>, truncated array<tinyint>, language array<tinyint>, segs array<string>, heads array<string>, ctx string, last string, stop boolean, asks_refusal boolean"
+_FEATURES = "id string, empty array<tinyint>, copy array<tinyint>, refusal array<tinyint>, truncated array<tinyint>, language array<tinyint>, segs array<string>, heads array<string>, ctx string, last string, gives_back boolean, stop boolean, asks_refusal boolean"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), *[pa.list_(pa.int8())] * 5, pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-    names = ["id", *["empty", "copy", "refusal", "truncated", "language"], "segs", "heads", "ctx", "last", "stop", "asks_refusal"]
+    kinds = [pa.string(), *[pa.list_(pa.int8())] * 5, pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
+    names = ["id", *["empty", "copy", "refusal", "truncated", "language"], "segs", "heads", "ctx", "last", "gives_back", "stop", "asks_refusal"]
     for batch in batches:
         rows = [{"id": i} | votes(q, a, g) for i, q, a, g in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
@@ -286,12 +291,15 @@ def label_pairs(results: DataFrame, *, key: str = "id", question: str = "questio
         steps = steps.select(F.array_join(F.slice("toks", 1, F.col("i") - 1), " ").alias("ctx"), F.element_at("toks", F.col("i")).alias("tok"), F.when(F.col("i") == F.col("len"), F.col("n")).otherwise(0).alias("ends"), "n")
         steps = steps.groupBy("ctx", "tok").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
         nexts = steps.groupBy("ctx").agg(F.collect_list(F.struct("tok", "ends", "n")).alias("nexts"))
-        # refusals as they are phrased where they are asked for
-        segs = feats.select("id", "asks_refusal", F.explode("segs").alias("skel"))
-        # sentences seen both where a refusal is asked for and in ordinary records say nothing
-        phrased = segs.groupBy("skel").agg(F.sum(F.col("asks_refusal").cast("int")).alias("asked"), F.count("*").alias("all")).where("asked >= 2 and asked >= 0.25 * all").join(known, "skel", "left_anti").select("skel", F.lit(1).alias("is_ref"))
-        marked = segs.join(known.select("skel", F.lit(1).alias("is_known")), "skel", "left").join(phrased, "skel", "left")
-        per = marked.groupBy("id").agg(F.sum(F.coalesce("is_known", F.lit(0))).alias("n_known"), F.sum(F.coalesce("is_ref", F.lit(0))).alias("n_ref"), F.count("*").alias("n_segs"))
+        segs = feats.select("id", "asks_refusal", "gives_back", F.explode("segs").alias("skel"))
+        per = segs.join(known.select("skel", F.lit(1).alias("is_known")), "skel", "left").groupBy("id").agg(F.sum(F.coalesce("is_known", F.lit(0))).alias("n_known"))
+        # refusals as they are phrased where they are asked for: runs of four words of answers without any known sentence
+        words = F.split("skel", " ")
+        runs = F.when(F.size(words) > 3, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " ")))
+        strange = segs.where("not gives_back").join(per.where("n_known > 0"), "id", "left_anti").select("id", "asks_refusal", F.explode(runs).alias("run")).distinct()
+        phrased = strange.groupBy("run").agg(F.sum(F.col("asks_refusal").cast("int")).alias("asked"), F.count("*").alias("all")).where("asked >= 3 and asked >= 0.25 * all and all > asked")
+        hits = strange.join(phrased.select("run"), "run").groupBy("id").agg(F.count("*").alias("n_ref"))
+        per = per.join(hits, "id", "left")
         # an unfinished sentence that begins with a whole known one runs on ("..., but", "... with about")
         past = feats.select("id", F.explode("heads").alias("skel")).join(known.select("skel"), "skel").groupBy("id").agg(F.count("*").alias("n_past"))
         joined = feats.join(per, "id", "left").join(past, "id", "left").join(nexts, "ctx", "left")
