@@ -130,11 +130,12 @@ def seed_rate(requests: DataFrame, material: DataFrame) -> DataFrame:
     )
     ok = lambda c: F.when(error.isNull(), c)
     safe = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
-    population = F.col("area_ha") * 10000.0 / ((safe("row_cm") / 100.0) * (safe("within_row_cm") / 100.0))
-    # unit_weight_g is the weight of a thousand seeds
-    kg = population * F.col("seeds_per_stand") * F.col("m.unit_weight_g") / 1000.0 / 1000.0 / (safe("germination_pct") / 100.0)
-    units = whole_up(population / F.coalesce(F.nullif(F.col("m.stands_per_unit"), F.lit(0)), F.lit(1)))
-    bundles = F.when(F.col("m.units_per_bundle") > 0, F.ceil(units / F.col("m.units_per_bundle")).cast("long"))
+    population = F.lit(10000.0) / ((safe("row_cm") / 100.0) * (safe("within_row_cm") / 100.0)) * F.col("area_ha")
+    # unit_weight_g is the weight of a thousand seeds; stands_per_unit counts the pieces of a stand
+    kg = population * F.col("seeds_per_stand") / (safe("germination_pct") / 100.0) * (F.col("m.unit_weight_g") / 1000000.0)
+    pieces = population * F.coalesce(F.nullif(F.col("m.stands_per_unit"), F.lit(0)), F.lit(1))
+    units = whole_up(pieces)
+    bundles = F.when(F.col("m.units_per_bundle") > 0, whole_up(pieces / F.col("m.units_per_bundle")))
     return rows.select("request_id", error.alias("error_type"), ok(population).alias("population"), ok(F.when(kind == "seed", half_up(kg))).alias("seed_kg"), ok(F.when(kind != "seed", units)).alias("units"), ok(F.when(kind != "seed", bundles)).alias("bundles"))
 
 

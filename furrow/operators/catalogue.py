@@ -55,7 +55,7 @@ def score_sources(df: DataFrame, *, title="title", abstract="abstract_snippet",
     return out.withColumn("total_score", F.col("relevance_score") + F.col("quality_score") + F.col("accessibility_score"))
 
 
-def feeds_facts(text: Column, kinds: Sequence[str] = ("spacing", "fertilizer_rate", "pest")) -> Column:
+def feeds_facts(text: Column, kinds: Sequence[str] = ("fertilizer_rate", "spacing", "crop_calendar")) -> Column:
     """Whether the text has a keyword of the given table kinds."""
     return F.size(guess_categories(text, {k: TABLE_WORDS[k] for k in kinds})) > 0
 
@@ -171,14 +171,17 @@ def keep_best(ranked: DataFrame, pairs: DataFrame, key: str, rank: str, most: in
 # --- logs, resuming, identifiers ----------------------------------------------------------------------------------------------
 
 
+PERMANENT = ("success", "blocked_robots", "http_404")
+
+
 def classify_outcome(note: Column) -> Column:
-    """Outcome class of a fetch note: success, empty, robots, blocked, rate_limited, timeout, not_found or error."""
-    low = F.lower(F.trim(F.coalesce(note, F.lit(""))))
-    code = F.regexp_extract(low, r":\s*(-?\d+)$", 1).try_cast("int")
+    """Outcome class of a fetch note: success, blocked_robots, connection_error, or by status code http_429, http_500 (any 5xx) and http_404 (any
+    other 4xx). What is not recognised, null too, is a connection_error, which is tried again."""
+    n = F.coalesce(note, F.lit(""))
+    code = F.regexp_extract(n, r":([^:]*)$", 1).try_cast("int")
     return (
-        F.when(low.isin("ok", "success", "done", "downloaded", "200"), "success").when(low == "", "empty").when(low.contains("robots"), "robots")
-        .when((code == 429) | low.contains("rate"), "rate_limited").when(low.contains("timeout") | low.contains("timed out"), "timeout").when((code == 404) | low.contains("not found"), "not_found")
-        .when(low.startswith("blocked") | code.isin(401, 403), "blocked").otherwise("error")
+        F.when(n == "ok", "success").when(n == "robots_disallowed", "blocked_robots").when(n.isin("timeout", "connection_error") | n.startswith("request_error"), "connection_error")
+        .when(code == 429, "http_429").when((code >= 500) & (code < 600), "http_500").when((code >= 400) & (code < 500), "http_404").otherwise("connection_error")
     )
 
 

@@ -19,9 +19,12 @@ from furrow.functions.vocabulary import CROPS, ZONES
 MONTH = r"(January|February|March|April|May|June|July|August|September|October|November|December)"
 KG_HA = r"kg\s*(?:/\s*ha|ha)(?:\s*[-−]\s*1|\s*⁻¹)?"
 NUMBER = r"(\d+(?:\.\d+)?)"
-PESTS = "borer weevil aphid aphids armyworm beetle bug caterpillar mite thrips whitefly mealybug termite nematode rust smut blight wilt mosaic rot mildew anthracnose".split()
-STAGES = ["seedling", "vegetative", "flowering", "tasselling", "fruiting", "maturity", "storage"]
-STATES = "abia adamawa anambra bauchi bayelsa benue borno ebonyi edo ekiti enugu gombe imo jigawa kaduna kano katsina kebbi kogi kwara lagos nasarawa niger ogun ondo osun oyo plateau rivers sokoto taraba yobe zamfara".split()
+PESTS = ["weevil", "borer", "aphid", "nematode", "striga", "armyworm", "thrips", "mealybug", "mite", "beetle", "caterpillar", "worm", "whitefly", "moth", "blight", "rust", "wilt", "mosaic virus", "anthracnose", "smut", "rot", "leaf spot"]
+STAGES = ["seedling", "vegetative", "flowering", "grain filling", "maturity", "germination", "tillering"]
+STATES = [
+    "abia", "adamawa", "akwa ibom", "anambra", "bauchi", "bayelsa", "benue", "borno", "cross river", "delta", "ebonyi", "edo", "ekiti", "enugu", "gombe", "imo", "jigawa", "kaduna", "kano", "katsina", "kebbi", "kogi", "kwara",
+    "lagos", "nasarawa", "niger", "ogun", "ondo", "osun", "oyo", "plateau", "rivers", "sokoto", "taraba", "yobe", "zamfara", "fct", "abuja",
+]
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "crop_calendar": [
         ("plant_in_month", rf"(?i)plant(?:ing)?\s+in\s+{MONTH}"),

@@ -57,12 +57,11 @@ def _any(column: str, words) -> str:
 
 
 def _outcome(status: str = "status") -> str:
-    note = f"lower(trim(coalesce(regexp_replace({status}, '^failed:', ''), '')))"
-    code = f"try_cast(regexp_extract({note}, ':\\s*(-?\\d+)$', 1) AS int)"
+    note = f"coalesce(regexp_replace({status}, '^failed:', ''), '')"
+    code = f"try_cast(regexp_extract({note}, ':([^:]*)$', 1) AS int)"
     return (
-        f"CASE WHEN {note} IN ('ok', 'success', 'done', 'downloaded', '200') THEN 'success' WHEN {note} = '' THEN 'empty' WHEN contains({note}, 'robots') THEN 'robots' "
-        f"WHEN {code} = 429 OR contains({note}, 'rate') THEN 'rate_limited' WHEN contains({note}, 'timeout') OR contains({note}, 'timed out') THEN 'timeout' "
-        f"WHEN {code} = 404 OR contains({note}, 'not found') THEN 'not_found' WHEN starts_with({note}, 'blocked') OR {code} IN (401, 403) THEN 'blocked' ELSE 'error' END"
+        f"CASE WHEN {note} = 'ok' THEN 'success' WHEN {note} = 'robots_disallowed' THEN 'blocked_robots' WHEN {note} IN ('timeout', 'connection_error') OR starts_with({note}, 'request_error') THEN 'connection_error' "
+        f"WHEN {code} = 429 THEN 'http_429' WHEN {code} BETWEEN 500 AND 599 THEN 'http_500' WHEN {code} BETWEEN 400 AND 499 THEN 'http_404' ELSE 'connection_error' END"
     )
 
 
@@ -193,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "licence_left_join": _M + ", l AS (SELECT source_id, max(licence) AS licence FROM sources GROUP BY source_id) SELECT m.id, coalesce(l.licence, '') AS licence FROM m LEFT JOIN l ON l.source_id = m.id",
         "chunk_provenance_join": _C + ", s AS (SELECT source_id, min(title) AS source_title FROM sources GROUP BY source_id) SELECT source_id, source_title, count(*) AS n_chunks FROM c JOIN s USING (source_id) GROUP BY ALL",
         "rejected_chunks": _C + " SELECT source_id, count(*) AS n_chunks FROM c WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.source_id = c.source_id) GROUP BY source_id",
-        "resume_antijoin": f"SELECT DISTINCT id FROM download_manifest d WHERE NOT EXISTS (SELECT 1 FROM fetch_log f WHERE f.id = d.id AND {_outcome('f.status')} IN ('success', 'robots', 'not_found'))",
+        "resume_antijoin": f"SELECT DISTINCT id FROM download_manifest d WHERE NOT EXISTS (SELECT 1 FROM fetch_log f WHERE f.id = d.id AND {_outcome('f.status')} IN ('success', 'blocked_robots', 'http_404'))",
         "query_grid": f"SELECT crop, country, crop || ' ' || country || ' planting guide' AS query FROM (SELECT unnest({_list(CROPS)}) AS crop), (SELECT unnest({_list(COUNTRIES)}) AS country)",
         "word_column_range_join": "SELECT CASE WHEN x0 >= 0 AND x0 < 10 THEN 'a' WHEN x0 >= 10 AND x0 < 25.5 THEN 'b' WHEN x0 >= 25.5 AND x0 < 40 THEN 'c' WHEN x0 >= 40 AND x0 < 50 THEN 'd' END AS \"column\", count(*) AS n, max(x0) AS max_x0 FROM (SELECT cast(l_quantity AS double) AS x0 FROM lineitem) GROUP BY 1",
         "anchor_band_asof": "SELECT l.event_id, r.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts",
@@ -247,9 +246,9 @@ cand AS (SELECT q.rid, r.id, CASE WHEN soil IS NOT NULL THEN CASE WHEN r.soil_cl
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p1, p2, id) AS k FROM cand) WHERE k = 1)
 SELECT q.request_id, b.id AS rate_id, b.p1 = 0 AND b.p2 = 0 AS matched_exactly, CASE WHEN q.area_ha <= 0 THEN 'InvalidInput' WHEN b.id IS NULL THEN 'MissingConstant' END AS error_type FROM q LEFT JOIN best b USING (rid)""",
         "fert_error_status": "WITH " + _REQUESTS + ", " + _values("calc_fertilizer_rate") + " SELECT error_type, count(*) AS n FROM (SELECT CASE WHEN area_ha <= 0 THEN 'InvalidInput' WHEN r.id IS NULL THEN 'MissingConstant' END AS error_type FROM req q LEFT JOIN calc_fertilizer_rate r ON r.crop = q.crop AND r.zone = q.zone) GROUP BY error_type",
-        "seed_rate": "WITH " + _REQUESTS + ", " + _values("calc_planting_material") + """, p AS (SELECT q.*, m.material_type, m.stands_per_unit, m.units_per_bundle, area_ha * 10000.0::double / ((75.0::double / 100.0::double) * (25.0::double / 100.0::double)) AS pop, 100 - l_discount * 100 AS germ FROM req q LEFT JOIN calc_planting_material m ON m.crop = q.crop)
+        "seed_rate": "WITH " + _REQUESTS + ", " + _values("calc_planting_material") + """, p AS (SELECT q.*, m.material_type, m.stands_per_unit, m.units_per_bundle, 10000.0::double / ((75.0::double / 100.0::double) * (25.0::double / 100.0::double)) * area_ha AS pop, 100 - l_discount * 100 AS germ FROM req q LEFT JOIN calc_planting_material m ON m.crop = q.crop)
 SELECT request_id, CASE WHEN area_ha <= 0 OR germ <= 0 OR germ > 100 THEN 'InvalidInput' WHEN material_type IS NULL THEN 'MissingConstant' END AS error_type,
- CASE WHEN material_type IS NOT NULL THEN round(pop, 4) END AS population, CASE WHEN material_type <> 'seed' THEN ceil(round(pop, 9))::bigint END AS units, CASE WHEN material_type <> 'seed' AND units_per_bundle > 0 THEN ceil(ceil(round(pop, 9)) / units_per_bundle)::bigint END AS bundles FROM p""",
+ CASE WHEN material_type IS NOT NULL THEN round(pop, 4) END AS population, CASE WHEN material_type <> 'seed' THEN ceil(round(pop, 9))::bigint END AS units, CASE WHEN material_type <> 'seed' AND units_per_bundle > 0 THEN ceil(round(pop / units_per_bundle, 9))::bigint END AS bundles FROM p""",
         "spray_dilution": "WITH " + _REQUESTS + ", " + _values("calc_agrochemical") + """, q AS (SELECT rid, request_id, crop, ['Glyphosate','Paraquat','Mancozeb','Atrazine','Nothing'][l_linenumber % 5 + 1] AS product_name, cast(l_quantity AS double) AS tank FROM req),
 b AS (SELECT * FROM (SELECT q.*, a.id, a.rate_per_ha, a.rate_unit, a.pre_harvest_interval_days AS days, CASE WHEN a.crop = q.crop THEN 0 WHEN coalesce(a.crop, '') = '' THEN 1 ELSE 2 END AS pref, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN a.crop = q.crop THEN 0 WHEN coalesce(a.crop, '') = '' THEN 1 ELSE 2 END, a.id) AS k FROM q LEFT JOIN calc_agrochemical a ON a.product_name = q.product_name) WHERE k = 1)
 SELECT request_id, CASE WHEN tank <= 0 THEN 'InvalidInput' WHEN id IS NULL THEN 'MissingConstant' END AS error_type, CASE WHEN id IS NOT NULL THEN round(round(rate_per_ha * 1000.0::double * tank / 200.0::double, 9), 0) END AS amount,

@@ -193,7 +193,8 @@ def safety_override(spark, sf):
 
 @query
 def structural_checks(spark, sf):
-    rows = D.structural_flags(_chunks(spark, sf, "token_count", "text"))
+    # flags first: the text itself is never shuffled
+    rows = latest(D.structural_flags(_t(spark, sf, "chunks")), "chunk_id", "chunked_at", ["too_short", "broken_table"])
     return rows.groupBy("too_short", "broken_table").agg(F.count("*").alias("n"))
 
 
@@ -220,7 +221,7 @@ def rejected_chunks(spark, sf):
 @query
 def resume_antijoin(spark, sf):
     work = _t(spark, sf, "download_manifest").select("id").distinct()
-    return C.remaining(work, _t(spark, sf, "fetch_log"), "id", C.classify_outcome(F.regexp_replace("status", "^failed:", "")).isin("success", "robots", "not_found"))
+    return C.remaining(work, _t(spark, sf, "fetch_log"), "id", C.classify_outcome(F.regexp_replace("status", "^failed:", "")).isin(*C.PERMANENT))
 
 
 @query
@@ -366,7 +367,7 @@ def tokenize_unicode(spark, sf):
 
 @query
 def token_count(spark, sf):
-    return _chunks(spark, sf, "text").select("chunk_id", X.token_count("text").alias("n"))
+    return latest(_t(spark, sf, "chunks").withColumn("n", X.token_count("text")), "chunk_id", "chunked_at", ["n"]).select("chunk_id", "n")
 
 
 @query
@@ -376,7 +377,7 @@ def content_tokens(spark, sf):
 
 @query
 def proxy_f1(spark, sf):
-    return _results(spark, sf, "answer_text", "gold_answer").select("id", X.proxy_f1("answer_text", "gold_answer").alias("f1"))
+    return latest(_t(spark, sf, "eval_results").withColumn("f1", X.proxy_f1("answer_text", "gold_answer")), "id", "answered_at", ["f1"]).select("id", "f1")
 
 
 @query

@@ -44,8 +44,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-_SKIP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript"}
-_BAD = ("nav", "menu", "sidebar", "footer", "cookie", "banner", "advert", "share")
+# Elements, and parts of class names, that hold no content.
+_SKIP = {"nav", "footer", "aside", "script", "style", "header", "form", "iframe"}
+_BAD = ("nav", "footer", "sidebar", "menu", "breadcrumb", "cookie", "banner", "advert")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
