@@ -114,14 +114,12 @@ def count_of(text: Column, word: str) -> Column:
 def classify_topic(text: ColumnOrName, topics: Mapping[str, Sequence[str]], default: str = "unclassified") -> Column:
     """The topic with most keyword occurrences (parts of words count); the earlier topic wins ties."""
     low = F.lower(F.coalesce(_col(text), F.lit("")))
-    scored = []
-    for i, (name, words) in enumerate(topics.items()):
-        total = count_of(low, words[0])
-        for w in words[1:]:
-            total = total + count_of(low, w)
-        scored.append(F.struct(total.alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("topic")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["topic"]).otherwise(F.lit(default))
+    table = F.array(*[F.struct(F.lit(-i).alias("o"), F.lit(name).alias("topic"), _words(words).alias("words")) for i, (name, words) in enumerate(topics.items())])
+    count = lambda t, w: F.floor((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")
+    score = lambda t, k: F.struct(F.aggregate(k["words"], F.lit(0), lambda n, w: n + count(t, w)).alias("n"), k["o"].alias("o"), k["topic"].alias("topic"))
+    # arrays of one element name an intermediate result, so that it is computed once
+    best = F.transform(F.array(low), lambda t: F.array_max(F.transform(table, lambda k: score(t, k))))
+    return F.transform(best, lambda x: F.when(x["n"] > 0, x["topic"]).otherwise(F.lit(default)))[0]
 
 
 # --- normalisation ------------------------------------------------------------------------------------------------------------
