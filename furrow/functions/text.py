@@ -106,11 +106,6 @@ def guess_categories(text: ColumnOrName, categories: Mapping[str, Sequence[str]]
     return F.array_compact(F.array(*hits))
 
 
-def count_of(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a plain string."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
-
-
 def classify_topic(text: ColumnOrName, topics: Mapping[str, Sequence[str]], default: str = "unclassified") -> Column:
     """The topic with most keyword occurrences (parts of words count); the earlier topic wins ties."""
     low = F.lower(F.coalesce(_col(text), F.lit("")))
