@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.text import crop_list, gestalt_ratio, guess_categories, split_list, truthy
+from furrow.functions.text import crop_list, guess_categories, split_list, truthy
 from furrow.functions.vocabulary import LOOSE_ZONES, PUBLISHER_POINTS, TABLE_WORDS
+from furrow.operators.ordering import prefix_totals
 from furrow.session import cut
 
 
@@ -128,26 +132,82 @@ def by_publisher(df: DataFrame, publisher: Column, pages: Column) -> DataFrame:
     return run.select("publisher", "n", "pages", (F.col("before") + F.col("pages")).alias("running_pages"), "position")
 
 
-def title_pairs(df: DataFrame, key: str, title: str, crops: Column, threshold: float = 0.85) -> DataFrame:
+def _counted(text: str, size: int) -> list[tuple[str, int]]:
+    """The runs of ``size`` characters of a text, each with the number of its occurrence so far."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(text) - size + 1):
+        run = text[i : i + size]
+        seen[run] = seen.get(run, 0) + 1
+        out.append((run, seen[run]))
+    return out
+
+
+def _shared(left: list[str], right: list[str], size: int, wide: int = 4096) -> np.ndarray:
+    """How many runs of ``size`` characters each left text has in common with each right one, repeats counted."""
+    numbers: dict[tuple[str, int], int] = {}
+    sides = [[[numbers.setdefault(x, len(numbers)) for x in _counted(t, size)] for t in left], [[numbers[x] for x in _counted(t, size) if x in numbers] for t in right]]
+    flat = [(np.repeat(np.arange(len(side)), [len(x) for x in side]), np.array([n for x in side for n in x], dtype=np.int64)) for side in sides]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(numbers), wide):
+        cells = []
+        for side, (at, n) in zip(sides, flat, strict=True):
+            here = (n >= low) & (n < low + wide)
+            m = np.zeros((len(side), min(wide, len(numbers) - low)), np.float32)
+            m[at[here], n[here] - low] = 1
+            cells.append(m)
+        out += cells[0] @ cells[1].T
+    return out
+
+
+def _alike(threshold: float):
+    """Pairs of one task: rows of block ``a`` with rows of block ``b`` of a crop, each pair at the first crop it has in common."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(rows["a"].iloc[0]), int(rows["b"].iloc[0])
+        left, right = rows[rows["block"] == a].reset_index(drop=True), rows[rows["block"] == b].reset_index(drop=True)
+        total = left["n"].to_numpy(np.float64)[:, None] + right["n"].to_numpy(np.float64)[None, :]
+        # the ratio is 2 m / total for m matched characters in order; of their m - 1 neighbours at most total - 2 m are torn apart
+        least = np.ceil(threshold * total / 2 - 1e-9)
+        near = np.minimum(left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]) >= least
+        if a == b:
+            near &= np.tri(len(left), k=-1, dtype=bool)
+        for size, need in ((1, least), (2, 3 * least - total - 1)):
+            near &= _shared(left["t"].tolist(), right["t"].tolist(), size) >= need
+        out = []
+        for i, j in zip(*np.nonzero(near), strict=True):
+            common = set(left["crops"][i]) & set(right["crops"][j])
+            if common and min(common) != left["crop"][i]:
+                continue
+            (early, te), (late, tl) = sorted(((left["k"][i], left["t"][i]), (right["k"][j], right["t"][j])))
+            if (ratio := difflib.SequenceMatcher(None, tl, te).ratio()) > threshold:
+                out.append((early, late, ratio))
+        return pd.DataFrame(out, columns=["earlier", "later", "ratio"])
+
+    return run
+
+
+def title_pairs(df: DataFrame, key: str, title: str, crops: Column, threshold: float = 0.85, block: int = 2000) -> DataFrame:
     """(earlier, later, ratio): pairs of rows with a common crop, or both without, whose lower-case titles are more alike than the
     threshold (Ratcliff-Obershelp, the later row first). ``earlier`` is the smaller key.
 
-    Two strings this alike share a run of characters, so rows meet on 6-character runs of their titles that are rare among those of
-    the title (its eight rarest), not on the crop alone; the ratio is computed for candidates of similar length
-    that have enough characters in common. A pair whose edits break all eight runs on both sides is missed.
+    Complete: every pair of a crop whose lengths allow the ratio is looked at, block against block in order of length. A pair is
+    dropped without its ratio only if it has too few characters, or too few runs of two, in common for the threshold. The work grows
+    with the square of the rows of a crop; a task holds two blocks whatever the size of the crop.
     """
     low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    rows = cut(df.select(F.col(key).alias("k"), low.alias("t"), crops.alias("crops")).where("t <> ''"))
-    grams = rows.select("k", F.explode(F.array_distinct(F.when(F.length("t") > 6, F.transform(F.sequence(F.lit(1), F.length("t") - 5), lambda i: F.substring("t", i, 6))).otherwise(F.array("t")))).alias("g"))
-    df_ = grams.groupBy("g").agg(F.count("*").alias("df"))
-    rare = grams.join(df_.where("df > 1"), "g").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("df", "g"))).where("r <= 8").select("k", "g")
-    pairs = rare.alias("a").join(rare.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias("earlier"), F.col("b.k").alias("later")).distinct()
-    x = rows.select(F.col("k").alias("earlier"), F.col("t").alias("te"), F.col("crops").alias("ce"))
-    y = rows.select(F.col("k").alias("later"), F.col("t").alias("tl"), F.col("crops").alias("cl"))
-    near = pairs.join(x, "earlier").join(y, "later").where(F.arrays_overlap("ce", "cl") | ((F.size("ce") == 0) & (F.size("cl") == 0)))
+    rows = df.select(F.col(key).alias("k"), low.alias("t"), crops.alias("crops")).where("t <> ''").withColumn("n", F.length("t"))
+    each = rows.withColumn("crop", F.explode(F.when(F.size("crops") > 0, F.col("crops")).otherwise(F.array(F.lit("")))))
+    placed = cut(prefix_totals(each, ["crop"], [F.col("n").asc(), F.col("k").asc()], rank="r").withColumn("block", F.floor((F.col("r") - 1) / block)).drop("r"))
+    spans = placed.groupBy("crop", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = spans.select("crop", F.col("block").alias("a"), F.col("hi").alias("most")), spans.select("crop", F.col("block").alias("b"), F.col("lo").alias("least"))
     # no ratio can exceed twice the shorter length over the sum of lengths
-    near = near.where(2 * F.least(F.length("te"), F.length("tl")) > threshold * (F.length("te") + F.length("tl")))
-    return near.withColumn("ratio", gestalt_ratio("tl", "te")).where(F.col("ratio") > threshold).select("earlier", "later", "ratio")
+    tasks = x.join(y, "crop").where((F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) & (2 * F.col("most") >= (threshold - 1e-9) * (F.col("most") + F.col("least")))))
+    parts = tasks.select("crop", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = placed.join(parts, ["crop", "block"]).repartition(4 * spread, "crop", "a", "b")
+    kind = dict(rows.dtypes)["k"]
+    return cut(met.groupBy("crop", "a", "b").applyInPandas(_alike(threshold), f"earlier {kind}, later {kind}, ratio double"))
 
 
 def keep_best(ranked: DataFrame, pairs: DataFrame, key: str, rank: str, most: int = 100) -> DataFrame:

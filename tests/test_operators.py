@@ -64,6 +64,26 @@ def test_title_pairs_and_greedy_dedup(spark):
     assert sorted(r.id for r in C.keep_best(df, pairs, "id", "r").collect()) == ["a", "d", "e"]
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_title_pairs_find_every_pair_that_comparing_all_finds(spark, block):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("bdgkmnprst") + rng.choice("aeiou") for _ in range(4))
+    titles = ["Deep pruning in maize at garobobo, nkoginkoma and gipatadan [vqug-44469]", "Deep pruning in maize at garobobo & nkoginkoma & gipatadan [vqug/44469]", "ab", "ab", ""]
+    for _ in range(25):
+        t = f"Deep {rng.choice(['pruning', 'liming'])} in maize at {name()}, {name()} and {name()} [{name()[:4]}-{rng.randrange(10**5):05}]"
+        titles += [t, t.replace(",", " &").replace("-", "/"), "".join(c for c in t if rng.random() > 0.07), "".join(c + "." * (rng.random() < 0.12) for c in t)]
+    rows = [(f"k{i:03}", t, rng.choice(["maize", "rice;maize", "rice", ""])) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "id string, title string, crops string")
+    want = set()
+    for i, (a, ta, ca) in enumerate(rows):
+        for b, tb, cb in rows[i + 1 :]:
+            sa, sb = set(ca.split(";")), set(cb.split(";"))
+            if ta and tb and sa & sb and difflib.SequenceMatcher(None, tb.lower(), ta.lower()).ratio() > 0.85:
+                want.add((a, b))
+    got = [(r.earlier, r.later) for r in C.title_pairs(df, "id", F.col("title"), X.crop_list("crops"), **({} if block == 2000 else {"block": block})).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_blocked_log(spark):
     lines = ["[2024-01-01] source=S url=http://a status=blocked:403 headers={}", "[2024-01-02] source=S url=http://a status=blocked:429 headers={}", "[2024-01-02] source=S url=http://b status=ok headers={}", "junk"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
