@@ -422,19 +422,23 @@ def inverted_index_text(spark, sf):
 # --- documents ----------------------------------------------------------------------------------------------------------------
 
 
+def _cleaned(spark, sf) -> DataFrame:
+    return D.clean_documents(_t(spark, sf, "documents"))
+
+
 @query
 def clean_documents(spark, sf):
-    return D.clean_documents(_t(spark, sf, "documents"))
+    return _cleaned(spark, sf)
 
 
 @query
 def unit_types(spark, sf):
-    return D.document_units(_t(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return D.document_units(_cleaned(spark, sf), text="clean_text").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query
 def chunk_documents(spark, sf):
-    return D.chunk_documents(_t(spark, sf, "documents"))
+    return D.chunk_documents(_cleaned(spark, sf), text="clean_text")
 
 
 @query

@@ -16,6 +16,7 @@ from furrow.operators import retrieval as R
 from furrow.operators import vectors as V
 from furrow.operators.latest import latest
 from furrow.operators.ordering import prefix_totals
+from furrow.plans import queries as Q
 from furrow.sources import files
 from furrow.streaming.incremental import run_new
 
@@ -116,6 +117,14 @@ def test_units_and_chunks():
     assert all(f"p{i}." in " ".join(c[0] for c in chunks) for i in range(8))
 
 
+def test_units_and_chunks_of_the_tables_cover_documents_without_markers(spark, tmp_path):
+    texts = [(1, "No marker here, only a sentence on maize."), (2, "[[PAGE:1]]\nMarked text on rice."), (3, " "), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.page_start) for r in Q.queries()["chunk_documents"](spark, str(tmp_path)).collect()}
+    assert got == {1: (texts[0][1], 1), 2: ("Marked text on rice.", 1)}
+    assert [tuple(r) for r in Q.queries()["unit_types"](spark, str(tmp_path)).collect()] == [("paragraph", 2, len(texts[0][1]) + 20)]
+
+
 def test_extract_links_the_nearest_crop(spark):
     docs = [(1, "Maize does well. Sow at 75 cm x 25 cm. The price of rice fell."), (2, "apply 50 kg/ha of urea to cowpea"), (3, ""), (4, None), (5, "Planting in March; first rains: April in the Forest Zone for yam")]
     df = spark.createDataFrame(docs, "doc_id int, text string")
