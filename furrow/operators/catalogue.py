@@ -187,16 +187,16 @@ def _alike(threshold: float):
     return run
 
 
-def title_pairs(df: DataFrame, key: str, title: str, crops: Column, threshold: float = 0.85, block: int = 2000) -> DataFrame:
+def title_pairs(df: DataFrame, key: str, title: str, crops: Column, threshold: float = 0.85, block: int = 2000, blanks: bool = False) -> DataFrame:
     """(earlier, later, ratio): pairs of rows with a common crop, or both without, whose lower-case titles are more alike than the
-    threshold (Ratcliff-Obershelp, the later row first). ``earlier`` is the smaller key.
+    threshold (Ratcliff-Obershelp, the later row first). ``earlier`` is the smaller key. Blank titles are left out, or alike with ``blanks``.
 
     Complete: every pair of a crop whose lengths allow the ratio is looked at, block against block in order of length. A pair is
     dropped without its ratio only if it has too few characters, or too few runs of two, in common for the threshold. The work grows
     with the square of the rows of a crop; a task holds two blocks whatever the size of the crop.
     """
     low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    rows = df.select(F.col(key).alias("k"), low.alias("t"), crops.alias("crops")).where("t <> ''").withColumn("n", F.length("t"))
+    rows = df.select(F.col(key).alias("k"), low.alias("t"), crops.alias("crops")).where(F.lit(blanks) | (F.col("t") != "")).withColumn("n", F.length("t"))
     each = rows.withColumn("crop", F.explode(F.when(F.size("crops") > 0, F.col("crops")).otherwise(F.array(F.lit("")))))
     placed = cut(prefix_totals(each, ["crop"], [F.col("n").asc(), F.col("k").asc()], rank="r").withColumn("block", F.floor((F.col("r") - 1) / block)).drop("r"))
     spans = placed.groupBy("crop", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))

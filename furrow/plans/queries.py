@@ -19,6 +19,7 @@ from furrow.operators import vectors as V
 from furrow.operators.latest import latest
 from furrow.operators.ordering import prefix_totals
 from furrow.plans.questions import SAFETY, answer
+from furrow.session import cut
 from furrow.sources.files import page_links
 from furrow.streaming.incremental import tumbling_counts
 
@@ -253,10 +254,12 @@ def title_duplicate_risk(spark, sf):
 @query
 def manifest_dedup(spark, sf):
     rows = _manifest(spark, sf, "title", "crops_covered", "score")
-    pairs = C.title_pairs(rows, "id", F.col("title"), X.crop_list("crops_covered"))
     score = F.when(~F.isnan("score"), F.col("score"))
-    ranked = prefix_totals(rows, [], [score.desc_nulls_last(), F.col("id").asc()])
-    return C.keep_best(ranked.select("id", "rank"), pairs, "id", "rank")
+    ranked = cut(prefix_totals(rows, [], [score.desc_nulls_last(), F.col("id").asc()]).select("id", "rank", F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("title"), X.crop_list("crops_covered").alias("crops")))
+    # of rows with one title and the same crops only the best can stay: what beats it beats the others too
+    best = cut(ranked.groupBy("title", "crops").agg(F.min(F.struct("rank", "id")).alias("v")).select("v.id", "v.rank", "title", "crops"))
+    pairs = C.title_pairs(best, "rank", F.col("title"), F.col("crops"), blanks=True)
+    return C.keep_best(best.select("id", "rank"), pairs, "rank", "rank")
 
 
 # --- aggregations -------------------------------------------------------------------------------------------------------------

@@ -85,6 +85,23 @@ def test_title_pairs_find_every_pair_that_comparing_all_finds(spark, block):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_manifest_dedup_equals_the_loop_of_the_reference(spark, tmp_path):
+    rng = random.Random(5)
+    base = ["Deep pruning of maize at garobobo and nkogin", "Early liming of rice at gipatadan", "", " "]
+    rows = []
+    for i in range(60):
+        t = rng.choice(base)
+        t = "".join(rng.choice("xyz") if rng.random() < 0.13 else c for c in t) if t.strip() and rng.random() < 0.8 else t
+        rows.append((f"k{i:02}", None if i == 7 else t, rng.choice(["maize", "maize;rice", "rice", "", "yam"]), float(rng.randrange(9)), i))
+    spark.createDataFrame(rows, "id string, title string, crops_covered string, score double, listed_at int").write.parquet(f"{tmp_path}/download_manifest.parquet")
+    kept = []
+    for k, t, c, _, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        t, c = (t or "").strip().lower(), {x for x in c.split(";") if x}
+        if not any((c & kc or not (c or kc)) and difflib.SequenceMatcher(None, t, kt).ratio() > 0.85 for _, kt, kc in kept):
+            kept.append((k, t, c))
+    assert sorted(r.id for r in Q.queries()["manifest_dedup"](spark, str(tmp_path)).collect()) == sorted(k for k, _, _ in kept)
+
+
 def test_blocked_log(spark):
     lines = ["[2024-01-01] source=S url=http://a status=blocked:403 headers={}", "[2024-01-02] source=S url=http://a status=blocked:429 headers={}", "[2024-01-02] source=S url=http://b status=ok headers={}", "junk"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
