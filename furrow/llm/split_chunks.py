@@ -9,7 +9,7 @@ overlap's characters of the one before, beginning at a boundary too.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +28,28 @@ _KINDS = [
 ]
 _ROW = re.compile(r"\n")
 _SPACE = re.compile(r"\s+")
+_CELL = re.compile(r"\|[ \t]*")
 
 
-def boundaries(text: str, is_table: bool, stretch: int = LIMIT // 4) -> dict[int, float]:
-    """Positions after which a piece may end, with the penalty of each; in a table only the ends of rows.
+def boundaries(text: str, is_table: bool, stretch: int = LIMIT // 4, limit: int = LIMIT) -> dict[int, float]:
+    """Positions after which a piece may end, with the penalty of each; in a table only the ends of rows, and inside a row
+    longer than ``limit`` those of cells, and of words where cells leave more than ``stretch`` characters.
 
     Paragraph and sentence ends are always taken; ends of lines, and then of words, where no better boundary
     occurs for more than ``stretch`` characters.
     """
     if is_table:
-        return {m.end(): PARAGRAPH for m in _ROW.finditer(text) if m.end() < len(text)}
+        found = {m.end(): PARAGRAPH for m in _ROW.finditer(text) if m.end() < len(text)}
+        for kind, cost, least in ((_CELL, LINE, limit), (_SPACE, WORD, min(stretch, limit))):
+            marks = [0, *sorted(found), len(text)]
+            rows = [0, *sorted(p for p, c in found.items() if c == PARAGRAPH), len(text)]
+            for x, y in zip(marks, marks[1:]):
+                row = bisect_right(rows, x)
+                if y - x > least and rows[row] - rows[row - 1] > limit:
+                    for m in kind.finditer(text, x, y):
+                        if x < m.end() < y:
+                            found.setdefault(m.end(), cost)
+        return found
     found: dict[int, float] = {}
     for kind, cost in _KINDS:
         marks = [0, *sorted(found), len(text)]
@@ -74,7 +86,7 @@ def split_text(text: str, is_table: bool = False, limit: int = LIMIT, overlap: i
     if n <= limit:
         return [(0, 0, n)]
     room = limit if is_table else limit - overlap  # a fresh part leaves room for the overlap before it
-    marks = boundaries(text, is_table)
+    marks = boundaries(text, is_table, limit=limit)
     ends = sorted(marks)
     ends, costs = _fill(ends, [marks[p] for p in ends], n, room)
     points, pay = [0, *ends, n], [0.0, *costs, 0.0]
@@ -145,13 +157,14 @@ def split_oversized(chunks: DataFrame, *, key: str = "chunk_id", at: str = "chun
     """Pieces (key, piece, char_start, char_end, overlap_chars, piece_text) of every current text above the limit.
 
     Lengths are code points. A text counts as a table if its flag is true, or if the flag is null or false although every
-    non-empty line is a table row (flags are often wrong); a row longer than the limit is cut like prose words.
+    non-empty line is a table row (flags are often wrong); a true flag counts only if there is a table row. A row longer than the limit is
+    cut between cells, else between words.
     Null and short texts give no row.
     """
     rows = current_oversized(chunks, key=key, at=at, text=text, table=table, limit=limit)
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     looks = F.forall(lines, lambda x: F.ltrim(x).startswith("|") | F.ltrim(x).startswith("[[")) & (F.size(lines) > 1)
-    has_rows = F.size(F.filter(lines, lambda x: F.ltrim(x).startswith("|"))) > 1
-    kind = looks | (F.coalesce(F.col("is_table"), F.lit(False)) & (has_rows | (F.size(lines) > 2)))
+    has_rows = F.exists(lines, lambda x: F.ltrim(x).startswith("|"))
+    kind = looks | (F.coalesce(F.col("is_table"), F.lit(False)) & has_rows)
     out = rows.select("key", "text", kind.alias("is_table")).mapInArrow(_run(limit, overlap), f"key {dict(rows.dtypes)['key']}, piece int, char_start int, char_end int, overlap_chars int, piece_text string")
     return out.withColumnRenamed("key", key)

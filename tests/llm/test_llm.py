@@ -119,6 +119,22 @@ def test_cuts_are_optimal_and_natural():
     assert cost(got) == pytest.approx(best)
 
 
+def test_long_rows_are_cut_at_cells_or_words():
+    cells = "| head |\n" + "| " + " | ".join(f"cell{i:04}x" for i in range(400)) + " |\n| end |"
+    words = "| " + " ".join(f"word{i:04}" for i in range(500)) + " |\n| end |"
+    for text, mark in ((cells, "| "), (words, " ")):
+        pieces = split.split_text(text, True)
+        assert "".join(text[f:b] for _, f, b in pieces) == text and all(b - a <= split.LIMIT for a, _, b in pieces)
+        assert len(pieces) > 2 and all(text[:b].endswith((mark, "\n")) for _, _, b in pieces[:-1])
+
+
+def test_a_table_flag_on_prose_is_not_believed(spark):
+    text = "\n".join("A sentence on maize. Another one on rice." * 9 for _ in range(9))
+    df = spark.createDataFrame([("a", 1, text, True)], "chunk_id string, chunked_at int, text string, is_table boolean")
+    got = split.split_oversized(df).collect()
+    assert len(got) > 1 and max(r.overlap_chars for r in got) > 0
+
+
 def test_only_current_versions_count(spark):
     t = lambda d: datetime(2024, 1, d)
     long = "One. " * 500
