@@ -600,7 +600,7 @@ def threshold_sweep(spark, sf):
 
 @query
 def answer_questions(spark, sf):
-    """Question to answer in one plan: safety, routing by the recorded tier, facts or context, and the refusal."""
+    """Question to answer in one plan: safety, refusal by the recorded tier, else spacing facts. The branches of tiers B and C are not built."""
     rows = _results(spark, sf, "question", "routed_tier")
     return answer(rows.where("question is not null").select("id", "question", "routed_tier"), E.extract(_t(spark, sf, "documents"), "spacing"))
 
