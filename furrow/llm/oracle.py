@@ -42,6 +42,28 @@ WHERE len(list_intersect(a.words, b.words)) >= 0.6 * (len(a.words) + len(b.words
 )
 _CHUNKS = "SELECT chunk_id FROM (SELECT chunk_id, text, row_number() OVER (PARTITION BY chunk_id ORDER BY chunked_at DESC) AS rn FROM chunks) WHERE rn = 1 AND length(text) > 1800"
 
+_WINDOWS = """WITH classes AS (SELECT min(doc_id) AS cls, text, length(text) AS n, count(*) AS copies FROM documents WHERE length(text) >= 200 GROUP BY text),
+ids AS (SELECT d.doc_id, c.cls FROM documents d JOIN classes c ON c.text = d.text),
+windows AS (SELECT cls, s, substring(text, s + 1, 200) AS w FROM (SELECT cls, text, unnest(range(n - 199)) AS s FROM classes)),
+repeated AS (SELECT w, count(DISTINCT cls) AS n_texts FROM windows GROUP BY w HAVING count(DISTINCT cls) > 1),
+hits AS (SELECT cls, s, w, n_texts FROM windows JOIN repeated USING (w))
+"""
+_SHARING = (
+    _WINDOWS
+    + """, links AS (SELECT DISTINCT a.cls AS a, b.cls AS b FROM hits a JOIN hits b ON a.w = b.w AND a.cls < b.cls)
+SELECT least(x.doc_id, y.doc_id) AS doc_id_a, greatest(x.doc_id, y.doc_id) AS doc_id_b FROM links JOIN ids x ON x.cls = links.a JOIN ids y ON y.cls = links.b
+UNION SELECT x.doc_id, y.doc_id FROM ids x JOIN ids y ON x.cls = y.cls AND x.doc_id < y.doc_id"""
+)
+_SHARED = (
+    _WINDOWS
+    + """, islands AS (SELECT cls, s, n_texts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY cls ORDER BY s) AS island FROM (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY cls ORDER BY s) > 200, true) AS gap FROM (SELECT DISTINCT cls, s, n_texts FROM hits))),
+spans AS (SELECT cls, island, min(s) AS s, max(s) + 200 AS e, max(n_texts) AS most FROM islands GROUP BY cls, island),
+part AS (SELECT cls, sum(e - s) AS chars, count(*) AS k, string_agg(s || '-' || e, ',' ORDER BY s) AS iv, max(most) AS most FROM spans GROUP BY cls),
+per AS (SELECT c.cls, CASE WHEN c.copies > 1 THEN c.n ELSE coalesce(p.chars, 0) END AS chars, CASE WHEN c.copies > 1 THEN 1 ELSE coalesce(p.k, 0) END AS k, CASE WHEN c.copies > 1 THEN '0-' || c.n ELSE coalesce(p.iv, '') END AS iv, coalesce(p.most, CASE WHEN c.copies > 1 THEN 1 ELSE 0 END) AS most FROM classes c LEFT JOIN part p USING (cls))
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(p.chars, 0)::bigint AS shared_chars, CASE WHEN length(d.text) > 0 THEN round(coalesce(p.chars, 0) / length(d.text), 6) ELSE 0.0 END::double AS shared_share,
+ coalesce(p.k, 0) AS n_intervals, coalesce(p.iv, '') AS intervals, coalesce(p.most, 0) AS most_texts, coalesce(i.cls, d.doc_id) AS text_class FROM documents d LEFT JOIN ids i USING (doc_id) LEFT JOIN per p ON p.cls = i.cls"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -53,4 +75,6 @@ FROM goals g LEFT JOIN ranked r ON r.who = g.who LEFT JOIN cuts c ON c.who = g.w
         "p3_found": _CAPPED + "SELECT id FROM ranked WHERE who IS NOT NULL AND r > cap",
         "p3_kept": _CAPPED + "SELECT id, publisher, score FROM ranked WHERE who IS NULL OR r <= cap",
         "p4_found": _WORDS,
+        "p8_found": _SHARING,
+        "p8_shared": _SHARED,
     }

@@ -1,10 +1,12 @@
 """Problem 8: passages that occur word for word in more than one document.
 
-Method: Rabin-Karp fingerprints of every fixed-length window. A passage of at least ``length`` characters holds
-length - window + 1 consecutive windows; the least fingerprint of every such run of windows is kept (winnowing), so two
-documents that share a passage always keep a common fingerprint, and one in about (length - window) / 2 positions is
-shuffled. Fingerprints are counted in Spark; those of one document drop out there. Documents that share one are
-candidates; their texts are compared exactly and the shared windows merged into maximal intervals.
+Method: Rabin-Karp fingerprints of every fixed-length window, counted in Spark; repeated windows merge into maximal intervals. The
+token is the code point, since the passages asked for are runs of ``length`` code points: a window of ``length`` tokens is then
+repeated exactly if it is such a passage, and no pair of texts is ever compared.
+
+Two counts keep the shuffle small. First the windows of ``window`` tokens: of each run of length - window + 1 of them, which is
+one window of the full length, the least fingerprint (its anchor) is counted (winnowing: one position in about (length - window) / 2).
+A full window can only be repeated if its anchor is. Then all full windows with a repeated anchor are counted, every one of them.
 """
 
 from __future__ import annotations
@@ -55,26 +57,23 @@ def window_hashes(points: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * _power(_INVERSE, n)[: n - k + 1])
 
 
-def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
-    """The distinct least hashes of all runs of ``run`` windows (of all windows, if there are fewer)."""
+def least_of_runs(hashes: np.ndarray, run: int) -> np.ndarray:
+    """The least hash of every run of ``run`` windows; empty if there are fewer."""
     n = len(hashes)
-    if n == 0:
-        return hashes
-    if n <= run:
-        return hashes.min(keepdims=True)
+    if n < run:
+        return hashes[:0]
     blocks = np.full(-(-n // run) * run, _U(2**64 - 1))
     blocks[:n] = hashes
     blocks = blocks.reshape(-1, run)
     up = np.minimum.accumulate(blocks, axis=1).ravel()
     down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(down[: n - run + 1], up[run - 1 : n])
-    return np.unique(least)
+    return np.minimum(down[: n - run + 1], up[run - 1 : n])
 
 
-def _fingerprints(length: int, window: int):
+def _anchors(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [winnow(window_hashes(code_points(t), window), length - window + 1) for t in batch.column(1).to_pylist()]
+            found = [np.unique(least_of_runs(window_hashes(code_points(t), window), length - window + 1)) for t in batch.column(1).to_pylist()]
             keys = np.repeat(np.asarray(batch.column(0)), [len(x) for x in found])
             prints = np.concatenate([*found, np.empty(0, _U)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.int64())], ["cls", "print"])
@@ -82,12 +81,30 @@ def _fingerprints(length: int, window: int):
     return run
 
 
-def _long_windows(length: int):
+_WINDOWS = "cls long, s int, w long, c int, salt int, salts int, first boolean"
+
+
+def _full_windows(length: int, window: int):
+    """All windows of the full length whose anchor is one of the text's repeated ones: where they start, their fingerprint, part of their
+    anchor, the salt of the class among as many as the anchor needs, and whether the window is the first of its kind in the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.unique(window_hashes(code_points(text), length)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key), pa.int64()), pa.array(h, pa.int64())], ["cls", "print"])
+            for cls, text, prints, salts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                points = code_points(text)
+                anchor = least_of_runs(window_hashes(points, window), length - window + 1)
+                known = np.array(prints, np.int64).view(_U)
+                order = np.argsort(known)
+                known, parts = known[order], np.array(salts, np.int32)[order]
+                at = np.searchsorted(known, anchor)
+                at[at == len(known)] = 0
+                s = np.flatnonzero(known[at] == anchor)
+                w, n = window_hashes(points, length)[s], parts[at[s]]
+                first = np.zeros(len(s), bool)
+                first[np.unique(w, return_index=True)[1]] = True
+                salt = (_mix(np.array([cls], np.int64).view(_U)) % n.astype(_U)).astype(np.int32)
+                cols = [np.full(len(s), cls, np.int64), s.astype(np.int32), w.view(np.int64), (anchor[s] & _U(0x7FFFFFFF)).astype(np.int32), salt, n, first]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["cls", "s", "w", "c", "salt", "salts", "first"])
 
     return run
 
@@ -103,104 +120,8 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-class Prints:
-    """A text as code points, its window fingerprints, and those that winnowing keeps."""
-
-    def __init__(self, text: str, length: int = LENGTH, window: int = WINDOW) -> None:
-        self.points = code_points(text)
-        self.hashes = window_hashes(self.points, window)
-        self.kept = winnow(self.hashes, length - window + 1)
-
-    def places(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All positions whose fingerprint is one of ``prints`` (sorted), and which."""
-        at = np.searchsorted(prints, self.hashes)
-        at[at == len(prints)] = 0
-        hit = np.flatnonzero(prints[at] == self.hashes)
-        return hit, at[hit]
-
-
-def shared_intervals(a: Prints, b: Prints, length: int = LENGTH, most: int = 64) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Maximal intervals of ``a``, and of ``b``, covered by runs of at least ``length`` code points that also occur in the other.
-
-    Exact: a shared run holds a kept fingerprint at the same offset in both, so every offset at which one occurs in both is compared
-    point by point. Texts that repeat themselves have very many offsets; more than ``most`` are replaced by looking up all
-    windows of the full length, confirmed point by point too.
-    """
-    both = np.intersect1d(a.kept, b.kept, assume_unique=True)
-    if not len(both):
-        return [], []
-    (pa_, ka), (pb_, kb) = a.places(both), b.places(both)
-    if len(pa_) * len(pb_) <= 20_000:
-        same = ka[:, None] == kb[None, :]
-        shifts = np.unique((pb_[None, :] - pa_[:, None])[same])
-        if len(shifts) <= most:
-            return _along(a.points, b.points, shifts, length)
-    return _windows(a.points, b.points, length), _windows(b.points, a.points, length)
-
-
-def _along(x: np.ndarray, y: np.ndarray, shifts: np.ndarray, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    in_x, in_y = [], []
-    for d in shifts.tolist():
-        lo = max(0, -d)
-        n = min(len(x) - lo, len(y) - lo - d)
-        if n < length:
-            continue
-        breaks = np.r_[-1, np.flatnonzero(x[lo : lo + n] != y[lo + d : lo + d + n]), n]
-        for i in np.flatnonzero(np.diff(breaks) > length).tolist():
-            s, e = lo + int(breaks[i]) + 1, lo + int(breaks[i + 1])
-            in_x.append((s, e))
-            in_y.append((s + d, e + d))
-    return merge_spans(in_x), merge_spans(in_y)
-
-
-def _windows(x: np.ndarray, y: np.ndarray, length: int) -> list[tuple[int, int]]:
-    h, other = window_hashes(x, length), window_hashes(y, length)
-    if not len(h) or not len(other):
-        return []
-    values, first = np.unique(other, return_index=True)
-    at = np.searchsorted(values, h)
-    at[at == len(values)] = 0
-    out: list[tuple[int, int]] = []
-    for p in np.flatnonzero(values[at] == h).tolist():
-        q = int(first[at[p]])
-        if np.array_equal(x[p : p + length], y[q : q + length]):
-            if out and p <= out[-1][1]:
-                out[-1] = (out[-1][0], p + length)
-            else:
-                out.append((p, p + length))
-    return out
-
-
-_SPANS = "a long, b long, in_a array<struct<s:int,e:int>>, in_b array<struct<s:int,e:int>>"
-
-
-def _compare(length: int, window: int, held: int = 256):
-    spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Prints] = {}  # texts come back in several pairs
-
-        def prints(key: int, text: str) -> Prints:
-            if key not in known:
-                if len(known) >= held:
-                    known.pop(next(iter(known)))
-                known[key] = Prints(text, length, window)
-            return known[key]
-
-        for batch in batches:
-            rows = []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ia, ib = shared_intervals(prints(a, ta), prints(b, tb), length)
-                if ia:
-                    rows.append((a, b, [{"s": s, "e": e} for s, e in ia], [{"s": s, "e": e} for s, e in ib]))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], spans), pa.array(cols[3], spans)], ["a", "b", "in_a", "in_b"])
-
-    return run
-
-
 def text_classes(docs: DataFrame, key: str, text: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """Membership (key, cls, n) of texts of at least ``length`` code points, and the repeated classes. cls is the
+    """Membership (key, cls, n) of texts of at least ``length`` code points that occur more than once, and the repeated classes. cls is the
     smallest key that holds exactly this text. Texts are told apart by two 64-bit hashes and the length."""
     prints = docs.where(F.length(text) >= length).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.reverse(text)).alias("h2"), F.length(text).alias("n")).where("key is not null")
     prints = cut(prints)
@@ -210,36 +131,47 @@ def text_classes(docs: DataFrame, key: str, text: str, length: int) -> tuple[Dat
     return cut(members, keep=True), repeated
 
 
-def class_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, hot: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Linked pairs of different texts (a, b, in_a, in_b), a < b, with the maximal shared intervals in each, and the members (key,
-    cls, n) of texts that occur more than once.
+def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, hot: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, members). rows (cls, s, first, n, g): every window of ``length`` code points, by its start ``s`` in the text of class
+    ``cls``, that n > 1 different texts hold; g names the set of these texts. members (key, cls, n): texts that occur more than once.
 
-    A fingerprint kept by more than ``hot`` texts (boilerplate shorter than ``length``, say) forms no pairs. Its
-    texts are joined on the fingerprints of all their windows of the full length instead, of which two texts that share a passage
-    have one in common; so no pair is lost, and no pair is formed that shares less.
+    Windows are told apart by 95 bits. The windows of an anchor that more than ``hot`` texts hold are salted by text: each part is
+    counted on its own and the parts are added up, so no task holds all rows of a window.
     """
     with scratch():
         members, _ = text_classes(docs, key, text, length)
         extra = members.where("key <> cls").select(F.col("key").alias("extra"))
         long = docs.where(F.length(text) >= length).select(F.col(key).cast("long").alias("cls"), F.col(text).alias("text")).where("cls is not null")
         singles = long.join(extra, long["cls"] == extra["extra"], "left_anti")
-        prints = cut(singles.mapInArrow(_fingerprints(length, window), "cls long, print long"))
-        counts = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = cut(prints.join(counts, "print"))
-        few = shared.where(F.col("n") <= hot).select("print", "cls")
-        x, y = few.select("print", F.col("cls").alias("a")), few.select("print", F.col("cls").alias("b"))
-        pairs = x.join(y, "print").where("a < b").select("a", "b")
-        many = cut(shared.where(F.col("n") > hot).select("cls").distinct())
-        if many.limit(1).count():
-            full = singles.join(many, "cls", "left_semi").mapInArrow(_long_windows(length), "cls long, print long")
-            again = full.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
-            full = cut(full.join(again.select("print"), "print", "left_semi"))
-            pairs = pairs.unionByName(full.select("print", F.col("cls").alias("a")).join(full.select("print", F.col("cls").alias("b")), "print").where("a < b").select("a", "b"))
-        pairs = cut(pairs.distinct())
-        involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        texts = cut(singles.join(involved, "cls", "left_semi"))
-        both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-        return cut(both.select("a", "b", "ta", "tb").mapInArrow(_compare(length, window), _SPANS), keep=True), members
+        prints = cut(singles.mapInArrow(_anchors(length, window), "cls long, print long"))
+        counts = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", F.ceil(F.col("n") / hot).cast("int").alias("salts")))
+        # one row per text; its list is no longer than the text
+        lists = cut(prints.join(counts, "print").groupBy("cls").agg(F.collect_list(F.struct("print", "salts")).alias("v")))
+        rows = cut(singles.join(lists, "cls").select("cls", "text", F.col("v.print").alias("p"), F.col("v.salts").alias("n")).mapInArrow(_full_windows(length, window), _WINDOWS))
+        texts, members_of = F.count_if("first").alias("n"), F.bit_xor(F.when(F.col("first"), F.xxhash64("cls"))).alias("g")
+        # counted and looked up again in one shuffle: both plans read the same exchange (hence the otherwise idle columns)
+        placed = rows.where("salts = 1").repartition("w", "c")
+        several = placed.groupBy("w", "c").agg(texts, members_of, F.max("s").alias("_s"), F.max("cls").alias("_c")).where("n > 1").select("w", "c", "n", "g")
+        found = placed.join(several, ["w", "c"]).select("cls", "s", "first", "n", "g")
+        if counts.where("salts > 1").limit(1).count():
+            crowd = rows.where("salts > 1")
+            parts = crowd.groupBy("w", "c", "salt").agg(texts, members_of)
+            whole = parts.groupBy("w", "c").agg(F.sum("n").alias("n"), F.bit_xor("g").alias("g")).where("n > 1")
+            salted = parts.select("w", "c", "salt").join(whole, ["w", "c"])
+            found = found.unionByName(crowd.join(salted, ["w", "c", "salt"]).select("cls", "s", "first", "n", "g"))
+        return cut(found, keep=True), members
+
+
+def class_pairs(rows: DataFrame, block: int = 1000) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that hold a common window. Windows held by the same set of texts are one group; the pairs of a group
+    of more than ``block`` texts are formed block by block, so no task forms all of them."""
+    groups = cut(rows.where("first").select("g", "n", "cls").distinct())
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    x = groups.select("g", "n", F.col("cls").alias("a"), own.alias("i"), F.explode(every).alias("j"))
+    y = groups.select("g", "n", F.col("cls").alias("b"), own.alias("j"), F.explode(every).alias("i"))
+    return x.join(y, ["g", "n", "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
 def sharing_pairs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
@@ -247,38 +179,42 @@ def sharing_pairs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
     ``length`` code points. Exact copies are pairs of each other and share the pairs of their text. Null, short
     and keyless texts have none; keys should be unique (a repeated key makes no pair with itself).
     """
-    links, members = class_links(docs, key=key, text=text, length=length, **how)
-    a = members.select(F.col("cls").alias("a"), F.col("key").alias("ka"))
-    b = members.select(F.col("cls").alias("b"), F.col("key").alias("kb"))
-    wide = links.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ka", "a").alias("ka"), F.coalesce("kb", "b").alias("kb"))
-    copies = a.join(b, F.col("a") == F.col("b")).where("ka < kb").select("ka", "kb")
-    out = wide.unionByName(copies)
-    return out.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).where(f"{key}_a <> {key}_b").distinct()
+    with scratch():
+        rows, members = repeated_windows(docs, key=key, text=text, length=length, **how)
+        links = class_pairs(rows)
+        a = members.select(F.col("cls").alias("a"), F.col("key").alias("ka"))
+        b = members.select(F.col("cls").alias("b"), F.col("key").alias("kb"))
+        wide = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ka", "a").alias("ka"), F.coalesce("kb", "b").alias("kb"))
+        copies = a.join(b, F.col("a") == F.col("b")).where("ka < kb").select("ka", "kb")
+        out = wide.unionByName(copies)
+        return cut(out.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).where(f"{key}_a <> {key}_b").distinct(), keep=True)
 
 
-def merged(spans: str):
-    """Intervals (s, e) of an array column, sorted and merged where they touch or overlap."""
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(spans), F.slice(F.col(spans), 1, 0), step)
+def _merge(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merge_spans([(s, s + length) for s in starts]) for starts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), batch.column(2)], ["cls", "spans", "most"])
+
+    return run
 
 
 def shared_parts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
-    """One row per document: its length, how many of its characters lie in passages shared with others, their share,
-    the maximal intervals, the number of documents linked, and the smallest key with exactly the same text. Documents without
-    shared passage have zeros and an empty list; the share of an empty or null text is 0.
+    """One row per document: its length, how many of its characters lie in passages shared with others, their share, the number
+    of maximal intervals and the intervals, the most different texts that hold one window of it, and the smallest key with
+    exactly the same text. No pair is formed. Documents without shared passage have zeros and an empty text; the share of an empty or
+    null text is 0.
     """
-    links, members = class_links(docs, key=key, text=text, length=length, **how)
-    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
-    halves = links.select(F.col("a").alias("cls"), F.col("b").alias("other"), F.col("in_a").alias("spans")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other"), F.col("in_b").alias("spans")))
-    # distinct intervals per text: many partners usually share the same ones
-    flat = halves.select("cls", F.explode("spans").alias("span")).groupBy("cls").agg(F.collect_set("span").alias("spans"))
-    partners = halves.join(sizes.select(F.col("cls").alias("other"), "copies"), "other", "left").groupBy("cls").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("partners"))
-    per = flat.join(partners, "cls").select("cls", merged("spans").alias("spans"), "partners")
-    per = per.join(sizes, "cls", "full").select("cls", F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))).otherwise(F.col("spans")).alias("spans"), (F.coalesce("partners", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_linked"))
-    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars")).join(members.select("key", "cls"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
-    out = slim.join(per, "cls", "left")
-    covered = F.aggregate(F.coalesce("spans", F.array()), F.lit(0), lambda acc, x: acc + x["e"] - x["s"])
-    return out.select(
-        F.col("key").alias(key), "n_chars", covered.alias("shared_chars"), F.when(F.col("n_chars") > 0, covered / F.col("n_chars")).otherwise(0.0).alias("shared_share"),
-        F.coalesce(F.transform("spans", lambda x: F.concat_ws("-", x["s"], x["e"])), F.array().cast("array<string>")).alias("intervals"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("cls").alias("text_class"),
-    )
+    with scratch():
+        rows, members = repeated_windows(docs, key=key, text=text, length=length, **how)
+        # the starts of one text: no more than its characters
+        per = rows.groupBy("cls").agg(F.collect_list("s").alias("starts"), F.max("n").alias("most")).mapInArrow(_merge(length), "cls long, spans array<struct<s:int,e:int>>, most long")
+        whole = members.groupBy("cls").agg(F.first("n").alias("n"))
+        per = per.join(whole, "cls", "full").select("cls", F.when(F.col("n").isNotNull(), F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))).otherwise(F.col("spans")).alias("spans"), F.coalesce("most", F.lit(1)).alias("most"))
+        slim = docs.select(F.col(key).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars")).join(members.select("key", "cls"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+        out = slim.join(per, "cls", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")))
+        covered = F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["e"] - x["s"])
+        return cut(out.select(
+            F.col("key").alias(key), "n_chars", covered.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(covered / F.col("n_chars"), 6)).otherwise(0.0).alias("shared_share"),
+            F.size("spans").alias("n_intervals"), F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["s"], x["e"])), ",").alias("intervals"), F.coalesce("most", F.lit(0)).alias("most_texts"), F.col("cls").alias("text_class"),
+        ), keep=True)
