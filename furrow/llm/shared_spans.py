@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from furrow.session import cut, scratch
 
 LENGTH, WINDOW = 200, 100
+SMALL = 500_000  # class numbers that may be broadcast: 8 bytes each
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -81,12 +82,13 @@ def _anchors(length: int, window: int):
     return run
 
 
-_WINDOWS = "cls long, s int, w long, c int, salt int, salts int, first boolean"
+_WINDOWS = "cls long, s int, w long, c int, salt int, salts int"
 
 
 def _full_windows(length: int, window: int):
     """All windows of the full length whose anchor is one of the text's repeated ones: where they start, their fingerprint, part of their
-    anchor, the salt of the class among as many as the anchor needs, and whether the window is the first of its kind in the text."""
+    anchor, and the salt of the class among as many as the anchor needs. A start is written as s, or as -1 - s if the text has this window
+    before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +102,11 @@ def _full_windows(length: int, window: int):
                 at[at == len(known)] = 0
                 s = np.flatnonzero(known[at] == anchor)
                 w, n = window_hashes(points, length)[s], parts[at[s]]
-                first = np.zeros(len(s), bool)
-                first[np.unique(w, return_index=True)[1]] = True
+                again = np.ones(len(s), bool)
+                again[np.unique(w, return_index=True)[1]] = False
                 salt = (_mix(np.array([cls], np.int64).view(_U)) % n.astype(_U)).astype(np.int32)
-                cols = [np.full(len(s), cls, np.int64), s.astype(np.int32), w.view(np.int64), (anchor[s] & _U(0x7FFFFFFF)).astype(np.int32), salt, n, first]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["cls", "s", "w", "c", "salt", "salts", "first"])
+                cols = [np.full(len(s), cls, np.int64), np.where(again, -1 - s, s).astype(np.int32), w.view(np.int64), (anchor[s] & _U(0x7FFFFFFF)).astype(np.int32), salt, n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["cls", "s", "w", "c", "salt", "salts"])
 
     return run
 
@@ -147,18 +149,20 @@ def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         counts = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", F.ceil(F.col("n") / hot).cast("int").alias("salts")))
         # one row per text; its list is no longer than the text
         lists = cut(prints.join(counts, "print").groupBy("cls").agg(F.collect_list(F.struct("print", "salts")).alias("v")))
+        if lists.count() <= SMALL:  # then texts without repeated anchor are left out before the shuffle
+            singles = singles.join(F.broadcast(lists.select("cls")), "cls", "left_semi")
         rows = cut(singles.join(lists, "cls").select("cls", "text", F.col("v.print").alias("p"), F.col("v.salts").alias("n")).mapInArrow(_full_windows(length, window), _WINDOWS))
-        texts, members_of = F.count_if("first").alias("n"), F.bit_xor(F.when(F.col("first"), F.xxhash64("cls"))).alias("g")
-        # counted and looked up again in one shuffle: both plans read the same exchange (hence the otherwise idle columns)
+        texts, members_of = F.count_if(F.col("s") >= 0).alias("n"), F.bit_xor(F.when(F.col("s") >= 0, F.xxhash64("cls"))).alias("g")
+        # counted and looked up again in one shuffle: both plans read the same exchange
         placed = rows.where("salts = 1").repartition("w", "c")
-        several = placed.groupBy("w", "c").agg(texts, members_of, F.max("s").alias("_s"), F.max("cls").alias("_c")).where("n > 1").select("w", "c", "n", "g")
-        found = placed.join(several, ["w", "c"]).select("cls", "s", "first", "n", "g")
+        several = placed.groupBy("w", "c").agg(texts, members_of).where("n > 1").select("w", "c", "n", "g")
+        found = placed.join(several, ["w", "c"]).select("cls", F.when(F.col("s") < 0, -1 - F.col("s")).otherwise(F.col("s")).alias("s"), (F.col("s") >= 0).alias("first"), "n", "g")
         if counts.where("salts > 1").limit(1).count():
             crowd = rows.where("salts > 1")
             parts = crowd.groupBy("w", "c", "salt").agg(texts, members_of)
             whole = parts.groupBy("w", "c").agg(F.sum("n").alias("n"), F.bit_xor("g").alias("g")).where("n > 1")
             salted = parts.select("w", "c", "salt").join(whole, ["w", "c"])
-            found = found.unionByName(crowd.join(salted, ["w", "c", "salt"]).select("cls", "s", "first", "n", "g"))
+            found = found.unionByName(crowd.join(salted, ["w", "c", "salt"]).select("cls", F.when(F.col("s") < 0, -1 - F.col("s")).otherwise(F.col("s")).alias("s"), (F.col("s") >= 0).alias("first"), "n", "g"))
         return cut(found, keep=True), members
 
 
