@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import publisher_key, usable_score
 from furrow.operators.ordering import prefix_totals
-from furrow.session import cut
+from furrow.session import cut, scratch
 
 
 def over_cap(records: DataFrame, *, key: str = "id", contributor: str = "publisher", score: str = "score", max_share: float | None = 0.05, max_count: int | None = None, bins: int = 1024) -> DataFrame:
@@ -47,18 +47,19 @@ def over_cap(records: DataFrame, *, key: str = "id", contributor: str = "publish
         .when(F.col("s") == float("inf"), F.lit(bins + 1)).when(F.col("s") == float("-inf"), F.lit(-1))
         .when(width > 0, F.least(F.floor((F.col("s") - F.col("lo")) / width).cast("int"), F.lit(bins - 1))).otherwise(F.lit(0))
     )
-    binned = cut(named.join(ends.select("who", "lo", "hi"), "who").select("key", "who", "s", bin_of.alias("bin")))
-    hist = binned.groupBy("who", "bin").agg(F.count("*").alias("n"))
-    better = Window.partitionBy("who").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    edge = hist.withColumn("above", F.coalesce(F.sum("n").over(better), F.lit(0))).where((F.col("above") <= cap) & (F.col("above") + F.col("n") > cap))
-    edge = edge.select("who", F.col("bin").alias("edge_bin"), (F.lit(cap) - F.col("above")).alias("room"))
-    placed = binned.join(edge, "who")
-    worse = placed.where(F.col("bin") < F.col("edge_bin"))
-    border = placed.where(F.col("bin") == F.col("edge_bin"))
-    ranked = prefix_totals(border, ["who"], [F.col("s").desc_nulls_last(), F.col("key").asc()])
-    cols = ["key", "who", "s"]
-    out = worse.select(*cols).unionByName(ranked.where(F.col("rank") > F.col("room")).select(*cols))
-    return out.select(F.col("key").alias(key), F.col("who").alias("contributor"), F.col("s").alias("score"))
+    with scratch():
+        binned = cut(named.join(ends.select("who", "lo", "hi"), "who").select("key", "who", "s", bin_of.alias("bin")))
+        hist = binned.groupBy("who", "bin").agg(F.count("*").alias("n"))
+        better = Window.partitionBy("who").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+        edge = hist.withColumn("above", F.coalesce(F.sum("n").over(better), F.lit(0))).where((F.col("above") <= cap) & (F.col("above") + F.col("n") > cap))
+        edge = edge.select("who", F.col("bin").alias("edge_bin"), (F.lit(cap) - F.col("above")).alias("room"))
+        placed = binned.join(edge, "who")
+        worse = placed.where(F.col("bin") < F.col("edge_bin"))
+        border = placed.where(F.col("bin") == F.col("edge_bin"))
+        ranked = prefix_totals(border, ["who"], [F.col("s").desc_nulls_last(), F.col("key").asc()])
+        cols = ["key", "who", "s"]
+        out = worse.select(*cols).unionByName(ranked.where(F.col("rank") > F.col("room")).select(*cols))
+        return cut(out.select(F.col("key").alias(key), F.col("who").alias("contributor"), F.col("s").alias("score")), keep=True)
 
 
 def cap_contributors(records: DataFrame, *, key: str = "id", **how) -> DataFrame:

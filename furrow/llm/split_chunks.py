@@ -79,8 +79,9 @@ def _fill(ends: list[int], costs: list[float], length: int, most: int) -> tuple[
 def split_text(text: str, is_table: bool = False, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """Pieces (start, fresh, end): the piece is text[start:end], of which text[start:fresh] repeats the piece before.
 
-    end - start <= limit; the fresh parts join to the whole text. Prose repeats the longest run of at most ``overlap``
-    characters that begins at a word or better boundary (none where there is no boundary in reach); tables repeat nothing.
+    end - start <= limit; the fresh parts join to the whole text. Prose repeats at most ``overlap``
+    characters: from the first sentence that begins in the earlier half of them, else from the first word (none where no word begins in reach);
+    tables repeat nothing.
     """
     n = len(text)
     if n <= limit:
@@ -115,8 +116,8 @@ def split_text(text: str, is_table: bool = False, limit: int = LIMIT, overlap: i
         start = fresh
         if not is_table and overlap:
             reach = max(fresh - overlap, fresh - (limit - (end - fresh)), cuts[k - 1][0])
-            # from the first sentence in reach if there is one, else from the first word
-            good = [p for p in points[bisect_left(points, reach) : bisect_left(points, fresh)] if marks.get(p, ANYWHERE) <= SENTENCE]
+            # from the first sentence in reach if that repeats at least half of what the first word would, else from the first word
+            good = [p for p in points[bisect_left(points, reach) : bisect_left(points, fresh - (fresh - reach) // 2 + 1)] if marks.get(p, ANYWHERE) <= SENTENCE]
             word = _SPACE.search(text, reach, fresh)
             start = good[0] if good else word.end() if word else fresh
         out.append((start, fresh, end))

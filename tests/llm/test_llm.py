@@ -329,40 +329,52 @@ def test_packed_documents(spark):
 
 
 def test_pfair_deviates_less_than_one_block():
-    for shares in ({"a": 0.5, "b": 0.5}, {"a": 0.22, "b": 0.14, "c": 0.61, "d": 0.03}, {"a": 0.9, "b": 0.07, "c": 0.03}):
-        parts = mixing.whole_parts(shares)
+    for parts in ({"a": 5, "b": 5}, {"a": 22, "b": 14, "c": 61, "d": 3}, {"a": 901, "b": 70, "c": 3, "d": 1}, {"a": 1}, {"a": 7, "b": 0}):
         h = sum(parts.values())
         done = Counter()
-        for t, k in enumerate(mixing.pfair_period(parts), 1):
+        for t, k in enumerate(mixing.pfair_schedule(parts), 1):
             done[k] += 1
             assert all(abs(done[x] - t * p / h) < 1 for x, p in parts.items())
-        assert done == Counter(parts)
-    odd = mixing.whole_parts({"a": 1 / 3, "b": 1e-7, "c": 0.6})
-    assert sum(odd.values()) <= mixing.MOST_PARTS + 1 and min(odd.values()) >= 1
+        assert done == Counter({k: v for k, v in parts.items() if v})
 
 
-def test_mix_reaches_targets_and_caps(spark):
+def test_quotas_pass_on_what_limited_sources_cannot_give():
+    got = mixing.quotas({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1000.0, "b": 10.0, "c": 1000.0}, 100.0)
+    assert got == pytest.approx({"a": 90 * 5 / 7, "b": 10, "c": 90 * 2 / 7})
+    assert mixing.quotas({"a": 0.5, "b": 0.5}, {"a": 3.0, "b": 4.0}, 100.0) == {"a": 3.0, "b": 4.0} and mixing.quotas({}, {}, 5.0) == {}
+
+
+@pytest.mark.parametrize("most", [100_000, 40])
+def test_mix_reaches_targets_and_caps(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
     rng = random.Random(1)
     docs = [(i, rng.choice(["big", "big", "big", "mid", "tiny" if i % 40 == 0 else "big", "other", None]), "word " * rng.randrange(1, 60)) for i in range(3000)] + [(9001, "mid", None), (9002, "mid", "")]
     targets = [("big", 0.6, 1), ("mid", 0.3, 2), ("tiny", 0.1, 4), ("absent", 0.1, 3), (None, 0.2, 1)]
-    d = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumns({"slot": F.lit(0), "draw": F.lit(0), "tokens": F.lit(0)})
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumns({"slot": F.lit(0), "draw": F.lit(0), "tokens": F.lit(0), "block": F.lit(0), "quota": F.lit(0)})
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    rows, shares = mixing.mix(d, t, block=64)
+    rows, shares = mixing.mix(d, t, block=64, total_tokens=8_000)
     got = {r.source: r for r in shares.collect()}
     assert set(got) == {"big", "mid", "tiny", "absent"} and got["absent"].mix_rows == 0
-    for k, s in (("big", 0.6), ("mid", 0.3), ("tiny", 0.1)):
-        assert abs(got[k].actual_share - s) < 0.02 and got[k].most_copies <= dict((a, b) for a, _, b in targets)[k]
+    assert got["big"].n_tokens >= 4_800 and not got["big"].capped and not got["mid"].capped and got["tiny"].capped == (got["tiny"].n_tokens * 4 <= 800)
+    size = sum(r.mix_tokens for r in got.values())
+    for k in ("big", "mid"):
+        assert abs(got[k].mix_tokens - got[k].quota) <= 64 and got[k].most_copies <= dict((a, b) for a, _, b in targets)[k]
     order = rows.orderBy("position").collect()
     assert [r.position for r in order] == list(range(1, len(order) + 1))
     assert rows.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
     total, run = 0, Counter()
+    one = max(64, size / most)
     for r in order:
         total += r.n_tokens
         run[r.source] += r.n_tokens
-        assert all(abs(run[k] - s * total) <= 64 + 3 * 60 for k, s in (("big", 0.6), ("mid", 0.3), ("tiny", 0.1)))
-    # a fixed total: what cannot be reached is reported
+        assert all(abs(run[k] - got[k].quota / sum(x.quota for x in got.values()) * total) <= 2 * one + 3 * 60 for k in ("big", "mid", "tiny"))
+    # by default as much as there is; a source that cannot keep up gives all its copies and the others fill in
+    whole = {r.source: r for r in mixing.mix(d, t, block=64)[1].collect()}
+    assert whole["tiny"].capped and whole["tiny"].mix_rows == 4 * whole["tiny"].n_docs and whole["tiny"].most_copies == 4
+    assert sum(r.mix_tokens for r in whole.values()) == pytest.approx(sum(r.n_tokens for r in whole.values()), rel=0.02)
+    # more than there can be: all are capped
     short = {r.source: r for r in mixing.mix(d, t, block=64, total_tokens=10**7)[1].collect()}
-    assert short["tiny"].most_copies == 4 and short["tiny"].mix_rows == 4 * short["tiny"].n_docs
+    assert all(r.mix_tokens == r.n_tokens * r.max_repeats for r in short.values())
     assert mixing.mix(d.limit(0), t)[0].count() == 0 and mixing.mix(d, t.limit(0))[0].count() == 0
 
 
