@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import crop_set, word_set
 from furrow.session import cut, scratch
 
-REGISTERS, BAND = 192, 2
+REGISTERS, BAND = 128, 2
 _U = np.uint64
 
 
@@ -100,11 +100,13 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
 
-def similar_classes(classes: DataFrame, *, threshold: float = 0.6, registers: int = REGISTERS, band: int = BAND, hot: int = 300) -> DataFrame:
+def similar_classes(classes: DataFrame, *, threshold: float = 0.6, registers: int = REGISTERS, band: int = BAND, hot: int = 300, block: int = 1000) -> DataFrame:
     """Pairs (a, b, jaccard), a < b, of classes (cid, words) whose words' Jaccard similarity reaches the threshold.
 
     In a bucket of more than ``hot`` classes pairs are not formed directly: its members are joined on the words of
-    their prefix (the rarest words, of which two sets that reach the threshold must share one), which loses none.
+    their prefix (the rarest words, of which two sets that reach the threshold must share one). A pair is taken at a shared word only if
+    the sizes, and the words that follow it in both, still allow the threshold; that loses none. More than ``block`` classes of a bucket
+    with one prefix word are joined block by block, so no task holds them all.
     """
     signed = cut(weighted_words(classes))
     spread = signed.repartition(max(1, -(-classes.count() // 2000)), "cid")  # by work, not by bytes
@@ -113,11 +115,17 @@ def similar_classes(classes: DataFrame, *, threshold: float = 0.6, registers: in
     shared = cut(banded.join(sizes, "key"))
     small = shared.where(F.col("n") <= hot).select("cid", "key")
     found = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    dense = shared.where(F.col("n") > hot).select("cid", "key")
     ranked = signed.select("cid", F.array_sort(F.transform(F.arrays_zip("weights", "words"), lambda x: F.struct((-x["weights"]).alias("r"), x["words"].alias("w")))).alias("r"))
-    head = ranked.select("cid", F.explode(F.slice(F.col("r.w"), F.lit(1), (F.size("r") - _needed(F.size("r"), threshold) + 1).cast("int"))).alias("w"))
-    dense = dense.join(head, "cid")
-    refined = dense.alias("x").join(dense.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.cid") < F.col("y.cid"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    reach = F.slice(F.col("r.w"), F.lit(1), (F.size("r") - _needed(F.size("r"), threshold) + 1).cast("int"))
+    head = ranked.select("cid", F.size("r").alias("size"), F.posexplode(reach).alias("pos", "w"))
+    dense = cut(shared.where(F.col("n") > hot).select("cid", "key").join(head, "cid"))
+    parts = dense.groupBy("key", "w").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dense = dense.join(parts, ["key", "w"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = dense.alias("x"), dense.alias("y")
+    most = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))  # words in common at this one or behind it
+    least = F.ceil((F.col("x.size") + F.col("y.size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & (F.col("x.cid") < F.col("y.cid"))
+    refined = x.join(y, met).where(most + F.least("x.pos", "y.pos") >= least).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     pairs = found.unionByName(refined).distinct()
     left, right = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa")), classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))

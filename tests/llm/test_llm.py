@@ -197,7 +197,7 @@ def test_duplicate_pairs_and_groups(spark, monkeypatch, hot):
     df = spark.createDataFrame(rows, "id string, title string, crops_covered string").withColumns({"key": F.lit(0), "cid": F.lit(0), "words": F.lit("w"), "rep": F.lit(1)})
     want = {tuple(sorted((a[0], b[0]))) for a, b in itertools.combinations(rows, 2) if a[0] != b[0] and linked(a, b)}
     real = near.similar_classes
-    monkeypatch.setattr(near, "similar_classes", lambda c, **k: real(c, **k, hot=hot))
+    monkeypatch.setattr(near, "similar_classes", lambda c, **k: real(c, **k, hot=hot, block=3))
     got = {(r.id_a, r.id_b) for r in near.near_duplicate_pairs(df).collect()}
     assert got <= want and len(got) >= 0.995 * len(want)
     if hot == 2:
