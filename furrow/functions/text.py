@@ -39,10 +39,11 @@ def tokenize_unicode(text: ColumnOrName) -> Column:
 
 
 # Words that carry no content.
-STOPWORDS = (
-    "a an the is are was were be been being to of in on at for and or with as by it this that these those i you your should would will can could and/or into from how what when "
-    "consult recommend recommended use apply per"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "on", "at", "for", "and", "or", "with", "as", "by", "it",
+    "this", "that", "these", "those", "i", "you", "your", "should", "would", "will", "can", "could", "and/or", "into", "from", "how", "what", "when",
+    "consult", "recommend", "recommended", "use", "apply", "per",
+]
 
 
 def content_tokens(text: ColumnOrName, stopwords: Sequence[str] = STOPWORDS) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from furrow.functions.text import crop_list, guess_categories, split_list, truthy
 from furrow.functions.vocabulary import LOOSE_ZONES, PUBLISHER_POINTS, TABLE_WORDS
 from furrow.operators.ordering import prefix_totals
-from furrow.session import cut
+from furrow.session import cut, scratch
 
 
 def _or(tests: Sequence[Column]) -> Column:
@@ -64,6 +64,11 @@ def feeds_facts(text: Column, kinds: Sequence[str] = ("fertilizer_rate", "spacin
     return F.size(guess_categories(text, {k: TABLE_WORDS[k] for k in kinds})) > 0
 
 
+def country_or_default(country: Column, default: str = "Nigeria") -> Column:
+    """The country, or the default where it is missing or empty."""
+    return F.coalesce(F.nullif(country, F.lit("")), F.lit(default))
+
+
 # --- coverage -----------------------------------------------------------------------------------------------------------------
 
 
@@ -112,8 +117,6 @@ def manifest(scored: DataFrame, *, keep: Column, score: str = "score", order: st
     """The kept rows with ``priority``: 1 for the best score, ties in the given order, missing scores last.
 
     The rank is global; positions come from ranges, so no task sees all rows."""
-    from furrow.operators.ordering import prefix_totals
-
     s = F.when(~F.isnan(score), F.col(score))
     return prefix_totals(scored.where(keep), [], [s.desc_nulls_last(), F.col(order).asc()], rank="priority")
 
@@ -125,8 +128,6 @@ def page_estimate(pages: Column, kind: Column) -> Column:
 
 def by_publisher(df: DataFrame, publisher: Column, pages: Column) -> DataFrame:
     """(publisher, n, pages, running_pages), most pages first; the running total follows that order, then the name."""
-    from furrow.operators.ordering import prefix_totals
-
     per = df.groupBy(publisher.alias("publisher")).agg(F.count("*").alias("n"), F.sum(pages).alias("pages"))
     run = prefix_totals(per, [], [F.desc("pages"), F.col("publisher").asc_nulls_first()], {"pages": "before"}, rank="position")
     return run.select("publisher", "n", "pages", (F.col("before") + F.col("pages")).alias("running_pages"), "position")
@@ -195,37 +196,38 @@ def title_pairs(df: DataFrame, key: str, title: str, crops: Column, threshold: f
     dropped without its ratio only if it has too few characters, or too few runs of two, in common for the threshold. The work grows
     with the square of the rows of a crop; a task holds two blocks whatever the size of the crop.
     """
-    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    rows = df.select(F.col(key).alias("k"), low.alias("t"), crops.alias("crops")).where(F.lit(blanks) | (F.col("t") != "")).withColumn("n", F.length("t"))
-    each = rows.withColumn("crop", F.explode(F.when(F.size("crops") > 0, F.col("crops")).otherwise(F.array(F.lit("")))))
-    placed = cut(prefix_totals(each, ["crop"], [F.col("n").asc(), F.col("k").asc()], rank="r").withColumn("block", F.floor((F.col("r") - 1) / block)).drop("r"))
-    spans = placed.groupBy("crop", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = spans.select("crop", F.col("block").alias("a"), F.col("hi").alias("most")), spans.select("crop", F.col("block").alias("b"), F.col("lo").alias("least"))
-    # no ratio can exceed twice the shorter length over the sum of lengths
-    tasks = x.join(y, "crop").where((F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) & (2 * F.col("most") >= (threshold - 1e-9) * (F.col("most") + F.col("least")))))
-    parts = tasks.select("crop", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = placed.join(parts, ["crop", "block"]).repartition(4 * spread, "crop", "a", "b")
-    kind = dict(rows.dtypes)["k"]
-    return cut(met.groupBy("crop", "a", "b").applyInPandas(_alike(threshold), f"earlier {kind}, later {kind}, ratio double"))
-
-
-def keep_best(ranked: DataFrame, pairs: DataFrame, key: str, rank: str, most: int = 100) -> DataFrame:
+    with scratch():
+        low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+        rows = df.select(F.col(key).alias("k"), low.alias("t"), crops.alias("crops")).where(F.lit(blanks) | (F.col("t") != "")).withColumn("n", F.length("t"))
+        each = rows.withColumn("crop", F.explode(F.when(F.size("crops") > 0, F.col("crops")).otherwise(F.array(F.lit("")))))
+        placed = cut(prefix_totals(each, ["crop"], [F.col("n").asc(), F.col("k").asc()], rank="r").withColumn("block", F.floor((F.col("r") - 1) / block)).drop("r"))
+        spans = placed.groupBy("crop", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        x, y = spans.select("crop", F.col("block").alias("a"), F.col("hi").alias("most")), spans.select("crop", F.col("block").alias("b"), F.col("lo").alias("least"))
+        # no ratio can exceed twice the shorter length over the sum of lengths
+        tasks = x.join(y, "crop").where((F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) & (2 * F.col("most") >= (threshold - 1e-9) * (F.col("most") + F.col("least")))))
+        parts = tasks.select("crop", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = placed.join(parts, ["crop", "block"]).repartition(4 * spread, "crop", "a", "b")
+        kind = dict(rows.dtypes)["k"]
+        return cut(met.groupBy("crop", "a", "b").applyInPandas(_alike(threshold), f"earlier {kind}, later {kind}, ratio double"), keep=True)
+
+
+def keep_best(ranked: DataFrame, pairs: DataFrame, key: str, rank: str) -> DataFrame:
     """Greedy deduplication: in order of ``rank`` a row stays unless a better row that stays is its duplicate.
 
-    ``pairs`` are (earlier, later) keys. Each round decides all rows whose better duplicates are decided, so rounds grow with the
-    longest chain of duplicates, not with the rows."""
+    ``pairs`` are (earlier, later) keys. Each round decides all rows whose better duplicates are decided, at least the best undecided one,
+    until none is open; so rounds grow with the longest chain of duplicates, not with the rows. Ranks must differ."""
     nodes = ranked.select(F.col(key).alias("k"), F.col(rank).alias("r"))
     both = pairs.select(F.col("earlier").alias("a"), F.col("later").alias("b")).unionByName(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
-    edges = cut(both.join(nodes.select(F.col("k").alias("a"), F.col("r").alias("ra")), "a").join(nodes.select(F.col("k").alias("b"), F.col("r").alias("rb")), "b").where("ra < rb").select("a", "b").distinct())
-    state = cut(nodes.select("k", F.lit(None).cast("boolean").alias("stays")))
-    for _ in range(most):
-        seen = edges.join(state.select(F.col("k").alias("a"), F.col("stays").alias("sa")), "a").groupBy("b").agg(F.bool_or(F.coalesce("sa", F.lit(False))).alias("beaten"), F.bool_or(F.col("sa").isNull()).alias("open"))
-        new = state.join(seen.withColumnRenamed("b", "k"), "k", "left")
-        state = cut(new.select("k", F.coalesce("stays", F.when(F.coalesce("beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("stays")))
-        if not state.where("stays is null").limit(1).count():
-            break
-    return ranked.join(state.where("stays").select(F.col("k").alias(key)), key, "left_semi")
+    with scratch():
+        edges = cut(both.join(nodes.select(F.col("k").alias("a"), F.col("r").alias("ra")), "a").join(nodes.select(F.col("k").alias("b"), F.col("r").alias("rb")), "b").where("ra < rb").select("a", "b").distinct())
+        # rows without a duplicate stay; only the others take part in the rounds
+        state = cut(edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct().select("k", F.lit(None).cast("boolean").alias("stays")))
+        while state.where("stays is null").limit(1).count():
+            seen = edges.join(state.select(F.col("k").alias("a"), F.col("stays").alias("sa")), "a").groupBy("b").agg(F.bool_or(F.coalesce("sa", F.lit(False))).alias("beaten"), F.bool_or(F.col("sa").isNull()).alias("open"))
+            new = state.join(seen.withColumnRenamed("b", "k"), "k", "left")
+            state = cut(new.select("k", F.coalesce("stays", F.when(F.coalesce("beaten", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("stays")))
+        return cut(ranked.join(state.where("not stays").select(F.col("k").alias(key)), key, "left_anti"), keep=True)
 
 
 # --- logs, resuming, identifiers ----------------------------------------------------------------------------------------------
@@ -253,10 +255,10 @@ def remaining(work: DataFrame, log: DataFrame, key: str, done: Column) -> DataFr
 def parse_blocked(lines: DataFrame, line: str = "value") -> DataFrame:
     """(date, source, url, status) of log lines ``[date] source=... url=... status=... headers=...`` that were blocked; of
     lines with equal source and url the last by ``line_no`` holds, if that column is there."""
-    pattern = r"^\[([^\]]*)\]\s+source=(\S*)\s+url=(\S*)\s+status=(\S+)"
+    pattern = r"^\s*\[([^\]]+)\]\s+source=(.*?)\s+url=(\S+)\s+status=(\S+)\s+headers="
     part = lambda i: F.regexp_extract(line, pattern, i)
     rows = lines.where(F.col(line).rlike(pattern)).select(part(1).alias("date"), part(2).alias("source"), part(3).alias("url"), part(4).alias("status"), (F.col("line_no") if "line_no" in lines.columns else F.lit(0)).alias("n"))
-    rows = rows.where(F.col("status").startswith("blocked") | F.col("status").contains("robots"))
+    rows = rows.where(F.col("status").startswith("blocked:") | (F.col("status") == "robots_disallowed"))
     return rows.groupBy("source", "url").agg(F.max_by(F.struct("date", "status"), F.struct("n", "date", "status")).alias("v")).select("v.date", "source", "url", "v.status")
 
 
@@ -273,8 +275,6 @@ def url_host(url: Column) -> Column:
 
 def next_ids(df: DataFrame, existing: DataFrame, id_col: str, order: str, prefix: str = "SRC", width: int = 8) -> DataFrame:
     """Adds ``new_id`` that continues the greatest number of ``existing`` ids with this prefix."""
-    from furrow.operators.ordering import prefix_totals
-
     top = existing.agg(F.coalesce(F.max(F.when(F.col(id_col).startswith(prefix), F.substring(F.col(id_col), F.lit(len(prefix) + 1), F.length(id_col)).try_cast("long"))), F.lit(0)).alias("top"))
     ranked = prefix_totals(df, [], [F.col(order).asc()], rank="_n")
     return ranked.join(F.broadcast(top), F.lit(True)).withColumn("new_id", F.concat(F.lit(prefix), F.lpad((F.col("top") + F.col("_n")).cast("string"), width, "0"))).drop("_n", "top")

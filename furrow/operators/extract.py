@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.vocabulary import CROPS, ZONES
+from furrow.session import cut, scratch
 
 # Months, units, pests and the phrases that announce a fact. Groups are numbered as the columns of each table expect.
 MONTH = r"(January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -71,42 +72,48 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
 IMPLIED = {"basal_dressing": "urea", "n_application": "nitrogen", "nitrogen_rate": "nitrogen", "kg_n_per_ha": "nitrogen", "kg_n_slash_ha": "nitrogen"}
 LESS_SURE = ("litres_ha", "dose", "concentration", "applied_at_l_ha", "rate_of_l_ha")
 UNITS = {"litres_ha": "litres/ha", "dose": "g/L", "concentration": "ml/L", "applied_at_l_ha": "L/ha", "rate_of_l_ha": "L/ha"}
-SECTIONS = {s: rf"(?is){s.replace('_', r'\s+').replace('symptoms', 'symptoms?')}[:\s]+(.{{{n},300}}?)(?=\n[A-Z][a-z]+:|\n\n|$)" for s, n in (("symptoms", 20), ("cultural_control", 10), ("chemical_control", 10))}
-REACH, PLACE_REACH, OVERRIDE, AROUND = 400, 300, 60, 60
+SECTIONS = {
+    "symptoms": r"(?is)symptoms?[:\s]+(.{20,300}?)(?=\n[A-Z][a-z]+:|\n\n|$)",
+    "cultural_control": r"(?is)cultural\s+control[:\s]+(.{10,300}?)(?=\n[A-Z][a-z]+:|\n\n|$)",
+    "chemical_control": r"(?is)chemical\s+control[:\s]+(.{10,300}?)(?=\n[A-Z][a-z]+:|\n\n|$)",
+}
+REACH, PLACE_REACH, OVERRIDE, AROUND, WINDOW = 400, 300, 60, 60, 800
 
 
 def _matcher(patterns: Sequence[tuple[str, str]]):
     ready = [(name, re.compile(p)) for name, p in patterns]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+    names = ["pattern", "start", "stop", "groups", "raw_text", "around", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                for name, p in ready:
+            rows, owner = [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                for name, p in ready if text else ():
                     for m in p.finditer(text):
                         lo = max(0, m.start() - REACH)
-                        rows.append((key, name, m.start(), m.end(), list(m.groups()), text[max(0, m.start() - AROUND) : m.end() + AROUND].strip(), text[lo : m.start() + max(REACH, 800)], m.start() - lo))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [batch.schema.field(0).type, *kinds], strict=True)], ["key", "pattern", "start", "stop", "groups", "raw_text", "around", "at"])
+                        owner.append(n)
+                        rows.append((name, m.start(), m.end(), list(m.groups()), text[max(0, m.start() - AROUND) : m.end() + AROUND].strip(), text[lo : m.start() + max(REACH, WINDOW)], m.start() - lo))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["key", "doc_crops", *names])
 
     return run
 
 
-def matches(docs: DataFrame, patterns: Sequence[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pattern, start, stop, groups, raw_text, around, at): every match in the whole text; ``around`` is the text near it and ``at``
-    the position of the match therein. Null and empty texts have none."""
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(_matcher(patterns), f"key {kind}, pattern string, start int, stop int, groups array<string>, raw_text string, around string, at int")
+def matches(docs: DataFrame, patterns: Sequence[tuple[str, str]], key: str = "doc_id", text: str = "text", crops: str | None = None) -> DataFrame:
+    """(key, doc_crops, pattern, start, stop, groups, raw_text, around, at): every match in the whole text; ``around`` is the text near it, ``at``
+    the position of the match therein, ``doc_crops`` the array column ``crops`` (empty without one). Null and empty texts have none."""
+    about = F.coalesce(F.col(crops), F.array()) if crops else F.array()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), about.cast("array<string>").alias("crops"))
+    return rows.mapInArrow(_matcher(patterns), f"key {dict(docs.dtypes)[key]}, doc_crops array<string>, pattern string, start int, stop int, groups array<string>, raw_text string, around string, at int")
 
 
 def _distance(term: str) -> Column:
     """Characters between the match and the nearest whole-word mention within reach; null without one."""
     ctx = F.lower(F.substring("around", F.lit(1), F.col("at") + REACH))
     # positions of a word: lengths of the text before each occurrence, from the parts between occurrences
-    parts = F.split(ctx, rf"\b{term}\b")
+    parts = F.split(ctx, rf"(?U)\b{term}\b")
     starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * len(term))
     return F.when(F.size(parts) > 1, F.array_min(F.transform(starts, lambda p: F.abs(p - F.col("at")))))
 
@@ -125,7 +132,7 @@ def first_place(places: Sequence[str]) -> Column:
     """The first place of the dictionary within reach of the match, '' if none."""
     begin = F.greatest(F.lit(1), F.col("at") - PLACE_REACH + 1)
     ctx = F.lower(F.substring("around", begin, F.col("at") + PLACE_REACH - begin + 1))
-    hits = F.array_compact(F.array(*[F.when(ctx.rlike(rf"\b{p.lower()}\b"), F.lit(p)) for p in places]))
+    hits = F.array_compact(F.array(*[F.when(ctx.rlike(rf"(?U)\b{p.lower()}\b"), F.lit(p)) for p in places]))
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(""))
 
 
@@ -138,12 +145,11 @@ def extract(docs: DataFrame, table: str, key: str = "doc_id", text: str = "text"
 
     ``crops`` names an array column with the crops the document is about. Missing values are ''.
     """
-    found = matches(docs, PATTERNS[table], key, text)
-    about = docs.select(F.col(key).alias("key"), (F.col(crops) if crops else F.array().cast("array<string>")).alias("doc_crops"))
-    if crops:
-        found = found.join(about, "key")
-    else:
-        found = found.withColumn("doc_crops", F.array().cast("array<string>"))
+    return facts_of(matches(docs, PATTERNS[table], key, text, crops), table, key, terms, zones)
+
+
+def facts_of(found: DataFrame, table: str, key: str = "doc_id", terms: Sequence[str] = CROPS, zones: Sequence[str] = ZONES) -> DataFrame:
+    """The facts of one table from its ``matches``."""
     g = lambda i: F.coalesce(F.get("groups", F.lit(i)), F.lit(""))
     p = F.col("pattern")
     rows = found.withColumn("crop", nearest_crop(F.col("doc_crops"), terms))
@@ -172,9 +178,10 @@ def extract(docs: DataFrame, table: str, key: str = "doc_id", text: str = "text"
         cols = {"variety_name": F.when(p == "released", g(0)).otherwise(""), "maturity_days": F.when(p == "maturity", F.when(g(1) != "", F.concat(g(0), F.lit("-"), g(1))).otherwise(g(0))).otherwise(""), "zone": F.col("zone")}
         conf = F.when(p == "recommended", confidence(has_crop, yes, no)).otherwise(confidence(has_crop, F.col("zone") != "", yes))
     elif table == "pest":
-        rows = rows.withColumn("window", F.substring("around", F.col("at") + 1, F.lit(800)))
+        rows = rows.withColumn("window", F.substring("around", F.col("at") + 1, F.lit(WINDOW)))
+        rows = rows.withColumn("raw_text", F.replace(F.substring("window", 1, 300), F.lit("\n"), F.lit(" ")))
         for name, regex in SECTIONS.items():
-            rows = rows.withColumn(name, F.substring(F.trim(F.regexp_replace(F.regexp_extract("window", regex, 1), r"\n", " ")), 1, 400))
+            rows = rows.withColumn(name, F.substring(F.replace(F.regexp_replace(F.regexp_extract("window", regex, 1), r"(?U)^\s+|\s+$", ""), F.lit("\n"), F.lit(" ")), 1, 400))
         stages = F.array_compact(F.array(*[F.when(F.lower("window").contains(s), F.lit(s)) for s in STAGES]))
         rows = rows.withColumn("growth_stage", F.coalesce(F.try_element_at(stages, F.lit(1)), F.lit("")))
         cols = {"pest_name": F.trim(g(0)), **{c: F.col(c) for c in ("symptoms", "growth_stage", "cultural_control", "chemical_control")}}
@@ -187,20 +194,23 @@ def extract(docs: DataFrame, table: str, key: str = "doc_id", text: str = "text"
 
 
 def fact_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: Mapping[str, Sequence[tuple[str, str]]] = PATTERNS) -> DataFrame:
-    """(key, fact_table, pattern, n): matches per document, of all tables in one pass over the texts."""
+    """(key, fact_table, pattern, n): matches per document, of all tables in one pass over the texts. Counts need no offsets, so
+    texts don't leave the JVM."""
+    cells = [F.struct(F.lit(t).alias("fact_table"), F.lit(n).alias("pattern"), F.regexp_count(text, F.lit("(?U)" + p)).cast("long").alias("n")) for t, ps in tables.items() for n, p in ps]
+    return docs.select(key, F.explode(F.filter(F.array(*cells), lambda x: x["n"] > 0)).alias("c")).select(key, "c.*")
+
+
+def all_facts(docs: DataFrame, key: str = "doc_id", text: str = "text", crops: str | None = None, tables: Mapping[str, Sequence[tuple[str, str]]] = PATTERNS) -> DataFrame:
+    """(key, fact_table, pattern, start, crop, confidence, needs_review, raw_text) of every table. The texts are matched once, whatever the
+    number of tables."""
     named = [(f"{t}|{n}", p) for t, ps in tables.items() for n, p in ps]
-    per = matches(docs, named, key, text).groupBy("key", "pattern").agg(F.count("*").alias("n"))
-    parts = F.split("pattern", r"\|")
-    return per.select(F.col("key").alias(key), parts[0].alias("fact_table"), parts[1].alias("pattern"), "n")
-
-
-def all_facts(docs: DataFrame, key: str = "doc_id", text: str = "text", crops: str | None = None, tables: Mapping[str, object] = PATTERNS) -> DataFrame:
-    """(key, table, pattern, start, crop, confidence, needs_review) of every table."""
-    out = None
-    for t in tables:
-        part = extract(docs, t, key, text, crops).select(key, F.lit(t).alias("fact_table"), "pattern", "start", "crop", "confidence", "needs_review")
-        out = part if out is None else out.unionByName(part)
-    return out
+    with scratch():
+        found = cut(matches(docs, named, key, text, crops).withColumn("fact_table", F.split("pattern", r"\|")[0]).withColumn("pattern", F.split("pattern", r"\|")[1]))
+        out = None
+        for t in tables:
+            part = facts_of(found.where(F.col("fact_table") == t), t, key).select(key, F.lit(t).alias("fact_table"), "pattern", "start", "crop", "confidence", "needs_review", "raw_text")
+            out = part if out is None else out.unionByName(part)
+        return cut(out, keep=True)
 
 
 def confidence_histogram(facts: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.text import is_garbled
+from furrow.operators.layout import anchor_bands, word_columns
+
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """The default encoder, for tests and as a baseline: signed counts of hashed words and word pairs. No model is loaded."""
@@ -76,13 +79,41 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[tuple[str,
     return files.select(key, content).mapInArrow(run, f"`{key}` string, text string, error string")
 
 
-def register_rows(words: DataFrame, product: str = "product", ingredient: str = "ingredient", raw: str = "raw") -> DataFrame:
-    """Adds confidence and needs_review to rows read from a register: 0.4, and 0.3 each for a clean product name and ingredient."""
-    from furrow.functions.text import is_garbled
-
+# The columns of a printed register by position, and the forms of its numbers and dates.
+REGISTER_COLUMNS = [
+    ("product_name", 0.0, 84.5), ("active_ingredient", 84.5, 164.5), ("applicant", 164.5, 250.0), ("manufacturer", 250.0, 325.0), ("reg_no", 325.0, 360.0),
+    ("date_registered", 360.0, 403.0), ("reg_expiry", 403.0, 438.0), ("presentation", 438.0, 489.0), ("country", 489.0, 524.0),
+]
+REGISTER_NUMBER = r"^([0-9]{2}-[0-9]{3,6}[A-Z]?|A[0-9]-[0-9]{3,6}[A-Z]?)$"
+REGISTER_DATE = r"^\d{2}/\d{2}/\d{4}$"
+
+
+def register_rows(words: DataFrame, columns: Sequence[tuple[str, float, float]] = tuple(REGISTER_COLUMNS), anchor: str = "reg_no", number: str = REGISTER_NUMBER, date: str = REGISTER_DATE, dates: Sequence[str] = ("date_registered", "reg_expiry")) -> DataFrame:
+    """(page, row_no, the columns, raw_text, confidence, needs_review): the rows of a register, from words (page, text, x0, top).
+
+    A row begins at each word of the anchor column that has the form of a number and reaches to the next one. The words of a cell are
+    joined in the order of their line (top to one decimal place) and position; of a date column the first date counts. Words before the first row of a
+    page, or outside all columns, belong to none. Confidence is 0.4, and 0.3 each for a clean product name and ingredient.
+    """
+    w = word_columns(words, columns)
+    starts = w.where((F.col("column") == anchor) & F.col("text").rlike(number)).select("page", "top", F.struct("top", "x0", "text").alias("_row"))
+    placed = anchor_bands(w.where("column is not null"), starts, key="_row").where("_row is not null")
+    cell = F.struct(F.round("top", 1).alias("t"), "x0", "text")
+    cells = placed.groupBy("page", "_row").pivot("column", [c for c, _, _ in columns]).agg(F.array_sort(F.collect_list(cell)))
+    joined = lambda c: F.trim(F.array_join(F.transform(c, lambda x: x["text"]), " "))
+    first = lambda c: F.coalesce(F.try_element_at(F.filter(F.transform(c, lambda x: x["text"]), lambda x: x.rlike(date)), F.lit(1)), F.lit(""))
+    value = lambda c: F.coalesce(F.col("_row.text") if c == anchor else first(F.col(c)) if c in dates else joined(F.col(c)), F.lit("")).alias(c)
+    rows = cells.select("page", "_row", *[value(c) for c, _, _ in columns])
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("page").orderBy("_row")))
+    names = [c for c, _, _ in columns]
+    return register_confidence(rows.withColumn("_raw", F.concat_ws(" | ", *names)), names[0], names[1], "_raw").select("page", "row_no", *names, "raw_text", "confidence", "needs_review")
+
+
+def register_confidence(rows: DataFrame, product: str = "product", ingredient: str = "ingredient", raw: str = "raw") -> DataFrame:
+    """Adds raw_text, confidence and needs_review to rows read from a register: 0.4, and 0.3 each for a clean product name and ingredient."""
     clean = lambda c: (F.coalesce(F.trim(c), F.lit("")) != "") & ~is_garbled(c) & (F.length(c) <= 60)
     conf = F.round(F.lit(0.4) + F.when(clean(product), 0.3).otherwise(0.0) + F.when(clean(ingredient), 0.3).otherwise(0.0), 2)
-    return words.withColumn("raw_text", F.substring(raw, 1, 500)).withColumn("confidence", conf).withColumn("needs_review", conf < 0.7)
+    return rows.withColumn("raw_text", F.substring(raw, 1, 500)).withColumn("confidence", conf).withColumn("needs_review", conf < 0.7)
 
 
 def value_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -105,6 +136,8 @@ def report_lines(wide: DataFrame, name: str = "name", most: int = 10_000) -> lis
 
 def fact_summary(facts: DataFrame, by: str = "crop", most: int = 3) -> DataFrame:
     """(by, facts): the surest facts of each crop as one text, at most ``most``, on ties in the order of the text."""
-    rows = facts.where(F.col(by) != "").groupBy(by).agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("confidence")).alias("o"), F.col("raw_text").alias("t")))), 1, most).alias("top"))
-    lines: Column = F.transform("top", lambda x: x["t"])
-    return rows.select(by, F.array_join(lines, "\n").alias("facts"))
+    order = Window.partitionBy(by).orderBy(F.desc("confidence"), "raw_text")
+    # the window keeps the best of each task before the shuffle, so no task sees all facts of a crop
+    best = facts.where(F.col(by) != "").select(by, "confidence", "raw_text").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_r", "raw_text"))), lambda x: x["raw_text"])
+    return best.groupBy(by).agg(F.array_join(lines, "\n").alias("facts"))

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.text import tokenize
+from furrow.session import cut, scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+_TERM = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)?")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        owner, terms, tfs, dls = [], [], [], []
+        for n, text in enumerate(batch.column(1).to_pylist()):
+            counts = Counter(_TERM.findall(text))
+            owner += [n] * len(counts)
+            terms += counts
+            tfs += counts.values()
+            dls += [counts.total()] * len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(tfs, pa.int64()), pa.array(dls, pa.int32())], ["term", "key", "tf", "dl"])
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, dl): term frequencies with the length of the document in tokens."""
-    toks = docs.select(key, tokenize(text).alias("toks"))
-    return toks.select(key, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(term, key, tf, dl): term frequencies with the length of the document in tokens. A document's terms are counted where the
+    document is, so nothing is shuffled. Keys must be unique."""
+    rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    return rows.mapInArrow(_counted, f"term string, key {dict(docs.dtypes)[key]}, tf long, dl int").withColumnRenamed("key", key)
 
 
-def corpus_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, posts: DataFrame) -> DataFrame:
     """One row: number of documents and mean length in tokens (documents without token count with length 0)."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokenize(text))).alias("avgdl"))
+    return docs.agg(F.count("*").alias("n_docs")).join(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")), F.lit(True)).select("n_docs", (F.col("n") / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -29,17 +52,39 @@ def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query_id, key, score, rank): the k best documents of each query with a positive score.
+@dataclass
+class Index:
+    """A sparse index: postings, one row of corpus statistics, and term statistics, each a stored table."""
 
-    Query terms count as often as they are repeated. Only postings of query terms reach the join; documents are
-    scanned, tokenised and counted once, on the map side. Ties go to the smaller key.
-    """
-    posts, stats = postings(docs, key, text), corpus_stats(docs, key, text)
-    terms = term_stats(posts, stats)
+    posts: DataFrame
+    stats: DataFrame
+    terms: DataFrame
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """The index of a corpus. Texts are read and tokenised once; everything else reads the postings. The tables lie in the shared folder."""
+    posts = cut(postings(docs, key, text))
+    stats = cut(corpus_stats(docs, posts))
+    return Index(posts, stats, cut(term_stats(posts, stats)))
+
+
+def save_index(index: Index, path: str) -> None:
+    """Overwrites the three tables below ``path``."""
+    for name in ("posts", "stats", "terms"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("posts", "stats", "terms")))
+
+
+def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query_id, key, score, rank): the k best documents of each query with a positive score. Query terms count as often as they are
+    repeated. Ties go to the smaller key. The weighted query terms are joined to the postings, by broadcast if they are few; the scores of
+    a document are added up before the shuffle, as its postings lie together."""
     wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = wanted.join(terms.select("term", "idf"), "term")
-    scored = posts.join(weighted, "term").join(F.broadcast(stats), F.lit(True))
+    weighted = wanted.join(index.terms.select("term", "idf"), "term")
+    scored = index.posts.join(weighted, "term").join(F.broadcast(index.stats), F.lit(True))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     hits = scored.groupBy("query_id", key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score")).where("score > 0")
     hits = hits.withColumn("score", F.round("score", 9))
@@ -47,6 +92,12 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id"
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+    """``search_index`` over the index of ``docs``, which is dropped afterwards."""
+    with scratch():
+        return cut(search_index(build_index(docs, key, text), queries, k, key, query_key, query_text), keep=True)
+
+
 def rrf_fuse(ranks: DataFrame, k: int, constant: int = 60) -> DataFrame:
     """(query_id, item_id, score, rank) from rows (query_id, ranker int, rank, item_id): sum of 1 / (constant + rank); ties go to the item of
     the earlier ranker, then of the better rank there."""
@@ -55,17 +106,32 @@ def rrf_fuse(ranks: DataFrame, k: int, constant: int = 60) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
 
 
-def pack_context(hits: DataFrame, budget: int = 5600, suffix: str = "...", text: str = "text", rank: str = "rank", most: int = 16) -> DataFrame:
-    """(query_id, context, used): texts in rank order joined by empty lines within a budget of characters; the text that does not
-    fit is cut at its last space and marked, and ends the context. Few hits per query: at most ``most`` are taken."""
-    lists = hits.where(F.col(rank) <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.coalesce(text, F.lit("")).alias("t")))).alias("xs"))
-    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<string>").alias("out"))
+# The forms of a context.
+HEADER, SUFFIX, NOTHING = "--- Document Chunk [%s] ---\n", " [...truncated]", "No relevant document passages found."
+
+
+def pack_context(hits: DataFrame, budget: int = 5600, text: str = "text", rank: str = "rank", source: str = "source_id", key: str = "item_id", queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context, used, source_ids): texts in rank order, each under a header with its source, within a budget of characters.
+
+    A text longer than what is left is cut at its last blank and marked; the cut may leave budget for a piece of the next one. Texts are
+    taken until nothing is left. The header names the key where the source is null or empty; ``source_ids`` are the
+    distinct sources in order. Null texts are empty. Queries of ``queries`` without hits get the text that says so. A query's hits are the
+    few that its retrieval returned.
+    """
+    item = F.struct(F.col(rank).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(key).cast("string").alias("k"))
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    if queries is not None:
+        lists = queries.select("query_id").distinct().join(lists, "query_id", "left")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(budget).alias("left"), none.alias("out"), none.alias("src"))
 
     def step(acc, x):
         left = acc["left"]
-        whole = F.length(x["t"]) <= left
-        part = F.concat(F.regexp_replace(F.substring(x["t"], F.lit(1), left), r"\s\S*$", ""), F.lit(suffix))
-        return F.when(left <= 0, acc).when(whole, F.struct((left - F.length(x["t"])).alias("left"), F.concat(acc["out"], F.array(x["t"])).alias("out"))).otherwise(F.struct(F.lit(0).alias("left"), F.concat(acc["out"], F.array(part)).alias("out")))
-
-    done = lists.select("query_id", F.aggregate("xs", start, step).alias("a"))
-    return done.select("query_id", F.array_join("a.out", "\n\n").alias("context"), F.size("a.out").alias("used"))
+        part = F.concat(F.regexp_replace(F.substring(x["t"], F.lit(1), left), r" [^ ]*\z", ""), F.lit(SUFFIX))
+        body = F.when(F.length(x["t"]) > left, part).otherwise(x["t"])
+        named = F.concat(F.lit(HEADER.split("%s")[0]), F.when(x["s"] != "", x["s"]).otherwise(x["k"]), F.lit(HEADER.split("%s")[1]), body)
+        src = F.when(x["s"] != "", F.concat(acc["src"], F.array(x["s"]))).otherwise(acc["src"])
+        return F.when(left <= 0, acc).otherwise(F.struct((left - F.length(body)).alias("left"), F.concat(acc["out"], F.array(named)).alias("out"), src.alias("src")))
+
+    done = lists.select("query_id", F.aggregate(F.coalesce("xs", F.array().cast(dict(lists.dtypes)["xs"])), start, step).alias("a"))
+    return done.select("query_id", F.when(F.size("a.out") > 0, F.array_join("a.out", "\n\n")).otherwise(NOTHING).alias("context"), F.size("a.out").alias("used"), F.array_distinct("a.src").alias("source_ids"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERY_VECTORS = 50_000
+from furrow.operators.ordering import prefix_totals
+
+MOST_QUERY_VECTORS, MOST_CENTRES = 50_000, 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,49 +25,58 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
-def _scan(keys: list, matrix: np.ndarray, k: int):
+def _scan(keys: list, matrix: np.ndarray, k: int, groups: list | None = None, cells: int = 4_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, object]]] = [[] for _ in keys]
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            column = batch.column(1)
-            rows = np.flatnonzero(np.asarray(pa.compute.equal(pa.compute.list_value_length(column), matrix.shape[1]).fill_null(False)))
-            if not len(rows):
-                continue
-            ids = batch.column(0).take(pa.array(rows)).to_pylist()
-            vectors = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
-            scores = vectors @ matrix.T
-            for q in range(len(keys)):
-                s = scores[:, q]
-                top = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                edge = np.sort(s[top])[::-1][min(k, len(top)) - 1]
-                pick = np.flatnonzero(s >= edge - 1e-12)  # ties at the edge stay in
-                best[q] = sorted(best[q] + [(-float(s[i]), ids[i]) for i in pick])[:k]
-        flat = [(q, i, -s) for q, rows_ in zip(keys, best, strict=True) for s, i in rows_]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], kind), pa.array([x[2] for x in flat], pa.float64())], ["query_id", "item_id", "score"])
+        q, s, ids = np.empty(0, np.int64), np.empty(0), None
+        step, kind = max(1, cells // max(1, len(keys))), None
+        own = None if groups is None else np.array(groups)
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                column = batch.column(1)
+                rows = np.flatnonzero(np.asarray(pa.compute.equal(pa.compute.list_value_length(column), matrix.shape[1]).fill_null(False)))
+                if not len(rows):
+                    continue
+                at = pa.array(rows)
+                names = np.array(batch.column(0).take(at).to_pylist())
+                vectors = column.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
+                scores = vectors @ matrix.T
+                if own is not None:
+                    scores[np.array(batch.column(2).take(at).to_pylist())[:, None] == own[None, :]] = -np.inf
+                pick = scores > -np.inf
+                if len(rows) > k:  # ties at the edge stay in
+                    pick &= scores >= np.partition(scores, len(rows) - k, axis=0)[len(rows) - k] - 1e-12
+                i, j = np.nonzero(pick)
+                q, s, ids = np.r_[q, j], np.r_[s, -scores[i, j]], names[i] if ids is None else np.r_[ids, names[i]]
+                order = np.lexsort((ids, s, q))
+                q, s, ids = q[order], s[order], ids[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, s, ids = q[keep], s[keep], ids[keep]
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[q]), pa.array(ids.tolist(), kind), pa.array(-s)], ["query_id", "item_id", "score"])
 
     return run
 
 
-def dense_topk(queries: DataFrame, items: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def dense_topk(queries: DataFrame, items: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", apart: str | None = None, most: int = MOST_QUERY_VECTORS) -> DataFrame:
     """(query_id, item_id, score, rank): the k items with the greatest dot product for each query.
 
-    Each partition of the items is scanned once as blocks by all queries in one matrix product and keeps k per query,
-    so only k rows per query and partition are shuffled. The query set is stated by the caller and checked
-    against ``MOST_QUERY_VECTORS``; items may grow without bound. Ties go to the smaller item. Vectors of another
-    dimension and null vectors take no part.
+    Each partition of the items is scanned once per block of at most ``most`` queries by one matrix product, and keeps k per
+    query, so only k rows per query and partition are shuffled. Queries are a stated set; items may grow without bound.
+    Ties go to the smaller item. Vectors of another dimension and null vectors take no part. ``apart`` names a column of both sides: items
+    with the query's own value take no part (held-out folds).
     """
-    rows = queries.select(F.col(query_key).cast("long"), vector).where(F.col(vector).isNotNull()).limit(MOST_QUERY_VECTORS + 1).collect()
-    if len(rows) > MOST_QUERY_VECTORS:
-        raise ValueError("too many queries for one pass; split them")
-    kind = dict(items.dtypes)[key]
-    schema = f"query_id long, item_id {kind}, score double"
-    if not rows:
-        return items.sparkSession.createDataFrame([], schema + ", rank int")
-    matrix = np.array([r[1] for r in rows], dtype=np.float64)
-    near = items.select(key, vector).mapInArrow(_scan([r[0] for r in rows], matrix, k), schema)
+    schema = f"query_id long, item_id {dict(items.dtypes)[key]}, score double"
+    extra = [apart] if apart else []
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("q"), vector, *extra)
+    blocks = max(1, -(-asked.count() // most))
+    near = items.sparkSession.createDataFrame([], schema)
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        if rows:
+            scan = _scan([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), k, [r[2] for r in rows] if apart else None)
+            near = near.unionByName(items.select(key, vector, *extra).mapInArrow(scan, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -77,29 +88,36 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
     return means.select(label, unit(F.col("v.x")).alias("centroid"))
 
 
+def _centre_lists(centres: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """All centroids (of each ``by``) as one array ``_centres``: a label set is fixed and small, which is checked."""
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centroids")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(label).alias("tier"), "centroid"))).alias("_centres")
+    return F.broadcast(centres.groupBy(*by).agg(listed) if by else centres.agg(listed))
+
+
 def centroid_scores(vectors: DataFrame, centres: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, tier, sim) against every centroid; centroids are one row per label of a fixed label set."""
-    c = F.broadcast(centres.select(F.col(label).alias("tier"), "centroid"))
-    return vectors.join(c, F.lit(True)).select(key, "tier", dot(F.col(vector), F.col("centroid")).alias("sim"))
+    sims = F.transform("_centres", lambda c: F.struct(c["tier"].alias("tier"), dot(F.col(vector), c["centroid"]).alias("sim")))
+    return vectors.join(_centre_lists(centres, label), F.lit(True)).select(key, F.explode(sims).alias("x")).select(key, "x.*")
 
 
 def route(vectors: DataFrame, centres: DataFrame, threshold: float, refuse=None, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, tier, confidence, margin, refused, reason): the tier of the nearest centroid; below the threshold refused as
-    ``low_confidence``; ``refuse`` names the tier that is always refused. Ties go to the smaller tier."""
-    flat = centroid_scores(vectors, centres, key, vector, label)
-    order = Window.partitionBy(key).orderBy(F.desc("sim"), "tier")
-    top = flat.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy(key).agg(
-        F.max(F.when(F.col("r") == 1, F.col("tier"))).alias("tier"), F.max(F.when(F.col("r") == 1, F.col("sim"))).alias("confidence"), F.max(F.when(F.col("r") == 2, F.col("sim"))).alias("second"),
-    )
-    low = F.col("confidence") < threshold
+    ``low_confidence``; ``refuse`` names the tier that is always refused. Ties go to the smaller tier. Each vector is routed within its row:
+    nothing is shuffled. Without centroids there are no rows; a null vector has no confidence and is refused."""
+    ranked = F.array_sort(F.transform("_centres", lambda c: F.struct((-dot(F.col(vector), c["centroid"])).alias("o"), c["tier"].alias("t"))))
+    top = vectors.join(_centre_lists(centres, label), F.size("_centres") > 0).select(key, ranked.alias("r")).select(key, F.col("r")[0]["t"].alias("tier"), (-F.col("r")[0]["o"]).alias("confidence"), (-F.get("r", F.lit(1))["o"]).alias("second"))
+    low = F.coalesce(F.col("confidence") < threshold, F.lit(True))
     always = F.lit(False) if refuse is None else (F.col("tier") == F.lit(refuse))
     return top.select(key, "tier", "confidence", (F.col("confidence") - F.col("second")).alias("margin"), (low | always).alias("refused"), F.when(low, "low_confidence").otherwise("classified").alias("reason"))
 
 
 def folds(vectors: DataFrame, n: int = 5, key: str = "vec_id", label: str = "label") -> DataFrame:
-    """Adds ``fold``: stratified by label, dealt round by the order of a hash of the key (then the key)."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return vectors.withColumn("fold", ((F.row_number().over(order) - 1) % n).cast("int"))
+    """Adds ``fold``: stratified by label, dealt round by the order of a hash of the key (then the key). Positions come from ranges, so a
+    label may hold any share of the rows."""
+    dealt = prefix_totals(vectors.withColumn("_h", F.md5(F.col(key).cast("string"))), [label], [F.col("_h").asc(), F.col(key).asc()], rank="_r")
+    return dealt.withColumn("fold", ((F.col("_r") - 1) % n).cast("int")).drop("_h", "_r")
 
 
 def knn_vote(neighbours: DataFrame, labels: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
@@ -120,9 +138,20 @@ def cross_validate(vectors: DataFrame, n: int = 5, key: str = "vec_id", vector:
     whole = Window.partitionBy(label, "pos")
     held = parts.select(label, "fold", "pos", ((F.sum("s").over(whole) - F.col("s")) / F.nullif(F.sum("c").over(whole) - F.col("c"), F.lit(0))).alias("x"))
     centres = held.where("x is not null").groupBy(label, "fold").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(F.col(label).alias("tier"), "fold", unit(F.col("v.x")).alias("centroid"))
-    flat = data.join(F.broadcast(centres), "fold").select(key, label, "fold", "tier", dot(F.col(vector), F.col("centroid")).alias("sim"))
-    order = Window.partitionBy(key).orderBy(F.desc("sim"), "tier")
-    return flat.withColumn("r", F.row_number().over(order)).where("r = 1").select(key, label, "fold", F.col("tier").alias("predicted"), "sim")
+    best = F.array_min(F.transform("_centres", lambda c: F.struct((-dot(F.col(vector), c["centroid"])).alias("o"), c["tier"].alias("t"))))
+    scored = data.join(_centre_lists(centres, "tier", ["fold"]), "fold").select(key, label, "fold", best.alias("b"))
+    return scored.select(key, label, "fold", F.col("b.t").alias("predicted"), (-F.col("b.o")).alias("sim"))
+
+
+def knn_cross_validate(data: DataFrame, queries: DataFrame, ks: Sequence[int] = (1, 3, 5), key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(key, k, label, predicted): each query classified by its k nearest rows of the other folds. ``data`` has a column ``fold``, the
+    queries are rows of it."""
+    near = dense_topk(queries, data, max(ks), query_key=key, key=key, vector=vector, apart="fold")
+    out = None
+    for k in ks:
+        part = knn_vote(near.where(F.col("rank") <= k), data, key, label).select(F.col("query_id").alias(key), F.lit(k).alias("k"), "predicted")
+        out = part if out is None else out.unionByName(part)
+    return out.join(queries.select(key, label), key)
 
 
 def threshold_sweep(scored: DataFrame, start: int = 50, stop: int = 94, step: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,15 +13,14 @@ from furrow.functions.vocabulary import COUNTRIES, CROPS, TABLE_WORDS, TOPIC_WOR
 from furrow.operators import calculators as K
 from furrow.operators import catalogue as C
 from furrow.operators import documents as D
-from furrow.operators import extract as E
+from furrow.operators import harvest as H
 from furrow.operators import layout as L
 from furrow.operators import retrieval as R
 from furrow.operators import vectors as V
 from furrow.operators.latest import latest
 from furrow.operators.ordering import prefix_totals
-from furrow.plans.questions import SAFETY, answer
+from furrow.plans.questions import unsafe
 from furrow.session import cut
-from furrow.sources.files import page_links
 from furrow.streaming.incremental import tumbling_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,8 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from furrow.plans import more_queries  # noqa: F401 - registers its queries
+
     return dict(_ALL)
 
 
@@ -105,19 +107,18 @@ def url_union_dedupe(spark, sf):
     return a.unionByName(b).where(F.trim("url") != "").groupBy(F.regexp_replace(F.trim("url"), "/+$", "").alias("url_key")).agg(F.min("origin").alias("origin"), F.count("*").alias("n"))
 
 
-@query
-def page_link_harvest(spark, sf):
-    """Links of pages made from the source catalogue (no HTML table is supplied)."""
-    html = F.concat(F.lit('<nav><a href="/home">x</a></nav><a class="d" href="'), F.coalesce("url", F.lit("")), F.lit('">'), F.coalesce("title", F.lit("")), F.lit("</a>"))
-    return _t(spark, sf, "sources").select("source_id", html.alias("html")).select("source_id", F.posexplode(page_links(F.col("html"))).alias("pos", "link")).where("pos > 0 and link <> ''").select("source_id", "link").distinct()
+# --- projections --------------------------------------------------------------------------------------------------------------
 
 
-# --- projections --------------------------------------------------------------------------------------------------------------
+def _of_chunks(spark, sf, **columns) -> DataFrame:
+    """Columns made from the texts of current chunks; the texts themselves are not shuffled."""
+    made = _t(spark, sf, "chunks").select("chunk_id", "chunked_at", *[c.alias(n) for n, c in columns.items()])
+    return latest(made, "chunk_id", "chunked_at", list(columns))
 
 
 @query
 def tag_terms(spark, sf):
-    return _t(spark, sf, "chunks").select("chunk_id", F.explode(X.tag_terms("text", CROPS)).alias("crop")).groupBy("crop").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("n_chunks"))
+    return _of_chunks(spark, sf, crops=X.tag_terms("text", CROPS)).select("chunk_id", F.explode("crops").alias("crop")).groupBy("crop").agg(F.count("*").alias("n"))
 
 
 @query
@@ -127,12 +128,12 @@ def tag_first_term(spark, sf):
 
 @query
 def guess_categories(spark, sf):
-    return _t(spark, sf, "chunks").select(F.explode(X.guess_categories("text", TABLE_WORDS)).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return _of_chunks(spark, sf, found=X.guess_categories("text", TABLE_WORDS)).select(F.explode("found").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query
 def classify_topic(spark, sf):
-    return _t(spark, sf, "chunks").select(X.classify_topic("text", TOPIC_WORDS).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    return _of_chunks(spark, sf, topic=X.classify_topic("text", TOPIC_WORDS)).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @query
@@ -179,7 +180,7 @@ def safe_filename(spark, sf):
 
 @query
 def is_garbled(spark, sf):
-    return _t(spark, sf, "chunks").groupBy(X.is_garbled("text").alias("garbled")).agg(F.count("*").alias("n"))
+    return _of_chunks(spark, sf, garbled=X.is_garbled("text")).groupBy("garbled").agg(F.count("*").alias("n"))
 
 
 @query
@@ -189,7 +190,7 @@ def is_toc_page(spark, sf):
 
 @query
 def safety_override(spark, sf):
-    return _results(spark, sf, "question").select("id", F.coalesce(F.col("question").rlike(SAFETY), F.lit(False)).alias("unsafe"))
+    return _results(spark, sf, "question").select("id", unsafe(F.col("question")).alias("unsafe"))
 
 
 @query
@@ -227,9 +228,7 @@ def resume_antijoin(spark, sf):
 
 @query
 def query_grid(spark, sf):
-    crops = spark.createDataFrame([(c,) for c in CROPS], "crop string")
-    countries = spark.createDataFrame([(c,) for c in COUNTRIES], "country string")
-    return crops.join(F.broadcast(countries), F.lit(True)).select("crop", "country", F.concat_ws(" ", "crop", "country", F.lit("planting guide")).alias("query"))
+    return H.query_grid(spark.createDataFrame([(c,) for c in CROPS], "crop string"), spark.createDataFrame([(c,) for c in COUNTRIES], "country string"))
 
 
 @query
@@ -274,12 +273,15 @@ def combo_counts(spark, sf):
 @query
 def gap_filler(spark, sf):
     rows = _manifest(spark, sf, "crops_covered", "sql_tables_likely")
-    return C.gap_fillers(rows, "id", X.crop_list("crops_covered"), X.split_list("sql_tables_likely"), rare=20)
+    return C.gap_fillers(rows, "id", X.crop_list("crops_covered"), X.split_list("sql_tables_likely"))
 
 
 @query
 def coverage_counts(spark, sf):
-    return C.coverage(_manifest(spark, sf, "crops_covered"), X.crop_list("crops_covered"), CROPS).select("name", "n")
+    rows = _manifest(spark, sf, "crops_covered", "sql_tables_likely", "title")
+    zones = X.tag_terms("title", ZONES)
+    parts = [("crop", X.crop_list("crops_covered"), CROPS), ("zone", zones, ZONES), ("fact_table", X.split_list("sql_tables_likely"), list(TABLE_WORDS))]
+    return reduce(DataFrame.unionByName, [C.coverage(rows, m, domain).select(F.lit(kind).alias("kind"), "name", "n") for kind, m, domain in parts])
 
 
 @query
@@ -329,7 +331,7 @@ def repeated_lines(spark, sf):
 
 
 @query
-def hit_rates(spark, sf):
+def routing_rates(spark, sf):
     rows = _results(spark, sf).where("error is null")
     hit = (F.coalesce("gold_tier", F.lit("")) == F.coalesce("routed_tier", F.lit(""))).cast("int")
     return rows.withColumn("hit", hit).groupingSets([["gold_tier"], ["detected_language"], []], "gold_tier", "detected_language").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.avg("hit"), 3).alias("rate"))
@@ -337,10 +339,22 @@ def hit_rates(spark, sf):
 
 @query
 def eval_scorecard(spark, sf):
-    rows = _results(spark, sf).where("error is null")
-    return rows.groupBy("gold_tier").agg(
-        F.count("*").alias("n"), F.round(F.avg("proxy_accuracy_score"), 4).alias("mean_f1"), F.round(F.avg("elapsed_s"), 4).alias("mean_s"), F.count_if(F.col("refused")).alias("refused"), F.count_distinct("detected_language").alias("languages")
+    """One row per tier as routed, zeros kept: questions, share, mean score, seconds, refusals, languages, and the share that cite a source."""
+    cites = F.size(F.coalesce("source_ids", F.array())) > 0
+    rows = _results(spark, sf, "routed_tier", "proxy_accuracy_score", "elapsed_s", "refused", "detected_language", "source_ids", "error").where("error is null")
+    n_all = rows.agg(F.count("*").alias("whole"))
+    per = rows.groupBy(F.col("routed_tier").alias("tier")).agg(
+        F.count("*").alias("n"), F.round(F.avg("proxy_accuracy_score"), 4).alias("mean_f1"), F.round(F.avg("elapsed_s"), 4).alias("mean_s"), F.count_if(F.col("refused")).alias("refused"), F.count_distinct("detected_language").alias("languages"), F.count_if(cites).alias("cited")
     )
+    tiers = F.broadcast(spark.createDataFrame([(t,) for t in "ABCD"], "tier string"))
+    out = tiers.join(per, "tier", "left").join(F.broadcast(n_all), F.lit(True))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("tier", zero("n").alias("n"), F.round(zero("n") / F.col("whole"), 4).alias("share"), "mean_f1", "mean_s", zero("refused").alias("refused"), zero("languages").alias("languages"), F.round(zero("cited") / F.nullif("n", F.lit(0)), 4).alias("citation_rate"))
+
+
+@query
+def language_counts(spark, sf):
+    return _results(spark, sf, "question", "error").where("error is null").groupBy(X.detect_language("question").alias("lang")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -419,7 +433,7 @@ def inverted_index_text(spark, sf):
     words = X.tokenize("title")
     index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w))))
     rows = _manifest(spark, sf, "title").where(F.size(words) > 0)
-    return rows.select("id", X.first_paragraphs(index, 6).alias("opening"))
+    return rows.select("id", X.first_paragraphs(index).alias("opening"))
 
 
 # --- documents ----------------------------------------------------------------------------------------------------------------
@@ -449,37 +463,6 @@ def split_pages(spark, sf):
     return D.page_rows(_t(spark, sf, "documents")).select("doc_id", "page_index", "page_no", F.length("body").alias("n_chars"))
 
 
-# --- facts --------------------------------------------------------------------------------------------------------------------
-
-
-def _extract(table: str):
-    def run(spark, sf):
-        return E.extract(_t(spark, sf, "documents"), table)
-
-    run.__name__ = f"extract_{table}"
-    return run
-
-
-for _table in E.PATTERNS:
-    query(_extract(_table))
-
-
-@query
-def facts_union(spark, sf):
-    return E.fact_counts(_t(spark, sf, "documents")).groupBy("fact_table", "pattern").agg(F.sum("n").alias("n"))
-
-
-@query
-def confidence_histogram(spark, sf):
-    return E.confidence_histogram(E.all_facts(_t(spark, sf, "documents")))
-
-
-@query
-def zero_yield_docs(spark, sf):
-    docs = _t(spark, sf, "documents")
-    return docs.select("doc_id").join(E.fact_counts(docs).select("doc_id").distinct(), "doc_id", "left_anti")
-
-
 # --- retrieval ----------------------------------------------------------------------------------------------------------------
 # Searches take every row whose id is divisible by 100 as a query, against all rows.
 
@@ -495,8 +478,7 @@ def _vector_queries(vecs: DataFrame) -> DataFrame:
 @query
 def bm25_stats(spark, sf):
     docs = _t(spark, sf, "documents")
-    terms = R.term_stats(R.postings(docs), R.corpus_stats(docs))
-    return terms.where("df > 1").select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.build_index(docs).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -531,15 +513,24 @@ def hybrid_retrieve(spark, sf):
 
 @query
 def pack_context(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return R.pack_context(R.rrf_fuse(_ranks(spark, sf, 4), 4).join(docs, "item_id"))
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("source").alias("source_id"))
+    out = R.pack_context(R.rrf_fuse(_ranks(spark, sf, 4), 4).join(docs, "item_id"))
+    return out.select("query_id", "context", "used", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query
 def cosine_pairs(spark, sf):
+    """The three most similar other vectors of each query vector by cosine."""
+    v = _t(spark, sf, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("embedding"))
+    near = V.dense_topk(_vector_queries(v), v, 4).where(F.col("query_id") != F.col("item_id"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 3")
+    return near.select("query_id", "item_id", F.round("score", 6).alias("cosine"), "rank")
+
+
+@query
+def centroid_similarity(spark, sf):
     v = _t(spark, sf, "embeddings")
-    centre = V.centroids(v)
-    return V.centroid_scores(v, centre).groupBy("tier").agg(F.round(F.max("sim"), 6).alias("best"), F.round(F.avg("sim"), 6).alias("mean"))
+    return V.centroid_scores(v, V.centroids(v)).groupBy("tier").agg(F.round(F.max("sim"), 6).alias("best"), F.round(F.avg("sim"), 6).alias("mean"))
 
 
 @query
@@ -599,10 +590,10 @@ def threshold_sweep(spark, sf):
 
 
 @query
-def answer_questions(spark, sf):
-    """Question to answer in one plan: safety, refusal by the recorded tier, else spacing facts. The branches of tiers B and C are not built."""
-    rows = _results(spark, sf, "question", "routed_tier")
-    return answer(rows.where("question is not null").select("id", "question", "routed_tier"), E.extract(_t(spark, sf, "documents"), "spacing"))
+def router_knn_cv(spark, sf):
+    data = cut(V.folds(_t(spark, sf, "embeddings")))
+    out = V.knn_cross_validate(data, data.where("vec_id % 100 = 0"))
+    return out.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("right"))
 
 
 # --- calculators --------------------------------------------------------------------------------------------------------------
@@ -635,23 +626,32 @@ def fert_best_match(spark, sf):
     return K.best_rates(req, rates).select("request_id", F.col("rate.id").alias("rate_id"), "matched_exactly", "error_type")
 
 
+def _plan(spark, sf) -> DataFrame:
+    req = _requests(spark, sf).select("request_id", "crop", "zone", "area_ha", "soil_class", "target_yield")
+    return K.fertiliser_plan(req, *[K.seed_table(spark, f"calc_{n}") for n in ("fertilizer_rate", "fertilizer_split", "product")])
+
+
 @query
 def fert_split_plan(spark, sf):
-    req = _requests(spark, sf).select("request_id", "crop", "zone", "area_ha", "soil_class", "target_yield")
-    t = [K.seed_table(spark, f"calc_{n}") for n in ("fertilizer_rate", "fertilizer_split", "product")]
-    return K.fertiliser_plan(req, *t).select("request_id", "error_type", "n_kg", "p2o5_kg", "k2o_kg", "n_open", F.size("applications").alias("n_applications"))
+    out = _plan(spark, sf).select("request_id", F.posexplode("applications").alias("step", "a"))
+    return out.select("request_id", (F.col("step") + 1).alias("step"), "a.timing", "a.product_name", "a.product_kg", "a.bags", F.round("a.bags_exact", 6).alias("bags_exact"))
+
+
+@query
+def fert_totals(spark, sf):
+    return _plan(spark, sf).select("request_id", "error_type", "n_kg", "p2o5_kg", "k2o_kg", "n_open", "p2o5_open", "k2o_open")
 
 
 @query
 def fert_error_status(spark, sf):
-    return fert_split_plan(spark, sf).groupBy("error_type").agg(F.count("*").alias("n"))
+    return _plan(spark, sf).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
 @query
 def seed_rate(spark, sf):
     req = _requests(spark, sf).select("request_id", "crop", "area_ha", F.lit(75.0).alias("row_cm"), F.lit(25.0).alias("within_row_cm"), (F.lit(100.0) - F.col("l_discount") * 100).alias("germination_pct"), F.lit(2).alias("seeds_per_stand"))
     out = K.seed_rate(req, K.seed_table(spark, "calc_planting_material"))
-    return out.select("request_id", "error_type", F.round("population", 4).alias("population"), "units", "bundles")
+    return out.select("request_id", "error_type", F.round("population", 4).alias("population"), "seed_kg", "units", "bundles")
 
 
 @query
@@ -667,18 +667,6 @@ def gross_margin(spark, sf):
     return K.gross_margin(req).groupBy("error_type").agg(F.count("*").alias("n"), F.sum("revenue").alias("revenue"), F.sum("margin").alias("margin"))
 
 
-@query
-def parse_tool_call(spark, sf):
-    rows = _results(spark, sf, "answer_text").select("id", K.parse_tool_call(F.col("answer_text")).alias("call")).where("call is not null")
-    return rows.select("id", F.to_json("call").alias("call"))
-
-
-@query
-def tool_validation(spark, sf):
-    rows = _results(spark, sf, "answer_text").select("id", K.parse_tool_call(F.col("answer_text")).alias("call"))
-    return K.tool_errors(rows).select("id", "function", "error_message")
-
-
 # --- streaming extension --------------------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -34,12 +35,14 @@ def get_spark(app: str = "furrow", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests and single-machine runs) an own temporary folder is made, and
-    removed at exit.
+    Where that setting is absent a local master gets an own temporary folder, removed at exit. A cluster has no folder to fall back on:
+    that is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         folder = tempfile.TemporaryDirectory(prefix="furrow-", ignore_cleanup_errors=True)
@@ -80,3 +83,11 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     if len(scopes) > keep:
         scopes[-2 if keep else -1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+MOST_BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, and the join is left to Catalyst."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

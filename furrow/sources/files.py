@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,41 +52,101 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class _Text(HTMLParser):
+    """The text of a page, of its whole and of each kind of root it has: the first main, the first article, the first element whose class
+    speaks of content, and the body."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
-        self.main: list[str] = []
-        self.body: list[str] = []
-        self.inside = 0
+        self.stack: list[tuple[str, bool, set[str]]] = []
+        self.texts: dict[str, list[str]] = {"": []}
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
             return
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
-        skip = tag in _SKIP or any(b in names for b in _BAD) or (bool(self.stack) and self.stack[-1][1])
-        self.stack.append((tag, skip))
-        self.inside += tag in ("main", "article") or "content" in names
+        named = {k: (v or "").lower() for k, v in attrs if k in ("class", "id")}
+        _, skipped, roots = self.stack[-1] if self.stack else ("", False, set())
+        skip = skipped or tag in _SKIP or any(b in v for b in _BAD for v in named.values())
+        begun = {kind for kind, holds in (("main", tag == "main"), ("article", tag == "article"), ("content", "content" in named.get("class", "")), ("body", tag == "body")) if holds and not skip and kind not in self.texts}
+        self.texts |= {kind: [] for kind in begun}
+        self.stack.append((tag, skip, roots | begun))
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
+        if any(t == tag for t, _, _ in self.stack):
             while self.stack and self.stack.pop()[0] != tag:
                 pass
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][1]) and (s := data.strip()):
-            self.body.append(s)
-            if self.inside:
-                self.main.append(s)
+        _, skipped, roots = self.stack[-1] if self.stack else ("", False, set())
+        if not skipped and (s := data.strip()):
+            for kind in ("", *roots):
+                self.texts[kind].append(s)
 
 
 def html_text(source: str | None) -> str | None:
-    """The readable text of a page after ``[[PAGE:1]]``; scripts, navigation and the like are left out. Null stays null."""
+    """The readable text of a page after ``[[PAGE:1]]``; scripts, navigation and the like are left out. The text is that of the first main
+    element, else of the first article, content element or body, else of all. Null stays null."""
     if source is None:
         return None
     p = _Text()
     p.feed(source)
     p.close()
-    return "[[PAGE:1]]\n" + "\n".join(p.main or p.body)
+    root = next((k for k in ("main", "article", "content", "body") if k in p.texts), "")
+    return "[[PAGE:1]]\n" + "\n".join(p.texts[root])
+
+
+class _Tables(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tables: list[tuple[list[str], list[list[str]]]] = []
+        self.open: list[int] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables.append(([], []))
+            self.open.append(len(self.tables) - 1)
+        elif self.open and tag == "tr":
+            self.tables[self.open[-1]][1].append([])
+        elif self.open and tag in ("td", "th"):
+            self.cell = []
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.open:
+            self.open.pop()
+        elif tag in ("td", "th") and self.open and self.cell is not None:
+            text, (head, rows) = " ".join(self.cell), self.tables[self.open[-1]]
+            if tag == "th":
+                head.append(text.lower())
+            elif rows:
+                rows[-1].append(text)
+            self.cell = None
+
+    def handle_data(self, data):
+        if self.cell is not None and (s := data.strip()):
+            self.cell.append(s)
+
+
+def _table_records(source: str | None) -> list[dict]:
+    p = _Tables()
+    p.feed(source or "")
+    p.close()
+    return [{"table_no": t, "row_no": r, "header": head, "cells": row} for t, (head, rows) in enumerate(p.tables) for r, row in enumerate(x for x in rows if len(x) > 1)]
+
+
+_STRINGS = T.ArrayType(T.StringType())
+_RECORDS = T.ArrayType(T.StructType([T.StructField("table_no", T.IntegerType()), T.StructField("row_no", T.IntegerType()), T.StructField("header", _STRINGS), T.StructField("cells", _STRINGS)]))
+
+
+@pandas_udf(_RECORDS)
+def html_tables(s: pd.Series) -> pd.Series:
+    """The rows of at least two cells of all tables of a page, each with the header cells of its table in lower case."""
+    return s.map(_table_records)
+
+
+def cell_named(row: Column, name: str) -> Column:
+    """The cell under the named header; null if there is none, or the table has not as many header cells as the row has cells."""
+    at = F.array_position(F.reverse(row["header"]), name)
+    return F.when((F.size(row["header"]) == F.size(row["cells"])) & (at > 0), F.get(F.reverse(row["cells"]), (at - 1).cast("int")))
 
 
 @pandas_udf(T.StringType())
@@ -93,9 +154,26 @@ def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(html_text)
 
 
-def page_links(html: Column, most: int = 20) -> Column:
-    """The first links (href) of a page, in order."""
-    return F.slice(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)), 1, most)
+_LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
+
+
+@pandas_udf(T.StringType())
+def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
+    """The link as seen from the base address."""
+    return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
+
+
+def page_links(pages: DataFrame, html: str = "html", url: str = "url", wanted: str | None = None, most: int = 20, default_title: str = "") -> DataFrame:
+    """The columns of ``pages`` but the HTML, and (link_no, link, link_title, link_format): the first ``most`` links of each page
+    whose text or address matches the pattern ``wanted`` (all without one). Addresses are made absolute; a link without text has the default title; the
+    format is PDF if the address ends so, else HTML. Null pages have none."""
+    raw = F.coalesce(F.col(html), F.lit(""))
+    pairs = F.arrays_zip(F.regexp_extract_all(raw, F.lit(_LINK), F.lit(1)).alias("href"), F.regexp_extract_all(raw, F.lit(_LINK), F.lit(2)).alias("inner"))
+    named = F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(F.regexp_replace(p["inner"], r"<[^>]*>", " "), r"\s+", " ")).alias("words")))
+    chosen = F.filter(named, lambda p: F.concat_ws(" ", p["words"], p["href"]).rlike(wanted)) if wanted else named
+    rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.slice(chosen, 1, most)).alias("link_no", "_p"))
+    rows = rows.withColumn("link", absolute_url(F.col(url), F.col("_p.href"))).withColumn("link_title", F.when(F.col("_p.words") != "", F.col("_p.words")).otherwise(default_title))
+    return rows.withColumn("link_format", F.when(F.lower("link").endswith(".pdf"), "PDF").otherwise("HTML")).drop("_p")
 
 
 def recorded_source():

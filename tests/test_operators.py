@@ -55,6 +55,12 @@ def test_classify_topic_ties_go_to_the_first(spark):
     assert got == ["planting", "unclassified", "unclassified"]
 
 
+def test_greedy_dedup_of_a_long_chain(spark):
+    rows = spark.range(1, 113).select(F.col("id").alias("rank"))
+    kept = C.keep_best(rows, spark.range(1, 110).select(F.col("id").alias("earlier"), (F.col("id") + 1).alias("later")), "rank", "rank")
+    assert sorted(r["rank"] for r in kept.collect()) == [*range(1, 111, 2), 111, 112]
+
+
 def test_title_pairs_and_greedy_dedup(spark):
     titles = [("a", "Growing maize in the north of the country"), ("b", "Growing maize in the north of the countri"), ("c", "Growing maise in the north of the country"), ("d", "Quite another work on rice"), ("e", "")]
     df = spark.createDataFrame([(i, k, t, "maize" if k != "d" else "rice") for i, (k, t) in enumerate(titles)], "r int, id string, title string, crops string")
@@ -178,7 +184,15 @@ def test_tool_calls(spark):
     texts = ['{"function": "fertiliser_rate", "params": {"crop": "maize", "zone": "Z", "area_ha": 2}}', '```json\n{"function": "seed_rate", "params": {"crop": "okra"}}\n```', 'Sure: {"function": "spray_dilution", "params": {"product_name": "X", "tank_litres": "no"}} ok', '{"error": "cannot"}', "garbage", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", K.parse_tool_call(F.col("t")).alias("call"))
     got = {r.id: (r.function, r.error_message) for r in K.tool_errors(df).select("id", "function", "error_message").collect()}
-    assert got == {0: ("fertiliser_rate", None), 1: ("seed_rate", "crop is not supported"), 2: ("spray_dilution", "tank_litres must be a valid number"), 3: (None, "cannot"), 4: (None, "no call found"), 5: (None, "no call found")}
+    assert got == {0: ("fertiliser_rate", None), 1: ("seed_rate", K.MESSAGES["seed_missing"]), 2: ("spray_dilution", K.MESSAGES["tank_bad"]), 3: (None, "cannot"), 4: (None, None), 5: (None, None)}
+
+
+def test_calls_read_from_questions(spark):
+    asked = ["How many kg of seed for 92.3 hectares of maize at 70 x 20 cm with 80 percent germination?", "How many bags of urea do I need for 2 ha of maize in the Northern Guinea Savanna?", "I want to spray cowpea with Pijulo 2 EC. How much?", "Why?", None]
+    calls = spark.createDataFrame(list(enumerate(asked)), "id int, q string").select("id", K.call_from_question(F.col("q")).alias("call"))
+    got = {r.id: r for r in K.run_tools(calls, lambda t: K.seed_table(spark, t)).collect()}
+    assert got[0].function == "seed_rate" and '"seed_kg"' in got[0].result and got[1].function == "fertiliser_rate" and '"n_kg":240.0' in got[1].result
+    assert got[2].error_message == K.MESSAGES["spray_missing"] and got[3].function is None and got[4].function is None
 
 
 def test_layout(spark):
@@ -196,9 +210,22 @@ def test_retrieval_and_packing(spark):
     assert got == [(1, 1), (1, 4)]
     ranks = spark.createDataFrame([(1, 0, 1, 10), (1, 0, 2, 20), (1, 1, 1, 20), (1, 1, 2, 30)], "query_id int, ranker int, rank int, item_id int")
     assert [r.item_id for r in R.rrf_fuse(ranks, 2).orderBy("rank").collect()] == [20, 10]
-    hits = spark.createDataFrame([(1, 1, "a" * 20), (1, 2, "two words here now"), (1, 3, "never")], "query_id int, rank int, text string")
-    packed = R.pack_context(hits, budget=30).first()
-    assert packed.context == "a" * 20 + "\n\ntwo words..." and packed.used == 2
+    hits = spark.createDataFrame([(1, 1, "a" * 20, "S", 7), (1, 2, "two words here now and more of them", "", 8), (1, 3, "never", "T", 9)], "query_id int, rank int, text string, source_id string, item_id int")
+    packed = {r.query_id: r for r in R.pack_context(hits, budget=30, queries=spark.createDataFrame([(1,), (2,)], "query_id int")).collect()}
+    assert packed[1].context == "--- Document Chunk [S] ---\n" + "a" * 20 + "\n\n--- Document Chunk [8] ---\ntwo words [...truncated]" and packed[1].used == 2 and packed[1].source_ids == ["S"]
+    assert packed[2].context == R.NOTHING and packed[2].used == 0
+    # what a cut leaves goes to the next text
+    sliver = R.pack_context(hits.withColumn("text", F.when(F.col("rank") == 1, "x " + "y" * 40).otherwise(F.col("text"))), budget=30).first()
+    assert sliver.used == 2 and sliver.context.endswith("two words [...truncated]")
+
+
+def test_index_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "yam beetle yam"), (2, "rice blast"), (3, None), (4, "yam")], "doc_id long, text string")
+    R.save_index(R.build_index(docs), str(tmp_path))
+    q = spark.createDataFrame([(1, "yam beetle")], "query_id int, query string")
+    want = sorted(tuple(r) for r in R.bm25_search(docs, q, 5).collect())
+    assert sorted(tuple(r) for r in R.search_index(R.load_index(spark, str(tmp_path)), q, 5).collect()) == want and want
+    assert R.bm25_search(docs.limit(0), q, 5).count() == 0
 
 
 def test_dense_topk_equals_brute_force(spark):
@@ -209,6 +236,10 @@ def test_dense_topk_equals_brute_force(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(1000, None), (1001, [1.0])]
     items = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = V.dense_topk(items.where("vec_id % 100 = 0 and vec_id < 300").withColumnRenamed("vec_id", "query_id"), items, 7).collect()
+    few = V.dense_topk(items.where("vec_id % 100 = 0 and vec_id < 300").withColumnRenamed("vec_id", "query_id"), items, 7, most=1).collect()
+    assert sorted((r.query_id, r.item_id, r["rank"]) for r in few) == sorted((r.query_id, r.item_id, r["rank"]) for r in got)
+    named = V.dense_topk(items.where("vec_id = 100").withColumnRenamed("vec_id", "query_id"), items.withColumn("vec_id", F.format_string("%04d", "vec_id")), 3).orderBy("rank").collect()
+    assert [int(r.item_id) for r in named] == np.argsort(-(x @ x[100]), kind="stable")[:3].tolist()
     for q in (0, 100, 200):
         assert [r.item_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == np.argsort(-(x @ x[q]), kind="stable")[:7].tolist()
 
@@ -222,6 +253,7 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.html").write_bytes(b"%PDF-1.4 x")
     assert files.read_raw(spark, str(tmp_path / "raw")).first().kind == "pdf"
+    assert files.html_text("<main>A</main><p>related</p>") == "[[PAGE:1]]\nA" and files.html_text("") == "[[PAGE:1]]\n"
     assert files.html_text('<body><nav>no</nav><main><p>Yes</p><div class="sidebar">no</div></main></body>') == "[[PAGE:1]]\nYes"
     (tmp_path / "rec").mkdir()
     (tmp_path / "rec" / "q1.json").write_text('{"n": 1}')
@@ -270,7 +302,7 @@ def test_plugins(spark):
     files_ = spark.createDataFrame([("a", bytearray(b"text")), ("b", bytearray(b"bad"))], "path string, content binary")
     rows = {r.path: r for r in P.extract_pages(files_, extractor).collect()}
     assert rows["a"].text == "[[PAGE:1]]\ntext\n[[TABLE_START]]\n| h | k |\n| --- | --- |\n| 1 |  |\n[[TABLE_END]]" and rows["b"].text is None and "broken" in rows["b"].error
-    reg = P.register_rows(spark.createDataFrame([("Karate", "lambda", "x"), ("a b c d", None, "y")], "product string, ingredient string, raw string")).collect()
+    reg = P.register_confidence(spark.createDataFrame([("Karate", "lambda", "x"), ("a b c d", None, "y")], "product string, ingredient string, raw string")).collect()
     assert (reg[0].confidence, reg[0].needs_review, reg[1].confidence) == (1.0, False, 0.4)
     diff = P.value_diff(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, None), (4, "d")], "k int, v string"), "k", "v")
     assert {r.k for r in diff.collect()} == {1, 3, 4}
