@@ -3,8 +3,12 @@
 Method: several noisy labelling functions per defect vote yes, no or abstain. What complete sentences look like, and what a
 refusal looks like, is counted over all records: sentences are reduced to skeletons (numbers, codes and names masked), the
 gold answers give the known skeletons and where each may end, and the answers to questions whose gold answer asks for a
-refusal give those of refusals. A label model is fitted to the votes of each defect by expectation maximisation; a label is
-kept where its posterior exceeds a cutoff chosen on held-out records. A record may keep several labels.
+refusal give those of refusals.
+
+How reliable a function is, is measured on labelled pairs made from a sample of records: their gold answers as they are, broken off,
+replaced by the question, by a placeholder, by a gold answer in another language, or by an answer that was given where a refusal is
+asked for. From these rates expectation maximisation fits a label model to the votes on all records; a label is kept where its posterior
+exceeds the cutoff that does best on the labelled pairs. A record may keep several labels.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +27,8 @@ from pyspark.sql import functions as F
 from furrow.operators.latest import latest
 from furrow.session import cut, scratch
 
-#: How often a vote of each function is taken to be right before any data is seen.
-TRUST = {
-    "empty": [0.998, 0.998, 0.997, 0.98, 0.98],
-    "copy": [0.98, 0.98, 0.985, 0.9, 0.985, 0.97],
-    "refusal": [0.985, 0.9, 0.97, 0.97],
-    "truncated": [0.985, 0.99, 0.97, 0.98, 0.97, 0.985, 0.98],
-    "language": [0.97, 0.95, 0.9, 0.96],
-}
+#: Records whose gold answers are made into labelled pairs: all if there are fewer, else those with the least hashes.
+SAMPLE = 1000
 DEFECTS = ["empty", "copy", "refusal", "truncated", "language"]
 
 # Frequent words that tell the seven languages apart.
@@ -208,14 +207,14 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     }
 
 
-_FEATURES = "id string, empty array<tinyint>, copy array<tinyint>, refusal array<tinyint>, truncated array<tinyint>, language array<tinyint>, segs array<string>, heads array<string>, ctx string, last string, gives_back boolean, stop boolean, asks_refusal boolean"
+_FEATURES = "id string, label string, empty array<tinyint>, copy array<tinyint>, refusal array<tinyint>, truncated array<tinyint>, language array<tinyint>, segs array<string>, heads array<string>, ctx string, last string, gives_back boolean, stop boolean, asks_refusal boolean"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), *[pa.list_(pa.int8())] * 5, pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
-    names = ["id", *["empty", "copy", "refusal", "truncated", "language"], "segs", "heads", "ctx", "last", "gives_back", "stop", "asks_refusal"]
+    kinds = [pa.string(), pa.string(), *[pa.list_(pa.int8())] * 5, pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
+    names = ["id", "label", *["empty", "copy", "refusal", "truncated", "language"], "segs", "heads", "ctx", "last", "gives_back", "stop", "asks_refusal"]
     for batch in batches:
-        rows = [{"id": i} | votes(q, a, g) for i, q, a, g in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+        rows = [{"id": i, "label": d} | votes(q, a, g) for i, q, a, g, d in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
 
@@ -225,113 +224,185 @@ def _gold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["skel"])
 
 
-def fit_labels(patterns: list[tuple[tuple[int, ...], int]], trust: list[float], rounds: int = 200) -> dict[tuple[int, ...], float]:
-    """Posterior of each vote pattern under a model with one latent label, by expectation maximisation.
+# What stands in an answer's place where there is none.
+_NOTHING = ["", " ", "N/A", "null", "[no answer]", "...", "TODO", "Error: connection refused"]
+
+
+_DANGLES = [", but", " and", " because the", " with about"]
+
+
+def _breaks(gold: str, seed: int) -> str | None:
+    """The answer broken off within its last sentence, run on beyond it, or broken off as a JSON text; None if the sentence has fewer than
+    five words."""
+    if seed % 7 == 0:
+        return json.dumps({"answer": gold}, ensure_ascii=False)[: 10 + seed % max(1, len(gold))]
+    if seed % 7 == 1:
+        return gold.rstrip(" .!?") + _DANGLES[seed % len(_DANGLES)]
+    spots = [m.start() for m in re.finditer(r"\S+", gold)]
+    last = segments(gold)[-1:] or [""]
+    words = len(last[0].split())
+    if words < 5 or len(spots) < words:
+        return None
+    # after at least two words of the sentence; some inside a word, some with dots
+    at = spots[len(spots) - words + 2 + seed % (words - 3)]
+    if seed % 7 == 2:
+        return gold[:at].rstrip() + ("..." if seed % 2 else "…")
+    return gold[: at + 2].rstrip() if seed % 3 == 0 and re.match(r"\p{L}{5}", gold[at:]) else gold[:at].rstrip()
+
+
+_LEADS = ["", "You asked: ", "The question was: ", "Thank you for asking. ", "You want to know: "]
+_TURNED = {"i": "you", "my": "your", "me": "you", "we": "you", "our": "your", "mine": "yours"}
+
+
+def _given_back(question: str, seed: int) -> str:
+    """The question as it is, twice, after a lead, or as said to the one who asked."""
+    if seed % 4 == 0:
+        return question
+    if seed % 4 == 1:
+        return f"{question} {question}"
+    turned = re.sub(r"\w+", lambda m: _TURNED.get(m.group().lower(), m.group()), question[:1].lower() + question[1:])
+    return _LEADS[1 + seed // 4 % (len(_LEADS) - 1)] + (question if seed % 4 == 2 else turned.rstrip("?") + ".")
+
 
-    A function that votes is right at a rate of its own; abstaining says nothing. Its prior rate ``trust`` weighs forty times its
-    votes, and the prior share of the label, that of the records with more votes for than against it, as much as the records:
-    that anchors functions which only ever vote one way. Patterns are few whatever the number of
-    records: 3 to the power of the functions at most.
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) if r[1] is not None and r[3] is not None)
+    full = [(i, q, g, language_of(g)[0]) for i, q, _, g in rows if not REFUSAL_ASKED.search(g)]
+    declined = [(a, language_of(a)[0]) for _, _, a, g in rows if a and REFUSAL_ASKED.search(g) and len(a) > 20]
+    out = []
+    for n, (i, q, g, lang) in enumerate(full):
+        seed = crc32(i.encode())
+        made = {"": g, "copy": _given_back(q, seed), "empty": _NOTHING[seed % len(_NOTHING)], "truncated": _breaks(g, seed)}
+        other = next((x for _, _, x, o in (full[(n + k) % len(full)] for k in range(1, 60)) if o and lang and o != lang and language_of(q)[0] not in (None, o)), None)
+        asked = language_of(q)[0]
+        same = [a for a, o in declined if o == asked]
+        made |= {"language": other, "refusal": same[seed % len(same)] if same else None, "whole": json.dumps({"answer": g}, ensure_ascii=False) if seed % 7 == 0 else None, "restated": f"{_LEADS[seed % len(_LEADS)]}{q} {(segments(g) or [g])[0]}"}
+        out += [(f"{k}\n{i}", q, a, g, k if k in DEFECTS else "") for k, a in made.items() if a is not None]
+    cols = list(zip(*out, strict=True)) or [[]] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["id", "q", "a", "g", "label"])
+
+
+def vote_rates(patterns: list[tuple[tuple[int, ...], bool, int]]) -> np.ndarray:
+    """Of labelled pairs: how often each function votes yes, and no, on pairs without and with the label, as shares of these; half a vote is
+    added to each count. An array (without or with, no or yes, function)."""
+    votes_ = np.array([p for p, _, _ in patterns])
+    out = np.zeros((2, 2, votes_.shape[1]))
+    for y in (0, 1):
+        n = np.array([c if t == bool(y) else 0 for _, t, c in patterns], float)
+        for v, vote in enumerate((-1, 1)):
+            out[y, v] = (((votes_ == vote) * n[:, None]).sum(0) + 0.5) / (n.sum() + 1)
+    return out
+
+
+def _posterior(votes_: np.ndarray, rates: np.ndarray, share: float) -> np.ndarray:
+    """The share of the label among pairs with each vote pattern. A vote counts by how much more often it is cast on pairs with the label;
+    abstaining says nothing."""
+    gain = np.log(rates[1]) - np.log(rates[0])
+    odds = (votes_ < 0) @ gain[0] + (votes_ > 0) @ gain[1] + np.log(share / (1 - share))
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def fit_labels(patterns: list[tuple[tuple[int, ...], int]], measured: np.ndarray, rounds: int = 200) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """(posterior of each vote pattern, vote rates, share of the label) of a model with one latent label, by expectation maximisation.
+
+    A rate is the mean of the one measured on labelled pairs and the one estimated on the records, whatever their numbers; the share starts
+    from the records with more votes for than against and is the mean of that and the estimate. Patterns are few
+    whatever the number of records: 3 to the power of the functions at most.
     """
     if not patterns:
-        return {}
-    votes_, n = np.array([p for p, _ in patterns], float), np.array([c for _, c in patterns], float)
-    prior = np.array(trust)
-    weight = np.maximum(200.0, 40 * (np.abs(votes_) * n[:, None]).sum(0))
-    share = float(np.clip(n[votes_.sum(1) > 0].sum() / n.sum(), 0.02, 0.5))
-    rate, pi = prior.copy(), share
+        return {}, measured, 0.5
+    votes_, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
+    first = float(np.clip(n[votes_.sum(1) > 0].sum() / n.sum(), 0.005, 0.5))
+    rates, share = measured.copy(), first
     post = np.zeros(len(n))
     for _ in range(rounds):
-        odds = votes_ @ np.log(rate / (1 - rate)) + np.log(pi / (1 - pi))
-        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        new = _posterior(votes_, rates, share)
         moved = np.abs(new - post).max()
         post = new
         if moved < 1e-7:
             break
-        right = ((votes_ > 0) * (n * post)[:, None] + (votes_ < 0) * (n * (1 - post))[:, None]).sum(0)
-        cast = (np.abs(votes_) * n[:, None]).sum(0)
-        rate = np.clip((right + weight * prior) / (cast + weight), 0.51, 0.999)
-        pi = float(np.clip(((n * post).sum() + share * n.sum()) / (2 * n.sum()), 0.01, 0.5))
-    return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
-
-
-def best_cutoff(posterior: dict[tuple[int, ...], float], held_out: dict[tuple[int, ...], int], least: float = 0.5) -> float:
-    """The cutoff, at least ``least``, with the best expected F1 on held-out records."""
-    scored = sorted(((posterior[p], n) for p, n in held_out.items() if p in posterior), reverse=True)
-    truth = sum(x * n for x, n in scored)
-    best, cutoff, hits, said = -1.0, least, 0.0, 0
-    for x, n in scored:
-        if x < least:
-            break
-        hits, said = hits + x * n, said + n
-        f1 = 2 * hits / max(said + truth, 1e-9)
-        if f1 > best:
-            best, cutoff = f1, x
-    return cutoff
+        for y, weight in ((0, n * (1 - post)), (1, n * post)):
+            for v, vote in enumerate((-1, 1)):
+                rates[y, v] = (measured[y, v] + (((votes_ == vote) * weight[:, None]).sum(0) + 0.5) / (weight.sum() + 1)) / 2
+        share = float(np.clip(((n * post).sum() / n.sum() + first) / 2, 0.001, 0.5))
+    return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}, rates, share
+
+
+def best_cutoff(labelled: list[tuple[tuple[int, ...], bool, int]], rates: np.ndarray, share: float, least: float = 0.5) -> float:
+    """The cutoff, at least ``least``, with the best F1 on labelled pairs, in which the label is given the share it has among the records."""
+    x = _posterior(np.array([p for p, _, _ in labelled]), rates, share)
+    truth, n = np.array([t for _, t, _ in labelled]), np.array([c for _, _, c in labelled], float)
+    w = np.where(truth, share * n / max(n[truth].sum(), 1), (1 - share) * n / max(n[~truth].sum(), 1))
+    cuts = sorted({least, *x[x >= least].tolist()})
+    f1 = [2 * w[truth & (x >= c)].sum() / (w[x >= c].sum() + share) for c in cuts]
+    return float(cuts[int(np.argmax(f1))])
 
 
-def label_pairs(results: DataFrame, *, key: str = "id", question: str = "question", answer: str = "answer_text", gold: str = "gold_answer", error: str = "error", at: str = "answered_at") -> DataFrame:
+def label_pairs(results: DataFrame, *, key: str = "id", question: str = "question", answer: str = "answer_text", gold: str = "gold_answer", error: str = "error", at: str = "answered_at", sample: int = SAMPLE) -> DataFrame:
     """(key, defect_type, posterior, cutoff, best): every kept label of the current records without error; ``best`` marks the
     one with the highest posterior (on ties in the order empty, copy, refusal, truncated, language).
 
     A null answer is empty. A null gold answer asks for no refusal. Records with a null key are no record. An empty
-    table gives no rows. The columns ``refused`` and ``detected_language`` are not used, as they are often wrong.
+    table gives no rows. The columns ``refused`` and ``detected_language`` are not used, as they are often wrong. At most ``sample`` records with a
+    gold answer are made into labelled pairs, which measure the functions; all statistics are of all records.
     """
     spark = results.sparkSession
     with scratch():
         rows = latest(results, key, at, [question, answer, gold, error]).where(F.col(error).isNull())
         rows = rows.select(F.col(key).cast("string").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a"), F.col(gold).alias("g"))
         rows = cut(rows)
+        chosen = rows.where("g is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+        made = cut(chosen.coalesce(1).mapInArrow(_labelled, "id string, q string, a string, g string, label string"))
+        every = rows.withColumn("label", F.lit(None).cast("string")).unionByName(made)
         work = max(1, -(-rows.count() // 4000))
-        feats = cut(rows.repartition(work, "id").mapInArrow(_features, _FEATURES))
+        feats = cut(every.repartition(work, "id").mapInArrow(_features, _FEATURES))
         known = cut(rows.select("g").where("g is not null").mapInArrow(_gold, "skel string").groupBy("skel").agg(F.count("*").alias("n")))
-        # every context of a known sentence, the tokens that follow it, and how often the sentence ends there
+        # every context of a known sentence that an answer ends in, the tokens that follow it, and how often the sentence ends there
         toks = F.split("skel", " ")
         steps = known.select("n", F.size(toks).alias("len"), toks.alias("toks"), F.explode(F.sequence(F.lit(1), F.size(toks))).alias("i"))
         steps = steps.select(F.array_join(F.slice("toks", 1, F.col("i") - 1), " ").alias("ctx"), F.element_at("toks", F.col("i")).alias("tok"), F.when(F.col("i") == F.col("len"), F.col("n")).otherwise(0).alias("ends"), "n")
-        steps = steps.groupBy("ctx", "tok").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
-        nexts = steps.groupBy("ctx").agg(F.collect_list(F.struct("tok", "ends", "n")).alias("nexts"))
-        segs = feats.select("id", "asks_refusal", "gives_back", F.explode("segs").alias("skel"))
+        steps = steps.join(feats.where("not stop").select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx", "tok").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+        steps = cut(steps)
+        # a token as a whole, and every beginning of one, so that an answer's last token is looked up by equality
+        begun = steps.where(F.length("tok") > 1).select("ctx", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - 1), lambda i: F.substring("tok", F.lit(1), i))).alias("last")).distinct().withColumn("partial", F.lit(True))
+        segs = feats.select("id", "label", "asks_refusal", "gives_back", F.explode("segs").alias("skel"))
         per = segs.join(known.select("skel", F.lit(1).alias("is_known")), "skel", "left").groupBy("id").agg(F.sum(F.coalesce("is_known", F.lit(0))).alias("n_known"))
         # refusals as they are phrased where they are asked for: runs of four words of answers without any known sentence
         words = F.split("skel", " ")
         runs = F.when(F.size(words) > 3, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " ")))
-        strange = segs.where("not gives_back").join(per.where("n_known > 0"), "id", "left_anti").select("id", "asks_refusal", F.explode(runs).alias("run")).distinct()
-        phrased = strange.groupBy("run").agg(F.sum(F.col("asks_refusal").cast("int")).alias("asked"), F.count("*").alias("all")).where("asked >= 3 and asked >= 0.25 * all and all > asked")
+        strange = segs.where("not gives_back").join(per.where("n_known > 0"), "id", "left_anti").select("id", "label", "asks_refusal", F.explode(runs).alias("run")).distinct()
+        phrased = strange.where("label is null").groupBy("run").agg(F.sum(F.col("asks_refusal").cast("int")).alias("asked"), F.count("*").alias("all")).where("asked >= 3 and asked >= 0.25 * all and all > asked")
         hits = strange.join(phrased.select("run"), "run").groupBy("id").agg(F.count("*").alias("n_ref"))
         per = per.join(hits, "id", "left")
         # an unfinished sentence that begins with a whole known one runs on ("..., but", "... with about")
         past = feats.select("id", F.explode("heads").alias("skel")).join(known.select("skel"), "skel").groupBy("id").agg(F.count("*").alias("n_past"))
-        joined = feats.join(per, "id", "left").join(past, "id", "left").join(nexts, "ctx", "left")
-        here = F.filter(F.coalesce("nexts", F.array()), lambda x: x["tok"] == F.col("last"))
-        ends, total = F.aggregate(here, F.lit(0).cast("long"), lambda s, x: s + x["ends"]), F.aggregate(here, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-        partial = F.exists(F.coalesce("nexts", F.array()), lambda x: x["tok"].startswith(F.col("last")) & (x["tok"] != F.col("last")))
-        goes_on = F.when(F.col("stop") | (F.col("last") == ""), F.lit(0)).when((total > 0) & (ends == 0), 1).when((total > 0) & (ends > 0), -1).when((F.size(F.coalesce("nexts", F.array())) > 0) & partial, 1).otherwise(0)
+        follow = steps.select("ctx", F.col("tok").alias("last"), "ends", F.col("n").alias("total"))
+        joined = feats.join(per, "id", "left").join(past, "id", "left").join(follow, ["ctx", "last"], "left").join(begun, ["ctx", "last"], "left")
+        goes_on = F.when(F.col("stop") | (F.col("last") == ""), F.lit(0)).when(F.col("ends") == 0, 1).when(F.col("ends") > 0, -1).when(F.col("partial"), 1).otherwise(0)
         n_known, n_ref = F.coalesce("n_known", F.lit(0)), F.coalesce("n_ref", F.lit(0))
         tiny = lambda c: F.array(c.cast("tinyint"))
         voted = cut(joined.select(
-            "id", "asks_refusal",
+            "id", "label", "asks_refusal",
             F.concat("empty", tiny(F.when(n_known > 0, -1).otherwise(0))).alias("empty"),
             F.concat("copy", tiny(F.when(n_known > 0, -1).otherwise(0))).alias("copy"),
             F.concat("refusal", tiny(F.when(n_known > 0, -1).otherwise(0)), tiny(F.when(n_ref > 0, 1).otherwise(0))).alias("refusal"),
             F.concat("truncated", tiny(goes_on), tiny(F.when((goes_on == 0) & (F.col("n_past") > 0) & ~F.col("stop"), 1).otherwise(0))).alias("truncated"), "language",
         ), keep=True)
-    # one pass counts the patterns of all defects; a fifth of the records is held out for the cutoffs
-    held = (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held")
-    long = voted.select("id", "asks_refusal", held, F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("p")) for d in DEFECTS])).alias("x")).select("id", "asks_refusal", "held", "x.d", "x.p")
-    counts = long.groupBy("d", "p", "held").count().collect()
+    # one pass counts the patterns of all defects, of records and of labelled pairs
+    long = voted.select("id", "label", "asks_refusal", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("p")) for d in DEFECTS])).alias("x")).select("id", "label", "asks_refusal", "x.d", "x.p")
+    counts = long.groupBy("d", "p", "label").count().collect()
     table = []
     for d in DEFECTS:
-        own = [r for r in counts if r.d == d]
-        fit: dict[tuple[int, ...], int] = {tuple(r.p): 0 for r in own}
-        out: dict[tuple[int, ...], int] = {}
-        for r in own:
-            (out if r.held else fit)[tuple(r.p)] = r["count"]
-        post = fit_labels(list(fit.items()), TRUST[d])
-        cutoff = best_cutoff(post, out or fit)
+        own = [(tuple(r.p), r["count"]) for r in counts if r.d == d and r.label is None]
+        labelled = [(tuple(r.p), r.label == d, r["count"]) for r in counts if r.d == d and r.label is not None]
+        if not own:
+            continue
+        # without gold answers there is nothing to learn from: then every function is believed alike
+        rates = vote_rates(labelled) if labelled else np.array([[0.3, 0.02], [0.02, 0.3]])[:, :, None].repeat(len(own[0][0]), 2)
+        post, fitted, share = fit_labels(own, rates)
+        cutoff = best_cutoff(labelled, fitted, share) if labelled else 0.5
         table += [(d, list(p), x, cutoff, DEFECTS.index(d)) for p, x in post.items() if x >= cutoff and 1 in p]
     kept = F.broadcast(spark.createDataFrame(table, "d string, p array<tinyint>, posterior double, cutoff double, ord int"))  # as few as there are patterns
-    labels = long.join(kept, ["d", "p"]).where(~((F.col("d") == "refusal") & F.col("asks_refusal")))
+    labels = long.where("label is null").join(kept, ["d", "p"]).where(~((F.col("d") == "refusal") & F.col("asks_refusal")))
     top = labels.groupBy("id").agg(F.max(F.struct(F.round("posterior", 6).alias("x"), (-F.col("ord")).alias("o"))).alias("top"))
     return labels.join(top, "id").select(F.col("id").alias(key), F.col("d").alias("defect_type"), "posterior", "cutoff", (F.col("ord") == -F.col("top.o")).alias("best"))
 

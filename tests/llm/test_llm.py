@@ -275,9 +275,27 @@ def test_defects_of_planted_pairs(spark):
 
 
 def test_label_model_prefers_reliable_votes():
-    post = defects.fit_labels([((1, 1), 50), ((-1, -1), 900), ((1, -1), 5), ((0, 0), 45)], [0.99, 0.6])
-    assert post[(1, 1)] > 0.8 > 0.1 > post[(-1, -1)] and post[(1, -1)] > 0.5 > post[(0, 0)]
-    assert defects.fit_labels([], []) == {}
+    # on labelled pairs the first function is right, the second guesses
+    labelled = [((1, 1), True, 50), ((1, -1), True, 50), ((-1, 1), False, 45), ((-1, -1), False, 55), ((0, 0), False, 10)]
+    rates = defects.vote_rates(labelled)
+    assert rates[1, 1, 0] > 0.9 > 0.1 > rates[0, 1, 0] and abs(rates[1, 1, 1] - rates[0, 1, 1]) < 0.15
+    post, fitted, share = defects.fit_labels([((1, 1), 50), ((-1, -1), 900), ((1, -1), 5), ((0, 0), 45)], rates)
+    assert post[(1, 1)] > 0.8 > 0.1 > post[(-1, -1)] and post[(1, -1)] > 0.5 > post[(0, 0)] and 0.03 < share < 0.1
+    assert 0.5 <= defects.best_cutoff(labelled, fitted, share) < 1
+    assert defects.fit_labels([], rates)[0] == {}
+
+
+def test_labelled_pairs_are_what_they_say():
+    import pyarrow as pa
+
+    gold = "Plant the maize in rows before the first rains of April. Thin to one plant per stand after two weeks."
+    rows = [(f"B{i}", f"When should I plant maize in field {i}?", "x", gold) for i in range(60)] + [("C", "Quand faut-il semer le maïs dans les champs?", "x", "Il faut semer le maïs dans les champs avant les pluies.")]
+    out = next(defects._labelled(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["id", "q", "a", "g"])]))).to_pylist()
+    assert {r["label"] for r in out} == {"", "copy", "empty", "truncated", "language"}
+    cut_off = [r["a"] for r in out if r["label"] == "truncated"]
+    assert all(a != gold for a in cut_off) and any(a.startswith("{") for a in cut_off) and sum(gold.startswith(a) for a in cut_off) > 20
+    assert all(r["g"] == gold or r["id"].endswith("\nC") for r in out) and len({r["id"] for r in out}) == len(out)
+    assert next(defects._labelled(iter([]))).num_rows == 0
 
 
 # --- 6 ------------------------------------------------------------------------------------------------------------------------
