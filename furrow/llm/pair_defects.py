@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -72,6 +73,11 @@ _OPENING = re.compile(r"^(?:[\p{L}\p{M}']+\s?){1,4}(?:,(?: but)?|:)\s+(?=\S+\s\S
 _CODE = re.compile(r"\b[A-Z]{2,}-\d+\b")
 
 
+@lru_cache(maxsize=256)
+def _rx(pattern: str):
+    return re.compile(pattern)
+
+
 def _nfc(s: str | None) -> str:
     return unicodedata.normalize("NFC", s or "").replace("’", "'")
 
@@ -81,7 +87,7 @@ def segments(text: str) -> list[str]:
     out = []
     for s in _SPLIT.split(_DECOR.sub("", text)):
         s = _LEAD.sub("", _DECOR.sub("", _BULLET.sub("", s)).strip())
-        if s and not re.fullmatch(r"\*\*.*\*\*", s):
+        if s and not _rx(r"\*\*.*\*\*").fullmatch(s):
             out.append(s)
     return out
 
@@ -104,9 +110,10 @@ def skeleton(sentence: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=4096)
 def language_of(text: str) -> tuple[str | None, float]:
     """The language whose words fit best, and its lead over the next; None without evidence."""
-    low = re.sub(r"\b(\w+)n't\b", r"\1 not", _nfc(text).lower())
+    low = _rx(r"\b(\w+)n't\b").sub(r"\1 not", _nfc(text).lower())
     score = dict.fromkeys(LANGUAGE_WORDS, 0.0)
     words = _WORD.findall(low)
     for w in words:
@@ -126,25 +133,25 @@ def language_of(text: str) -> tuple[str | None, float]:
 
 def _open_json(s: str) -> int:
     """1 for broken JSON, -1 for whole JSON, 0 for other text."""
-    if not s[:1] in "{[" or len(s) < 3 or re.match(r"\[[A-Z]", s):
+    if not s[:1] in "{[" or len(s) < 3 or _rx(r"\[[A-Z]").match(s):
         return 0
     try:
         json.loads(s)
         return -1
     except ValueError:
-        return 1 if re.match(r"[{\[]\s*[\"{\[\d]", s) else 0
+        return 1 if _rx(r"[{\[]\s*[\"{\[\d]").match(s) else 0
 
 
 def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     """Votes of the functions that need only the record itself, and what the others look up."""
     q, a, g = _nfc(question), _nfc(answer), _nfc(gold)
-    plain = re.sub(r"[\p{Z}\p{C}\s]+", " ", re.sub(r"\\[ntr]", " ", a)).strip()
-    bare = re.sub(r"<[^<>]*>", " ", plain)
-    bare = re.sub(r"[^\p{L}\p{N}/ ]+", " ", bare).strip()
+    plain = _rx(r"[\p{Z}\p{C}\s]+").sub(" ", _rx(r"\\[ntr]").sub(" ", a)).strip()
+    bare = _rx(r"<[^<>]*>").sub(" ", plain)
+    bare = _rx(r"[^\p{L}\p{N}/ ]+").sub(" ", bare).strip()
     words = _WORD.findall(plain.lower())
     e = [
-        1 if not re.search(r"[\p{L}\p{N}]", bare) else 0,
-        1 if all(PLACEHOLDER.fullmatch(x.strip()) for x in re.split(r"\s{2,}|(?<=answer) ", bare, flags=re.I) if x.strip(" /")) else 0,
+        1 if not _rx(r"[\p{L}\p{N}]").search(bare) else 0,
+        1 if all(PLACEHOLDER.fullmatch(x.strip()) for x in _rx(r"(?i)\s{2,}|(?<=answer) ").split(bare) if x.strip(" /")) else 0,
         1 if FAILURE.search(plain) and len(words) < 25 else 0,
         -1 if len(words) > 4 and not FAILURE.search(plain) else 0,
     ]
@@ -156,11 +163,11 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     same = len(asked_words & set(words))
     cover = same / max(1, len(asked_words))
     qn, an = " ".join(qw), " ".join(words)
-    fold = lambda x: re.sub(r"[^\p{L}\p{N}]+", "", unicodedata.normalize("NFD", x).lower())
+    fold = lambda x: _rx(r"[^\p{L}\p{N}]+").sub("", unicodedata.normalize("NFD", x).lower())
     fq, fa = fold(q), fold(a)
     within = len(fq) > 10 and fq in fa and len(fa) - len(fq) <= 24
     content = {w for w in extra if w not in NEUTRAL}
-    new_digits = set(re.findall(r"\d+", a)) - set(re.findall(r"\d+", q))
+    new_digits = set(_rx(r"\d+").findall(a)) - set(_rx(r"\d+").findall(q))
     asked = bool(segs) and a.strip(" \n\"'”»*_").endswith("?")
     c = [
         1 if within or (qn and len(qw) > 2 and qn in an and len(extra) <= 4) else (-1 if len(extra) > 8 else 0),
@@ -169,16 +176,16 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
         -1 if new_digits else 0,
         1 if cover >= 0.6 and not content and len(words) <= len(qw) + 14 and len(qw) > 2 else 0,
     ]
-    r = [1 if REFUSAL.search(a) else 0, -1 if re.search(r"\d", a) and not REFUSAL.search(a) else 0]
+    r = [1 if REFUSAL.search(a) else 0, -1 if _rx(r"\d").search(a) and not REFUSAL.search(a) else 0]
     last = segs[-1] if segs else ""
     tail = a.strip()
     tail = _DECOR.sub("", tail).rstrip(" \"'”’)]*_")
-    stop = bool(re.search(r"[.!?。]$", tail)) and not tail.endswith("...")
+    stop = bool(_rx(r"[.!?。]$").search(tail)) and not tail.endswith("...")
     dots = tail.endswith(("…", "...")) and len(words) > 2
     js = _open_json(a.strip())
     toks = skeleton(last)
-    end = re.findall(r"[\p{L}\p{M}'\-]+$", tail.lower())
-    opened = (a.count("(") > a.count(")")) or (a.count("“") > a.count("”")) or bool(re.search(r"[,;:(\-–“]$", tail))
+    end = _rx(r"[\p{L}\p{M}'\-]+$").findall(tail.lower())
+    opened = (a.count("(") > a.count(")")) or (a.count("“") > a.count("”")) or bool(_rx(r"[,;:(\-–“]$").search(tail))
     t = [
         1 if dots else -1 if stop else 0,
         js,
@@ -197,8 +204,8 @@ def votes(question: str | None, answer: str | None, gold: str | None) -> dict:
     # a partial last word of the gold sentence it would have become
     cut_gold = 0
     if not stop and toks and g:
-        stem = re.sub(r"\W+$", "", last)
-        if len(stem) > 8 and stem in g and re.match(r"\p{L}", g[g.index(stem) + len(stem) : g.index(stem) + len(stem) + 1]):
+        stem = _rx(r"\W+$").sub("", last)
+        if len(stem) > 8 and stem in g and _rx(r"\p{L}").match(g[g.index(stem) + len(stem) : g.index(stem) + len(stem) + 1]):
             cut_gold = 1
     t.append(cut_gold)
     return {
@@ -247,7 +254,7 @@ def _breaks(gold: str, seed: int) -> str | None:
     at = spots[len(spots) - words + 2 + seed % (words - 3)]
     if seed % 7 == 2:
         return gold[:at].rstrip() + ("..." if seed % 2 else "…")
-    return gold[: at + 2].rstrip() if seed % 3 == 0 and re.match(r"\p{L}{5}", gold[at:]) else gold[:at].rstrip()
+    return gold[: at + 2].rstrip() if seed % 3 == 0 and _rx(r"\p{L}{5}").match(gold[at:]) else gold[:at].rstrip()
 
 
 _LEADS = ["", "You asked: ", "The question was: ", "Thank you for asking. ", "You want to know: "]
@@ -260,7 +267,7 @@ def _given_back(question: str, seed: int) -> str:
         return question
     if seed % 4 == 1:
         return f"{question} {question}"
-    turned = re.sub(r"\w+", lambda m: _TURNED.get(m.group().lower(), m.group()), question[:1].lower() + question[1:])
+    turned = _rx(r"\w+").sub(lambda m: _TURNED.get(m.group().lower(), m.group()), question[:1].lower() + question[1:])
     return _LEADS[1 + seed // 4 % (len(_LEADS) - 1)] + (question if seed % 4 == 2 else turned.rstrip("?") + ".")
 
 
