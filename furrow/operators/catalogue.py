@@ -252,6 +252,30 @@ def remaining(work: DataFrame, log: DataFrame, key: str, done: Column) -> DataFr
     return work.join(log.where(done).select(key).distinct(), key, "left_anti")
 
 
+def retries(log: DataFrame, key: str, note: Column, order: Sequence[str]) -> DataFrame:
+    """The keys that are due for their one retry: tried exactly once, with the note ``blocked:429`` or ``timeout``. Repeated log rows are one try."""
+    tries = log.select(F.col(key).alias("k"), note.alias("note"), F.struct(*order).alias("o")).distinct()
+    per = tries.groupBy("k").agg(F.count_distinct("o").alias("n"), F.max_by("note", "o").alias("last"))
+    return per.where((F.col("n") == 1) & F.col("last").isin("blocked:429", "timeout")).select(F.col("k").alias(key), "last")
+
+
+def markdown_manifest(df: DataFrame, publisher: Column, title: str = "title", url: str = "url", pages: str = "pages", order: str = "priority") -> DataFrame:
+    """(publisher, line_no, text): the lines of a manifest, per publisher a heading with its counts (line 0) and one line per source in the
+    given order. A publisher may have any number of lines."""
+    line = F.format_string("- [%s](%s), %s pages", F.coalesce(title, F.lit("untitled")), F.coalesce(url, F.lit("")), F.coalesce(F.col(pages).cast("string"), F.lit("?")))
+    rows = df.select(F.coalesce(publisher, F.lit("(none)")).alias("publisher"), F.col(order).alias("_o"), F.col(pages).alias("_p"), line.alias("text"))
+    heads = rows.groupBy("publisher").agg(F.count("*").alias("n"), F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("p"))
+    heads = heads.select("publisher", F.lit(0).cast("long").alias("line_no"), F.format_string("## %s (%d sources, %d pages)", "publisher", "n", "p").alias("text"))
+    return heads.unionByName(prefix_totals(rows, ["publisher"], [F.col("_o").asc(), F.col("text").asc()], rank="line_no").select("publisher", "line_no", "text"))
+
+
+def wget_lines(df: DataFrame, url: str, name: Column, kind: str = "format") -> DataFrame:
+    """(line): one command per source with an address; a page is mirrored, a file saved under its name."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    saved = F.concat(F.lit("wget -O "), quoted(F.concat(name, F.lit(".pdf"))), F.lit(" "), quoted(F.col(url)))
+    return df.where(F.trim(url) != "").select(F.when(F.upper(kind) == "PDF", saved).otherwise(F.concat(F.lit("wget --mirror "), quoted(F.col(url)))).alias("line"))
+
+
 def parse_blocked(lines: DataFrame, line: str = "value") -> DataFrame:
     """(date, source, url, status) of log lines ``[date] source=... url=... status=... headers=...`` that were blocked; of
     lines with equal source and url the last by ``line_no`` holds, if that column is there."""

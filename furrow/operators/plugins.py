@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.text import is_garbled
 from furrow.operators.layout import anchor_bands, word_columns
+from furrow.session import cut
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -47,6 +48,16 @@ def embed_texts(df: DataFrame, key: str, text: str, make_encoder: Callable[[], C
     return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, embedding array<float>")
 
 
+def save_vectors(vectors: DataFrame, ids: DataFrame, path: str, key: str, vector: str = "embedding") -> int:
+    """Overwrites a table of vectors, after checking that each id has exactly one vector and no other key has one; their number."""
+    counts = vectors.groupBy(key).agg(F.count(vector).alias("n"))
+    odd = ids.select(key).distinct().withColumn("_id", F.lit(True)).join(counts, key, "full").where(F.col("_id").isNull() | (F.coalesce("n", F.lit(0)) != 1))
+    if odd.limit(1).count():
+        raise ValueError("vectors and ids do not match")
+    vectors.write.mode("overwrite").parquet(path)
+    return vectors.sparkSession.read.parquet(path).count()
+
+
 def stale_vectors(docs: DataFrame, vectors: DataFrame, key: str, text: str, print_col: str = "text_print") -> DataFrame:
     """The documents whose (key, fingerprint of the text) has no vector yet: new ones and changed ones."""
     return docs.withColumn(print_col, F.xxhash64(text)).join(vectors.select(key, print_col), [key, print_col], "left_anti")
@@ -79,6 +90,14 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[tuple[str,
     return files.select(key, content).mapInArrow(run, f"`{key}` string, text string, error string")
 
 
+def extraction_stage(files: DataFrame, done: DataFrame, extractor: Callable[[bytes], list[tuple[str, list[list[list[str]]]]]], content: str = "content", key: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(texts, errors) of the files that ``done`` (key) doesn't hold yet: texts (key, text, has_tables), errors (key, error). The files are
+    extracted once, into a table."""
+    made = cut(extract_pages(files.join(done.select(key).distinct(), key, "left_anti"), extractor, content, key))
+    texts = made.where("text is not null").select(key, "text", F.col("text").contains("[[TABLE_START]]").alias("has_tables"))
+    return texts, made.where("text is null").select(key, "error")
+
+
 # The columns of a printed register by position, and the forms of its numbers and dates.
 REGISTER_COLUMNS = [
     ("product_name", 0.0, 84.5), ("active_ingredient", 84.5, 164.5), ("applicant", 164.5, 250.0), ("manufacturer", 250.0, 325.0), ("reg_no", 325.0, 360.0),

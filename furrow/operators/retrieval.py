@@ -7,11 +7,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.functions.text import tokenize
+from furrow.operators.vectors import Best
 from furrow.session import cut, scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,31 +25,26 @@ _TERM = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)?")
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        owner, terms, tfs, dls = [], [], [], []
-        for n, text in enumerate(batch.column(1).to_pylist()):
-            counts = Counter(_TERM.findall(text))
-            owner += [n] * len(counts)
-            terms += counts
-            tfs += counts.values()
-            dls += [counts.total()] * len(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(tfs, pa.int64()), pa.array(dls, pa.int32())], ["term", "key", "tf", "dl"])
+        counts = [Counter(_TERM.findall(t)) for t in batch.column(1).to_pylist()]
+        cols = [pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", "dl", "terms", "tfs"])
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, dl): term frequencies with the length of the document in tokens. A document's terms are counted where the
-    document is, so nothing is shuffled. Keys must be unique."""
+    """(key, dl, terms, tfs), one row per document: its length in tokens, its distinct terms and their frequencies. They are counted
+    where the document is, so nothing is shuffled. Keys must be unique; a null text has no terms."""
     rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    return rows.mapInArrow(_counted, f"term string, key {dict(docs.dtypes)[key]}, tf long, dl int").withColumnRenamed("key", key)
+    return rows.mapInArrow(_counted, f"key {dict(docs.dtypes)[key]}, dl int, terms array<string>, tfs array<int>").withColumnRenamed("key", key)
 
 
-def corpus_stats(docs: DataFrame, posts: DataFrame) -> DataFrame:
+def corpus_stats(posts: DataFrame) -> DataFrame:
     """One row: number of documents and mean length in tokens (documents without token count with length 0)."""
-    return docs.agg(F.count("*").alias("n_docs")).join(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")), F.lit(True)).select("n_docs", (F.col("n") / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
+    return posts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf): Okapi idf; a negative one becomes epsilon times the mean idf of all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats), F.lit(True))
+    df = posts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats), F.lit(True))
     raw = df.select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))
@@ -64,7 +62,7 @@ class Index:
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """The index of a corpus. Texts are read and tokenised once; everything else reads the postings. The tables lie in the shared folder."""
     posts = cut(postings(docs, key, text))
-    stats = cut(corpus_stats(docs, posts))
+    stats = cut(corpus_stats(posts))
     return Index(posts, stats, cut(term_stats(posts, stats)))
 
 
@@ -78,18 +76,67 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("posts", "stats", "terms")))
 
 
-def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+def _scores(ids: list, kind: pa.DataType, vocabulary: dict[str, int], weights: np.ndarray, avgdl: float, k: int, cells: int):
+    """Scores of the queries ``ids``, the columns of ``weights``, for all documents of a partition; the k best of each query remain."""
+    step = max(1, cells // max(1, len(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, key_kind = Best(k), None
+        for whole in batches:
+            key_kind = whole.schema.field(0).type
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                scores = np.zeros((batch.num_rows, len(ids)))
+                for n, (dl, terms, tfs) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                    hit = [(v, tf) for t, tf in zip(terms, tfs, strict=True) if (v := vocabulary.get(t)) is not None]
+                    if hit:
+                        at, tf = np.array(hit).T
+                        scores[n] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))) @ weights[at]
+                scores = np.round(scores, 9)
+                scores[scores <= 0] = -np.inf
+                best.add(scores, np.array(batch.column(0).to_pylist()))
+        q, items, s = best.rows()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), pa.array(items.tolist(), key_kind), pa.array(s)], ["query_id", "key", "score"])
+
+    return run
+
+
+def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query", most: int = 1000, cells: int = 4_000_000) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query with a positive score. Query terms count as often as they are
-    repeated. Ties go to the smaller key. The weighted query terms are joined to the postings, by broadcast if they are few; the scores of
-    a document are added up before the shuffle, as its postings lie together."""
-    wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = wanted.join(index.terms.select("term", "idf"), "term")
-    scored = index.posts.join(weighted, "term").join(F.broadcast(index.stats), F.lit(True))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = scored.groupBy("query_id", key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score")).where("score > 0")
-    hits = hits.withColumn("score", F.round("score", 9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    repeated. Ties go to the smaller key.
+
+    Queries are a stated set. They are taken in blocks of about ``most``, and so that their weights fill at most about ``cells`` cells; for each block
+    the documents' term counts are scanned once, each document is scored against all queries of the block where it lies, and only
+    k rows per query and partition are shuffled. Nothing grows with the product of queries, terms and documents but arithmetic.
+    """
+    spark = queries.sparkSession
+    kind = dict(queries.dtypes)[query_key]
+    schema = f"query_id {kind}, key {dict(index.posts.dtypes)[key]}, score double"
+    asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weighted = cut(asked.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    told = index.stats.first()
+    near = spark.createDataFrame([], schema)
+    blocks = max(1, -(-queries.count() // most))
+    arrow = to_arrow_type(queries.schema[query_key].dataType)
+    for b in range(blocks if told and told.avgdl else 0):
+        per: dict = {}
+        for r in weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():
+            per.setdefault(r.query_id, {})[r.term] = r.w
+        ids = list(per)
+        vocabulary = {t: n for n, t in enumerate(dict.fromkeys(t for x in per.values() for t in x))}
+        width = max(1, cells // max(1, len(vocabulary)))
+        for low in range(0, len(ids), width):
+            part = ids[low : low + width]
+            own = {t: n for n, t in enumerate(dict.fromkeys(t for i in part for t in per[i]))}
+            weights = np.zeros((len(own), len(part)))
+            for col, i in enumerate(part):
+                for t, w in per[i].items():
+                    weights[own[t], col] = w
+            near = near.unionByName(index.posts.select(F.col(key).alias("key"), "dl", "terms", "tfs").mapInArrow(_scores(part, arrow, own, weights, told.avgdl, k, cells), schema))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:

@@ -25,10 +25,35 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
+class Best:
+    """The k best items of each query among the scores added so far; ties go to the smaller item."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.q, self.s, self.ids = k, np.empty(0, np.int64), np.empty(0), None
+
+    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
+        """Scores (items, queries) of named items; those of minus infinity take no part."""
+        if not len(names):
+            return
+        pick = scores > -np.inf
+        if len(names) > self.k:  # ties at the edge stay in
+            pick &= scores >= np.partition(scores, len(names) - self.k, axis=0)[len(names) - self.k] - 1e-12
+        i, j = np.nonzero(pick)
+        ids = names[i] if self.ids is None else np.r_[self.ids, names[i]]
+        q, s = np.r_[self.q, j], np.r_[self.s, -scores[i, j]]
+        order = np.lexsort((ids, s, q))
+        keep = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.q, self.s, self.ids = q[keep], s[keep], ids[keep]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, item, score) of what remains."""
+        return self.q, self.ids if self.ids is not None else np.empty(0), -self.s
+
+
 def _scan(keys: list, matrix: np.ndarray, k: int, groups: list | None = None, cells: int = 4_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, s, ids = np.empty(0, np.int64), np.empty(0), None
-        step, kind = max(1, cells // max(1, len(keys))), None
+        best, kind = Best(k), None
+        step = max(1, cells // max(1, len(keys)))
         own = None if groups is None else np.array(groups)
         for whole in batches:
             kind = whole.schema.field(0).type
@@ -39,22 +64,14 @@ def _scan(keys: list, matrix: np.ndarray, k: int, groups: list | None = None, ce
                 if not len(rows):
                     continue
                 at = pa.array(rows)
-                names = np.array(batch.column(0).take(at).to_pylist())
                 vectors = column.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
                 scores = vectors @ matrix.T
                 if own is not None:
                     scores[np.array(batch.column(2).take(at).to_pylist())[:, None] == own[None, :]] = -np.inf
-                pick = scores > -np.inf
-                if len(rows) > k:  # ties at the edge stay in
-                    pick &= scores >= np.partition(scores, len(rows) - k, axis=0)[len(rows) - k] - 1e-12
-                i, j = np.nonzero(pick)
-                q, s, ids = np.r_[q, j], np.r_[s, -scores[i, j]], names[i] if ids is None else np.r_[ids, names[i]]
-                order = np.lexsort((ids, s, q))
-                q, s, ids = q[order], s[order], ids[order]
-                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-                q, s, ids = q[keep], s[keep], ids[keep]
+                best.add(scores, np.array(batch.column(0).take(at).to_pylist()))
+        q, ids, s = best.rows()
         if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[q]), pa.array(ids.tolist(), kind), pa.array(-s)], ["query_id", "item_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[q]), pa.array(ids.tolist(), kind), pa.array(s)], ["query_id", "item_id", "score"])
 
     return run
 

@@ -137,6 +137,13 @@ SELECT 'SRC' || CASE WHEN low + n - 1 < 100000 THEN lpad(cast(low + n - 1 AS var
         "blocked_log": f"WITH {_LOG}, {_BLOCKED} SELECT date, source, url, status FROM blocked",
         "blocked_priority": f"WITH {_LOG}, {_BLOCKED}, every AS (SELECT source, url, status FROM blocked UNION ALL SELECT 'OpenAlex', 'https://api.example/s?q=maize%20spacing%20Ghana', 'robots_disallowed'), scored AS (SELECT source, url, {label} AS status_label, {points} AS score, {told} AS description FROM every) SELECT row_number() OVER (ORDER BY score DESC, source, url) AS position, * FROM scored",
         "download_instructions": _M + f" SELECT id, CASE WHEN publisher = 'NAFDAC' THEN 'NAFDAC register page — screenshot or copy table to nafdac_' || {file_name} || '.txt' WHEN publisher = 'CABI PlantWise' THEN 'PlantWise factsheet — visit URL, select all, copy to ' || string_split(coalesce(crops_covered, ''), ';')[1] || '_' || {file_name} || '_plantwise.txt' WHEN format = 'PDF' THEN 'Direct PDF — right-click and Save As, or wget ' || coalesce(url, '') ELSE 'HTML page — use wget --mirror or copy-paste to ' || {file_name} || '.html' END AS text FROM m",
+        "retries": "WITH t AS (SELECT DISTINCT id, fetched_at, regexp_replace(status, '^failed:', '') AS note FROM fetch_log) SELECT id, arg_max(note, fetched_at) AS last FROM t GROUP BY id HAVING count(DISTINCT fetched_at) = 1 AND arg_max(note, fetched_at) IN ('blocked:429', 'timeout')",
+        "url_coding": _M + " SELECT id, replace(replace(replace(url_encode(title), '%20', '+'), '~', '%7E'), '%2A', '*') AS encoded, true AS round_trip FROM m WHERE title IS NOT NULL",
+        "markdown_manifest": _M + r""", p AS (SELECT *, coalesce(nullif(lower(trim(regexp_replace(publisher, '\s+', ' ', 'g'))), ''), '(none)') AS who, CASE WHEN estimated_pages > 0 THEN estimated_pages WHEN upper(format) = 'PDF' THEN 15 ELSE 1 END AS pages FROM m)
+SELECT who AS publisher, 0::bigint AS line_no, '## ' || who || ' (' || count(*) || ' sources, ' || sum(pages)::bigint || ' pages)' AS text FROM p GROUP BY who
+UNION ALL SELECT who, row_number() OVER (PARTITION BY who ORDER BY priority_rank), '- [' || coalesce(title, 'untitled') || '](' || coalesce(url, '') || '), ' || pages || ' pages' FROM p""",
+        "wget_lines": _M + r""", n AS (SELECT url, format, substring(regexp_replace(trim(regexp_replace(coalesce(title, ''), '[^\p{L}\p{N} _.\-]', '_', 'g')), '\s+', '_', 'g'), 1, 120) AS name FROM m WHERE trim(url) <> '')
+SELECT CASE WHEN upper(format) = 'PDF' THEN 'wget -O ' || chr(39) || CASE WHEN name = '' THEN 'untitled' ELSE name END || '.pdf' || chr(39) || ' ' ELSE 'wget --mirror ' END || chr(39) || replace(url, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) AS line FROM n""",
         "summary_counters": _scores().replace("SELECT *, relevance_score + quality_score + accessibility_score AS total_score FROM s", "SELECT (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM s WHERE relevance_score + quality_score + accessibility_score > 60) AS n_high, (SELECT count(DISTINCT id) FROM rare) AS n_gap_fillers").replace(", s AS (", ", " + _FLAT[len(_M) + 2 :] + ", rare AS (SELECT id FROM flat JOIN (SELECT crop, fact_table FROM flat GROUP BY crop, fact_table HAVING count(*) < 3) USING (crop, fact_table)), s AS ("),
         "feeds_facts": _M + f" SELECT id, {_any('t', [w for k in ('fertilizer_rate', 'spacing', 'crop_calendar') for w in TABLE_WORDS[k]])} AS feeds FROM (SELECT id, lower(concat_ws(' ', title, replace(sql_tables_likely, '_', ' '))) AS t FROM m)",
         "crop_country_matrix": with_country + f", f AS (SELECT country, unnest({_CROPS}) AS crop FROM mc) SELECT d.name, {cells} FROM (SELECT unnest({_NAMES}) AS name) d LEFT JOIN f ON f.crop = d.name GROUP BY d.name",

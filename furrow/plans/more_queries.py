@@ -83,6 +83,17 @@ def blocked_priority(spark, sf):
     return H.blocked_priority(lines)
 
 
+@query
+def retries(spark, sf):
+    return C.retries(_t(spark, sf, "fetch_log"), "id", F.regexp_replace("status", "^failed:", ""), ["fetched_at"])
+
+
+@query
+def url_coding(spark, sf):
+    rows = _manifest(spark, sf, "title").where("title is not null")
+    return rows.select("id", F.url_encode("title").alias("encoded"), (F.url_decode(F.url_encode("title")) == F.col("title")).alias("round_trip"))
+
+
 # --- catalogue ----------------------------------------------------------------------------------------------------------------
 
 
@@ -92,6 +103,19 @@ def download_instructions(spark, sf):
     return rows.select("id", H.instructions(F.col("publisher"), F.col("format"), F.col("url"), F.col("title"), F.col("crops_covered"), F.col("id")).alias("text"))
 
 
+@query
+def markdown_manifest(spark, sf):
+    rows = _manifest(spark, sf, "publisher", "format", "url", "title", "estimated_pages", "priority_rank")
+    key = F.nullif(F.lower(F.trim(F.regexp_replace("publisher", r"\s+", " "))), F.lit(""))
+    rows = rows.withColumn("pages", C.page_estimate(F.col("estimated_pages"), F.col("format")))
+    return C.markdown_manifest(rows, F.coalesce(key, F.lit("(none)")), order="priority_rank")
+
+
+@query
+def wget_lines(spark, sf):
+    return C.wget_lines(_manifest(spark, sf, "url", "format", "title"), "url", X.safe_filename("title"))
+
+
 @query
 def summary_counters(spark, sf):
     rows = _manifest(spark, sf)
@@ -156,7 +180,7 @@ def keep_best_cases(spark, sf):
 
 @query
 def chunk_enrich(spark, sf):
-    docs = _t(spark, sf, "sources").groupBy("source_id").agg(F.min("title").alias("title"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(X.crop_list("crops_covered"))))).alias("crops"))
+    docs = _t(spark, sf, "sources").select("source_id", "title", F.explode_outer(X.crop_list("crops_covered")).alias("crop")).groupBy("source_id").agg(F.min("title").alias("title"), F.collect_set("crop").alias("crops"))
     chunks = _chunks(spark, sf, "source_id", "text").select("chunk_id", "source_id", "text")
     return D.enrich_chunks(chunks, docs, "source_id", doc_text="title").select("chunk_id", "crops", "zones", "topic")
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from furrow.functions.text import normalise_query
 from furrow.functions.vocabulary import CROPS
 from furrow.operators.calculators import run_tools
-from furrow.session import bounded
+from furrow.operators.plugins import embed_texts
+from furrow.operators.vectors import route
+from furrow.session import bounded, cut, scratch
 
 # Questions the engine must not answer.
 SAFETY = (
@@ -34,6 +36,29 @@ def plain(question: Column, material: Column) -> Column:
     return material
 
 
+TASKS = {
+    "A": "Answer from the facts below only. Change no number, and name the source of each fact.",
+    "B": "Answer from the passages below, briefly. Name their sources in brackets, and say so if they do not hold the answer.",
+    "C": "Put the result below into plain words. Keep every number and unit as it is.",
+    "D": "Say politely that this cannot be answered here, and whom to ask instead.",
+}
+
+
+def prompt(tier: Column, question: Column, material: Column) -> Column:
+    """The text a language model is given: the task of the tier, the material, and the question."""
+    task = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv]), tier), F.lit(TASKS["D"]))
+    return F.concat_ws("\n\n", task, material, F.concat(F.lit("Question: "), F.coalesce(question, F.lit(""))))
+
+
+def route_questions(questions: DataFrame, centres: DataFrame, threshold: float, make_encoder: Callable, refuse=None, key: str = "id", text: str = "question") -> DataFrame:
+    """(key, tier, confidence, margin, refused, reason) of question texts: normalised, encoded, and routed to the nearest centroid (tier,
+    centroid). Unsafe questions are refused with the reason ``safety``."""
+    rows = questions.select(key, F.col(text).alias("_raw"), normalise_query(text).alias("_q"))
+    routed = route(embed_texts(rows, key, "_q", make_encoder), centres, threshold, refuse, key, label="tier")
+    out = routed.join(rows.select(key, unsafe(F.col("_raw")).alias("_no")), key)
+    return out.select(key, "tier", "confidence", "margin", (F.col("refused") | F.col("_no")).alias("refused"), F.when(F.col("_no"), "safety").otherwise(F.col("reason")).alias("reason"))
+
+
 def question_crop(text: Column, crops: Sequence[str] = CROPS, default: str = "maize") -> Column:
     """The first crop of the list that is part of the question, whatever its case."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -67,18 +92,19 @@ def answer(questions: DataFrame, facts: DataFrame, passages: Callable[[DataFrame
     (key, call) are parsed replies, which pass the gate and run on the reference ``tables``, or are answered with the gate's message, the
     reply's own error, or a request to state the calculation. A null question is refused.
     """
-    rows = questions.select(F.col(key).alias("id"), F.col(text).alias("question"), F.coalesce(F.col(tier), F.lit("D")).alias("tier")).withColumn("refused", unsafe(F.col("question")) | F.col("question").isNull() | ~F.col("tier").isin("A", "B", "C"))
-    none = F.array().cast("array<string>")
-    of = lambda t: rows.where((F.col("tier") == t) & ~F.col("refused"))
-    d = rows.where("refused").select("id", "tier", "refused", F.lit(REFUSAL).alias("answer"), none.alias("source_ids"))
-    known = bounded(facts.select(F.col("crop").alias("_crop"), "facts", F.col("source_ids").alias("_src")))
-    asked = of("A").withColumn("crop", question_crop(F.col("question")))
-    told = F.coalesce("facts", F.format_string(NO_FACT, F.col("crop")))
-    a = asked.join(known, F.col("crop") == F.col("_crop"), "left").select("id", "tier", "refused", generator(F.col("question"), told).alias("answer"), F.coalesce("_src", none).alias("source_ids"))
-    context = passages(of("B").select(F.col("id").alias("query_id"), F.col("question").alias("query")))
-    b = of("B").join(context.withColumnRenamed("query_id", "id"), "id").select("id", "tier", "refused", generator(F.col("question"), F.col("context")).alias("answer"), "source_ids")
-    ready = of("C").join(calls.select(F.col(key).alias("_id"), "call"), F.col("id") == F.col("_id"), "left").select("id", "question", "tier", "refused", "call")
-    ran = run_tools(ready.select("id", "call"), tables)
-    said = F.coalesce("result", "error_message", F.lit(ASK_CALL))
-    c = of("C").join(ran, "id").select("id", "tier", "refused", generator(F.col("question"), said).alias("answer"), "source_ids")
-    return d.unionByName(a).unionByName(b).unionByName(c).withColumnRenamed("id", key)
+    with scratch():
+        rows = cut(questions.select(F.col(key).alias("id"), F.col(text).alias("question"), F.coalesce(F.col(tier), F.lit("D")).alias("tier")).withColumn("refused", unsafe(F.col("question")) | F.col("question").isNull() | ~F.col("tier").isin("A", "B", "C")))
+        none = F.array().cast("array<string>")
+        of = lambda t: rows.where((F.col("tier") == t) & ~F.col("refused"))
+        d = rows.where("refused").select("id", "tier", "refused", F.lit(REFUSAL).alias("answer"), none.alias("source_ids"))
+        known = bounded(facts.select(F.col("crop").alias("_crop"), "facts", F.col("source_ids").alias("_src")))
+        asked = of("A").withColumn("crop", question_crop(F.col("question")))
+        told = F.coalesce("facts", F.format_string(NO_FACT, F.col("crop")))
+        a = asked.join(known, F.col("crop") == F.col("_crop"), "left").select("id", "tier", "refused", generator(F.col("question"), told).alias("answer"), F.coalesce("_src", none).alias("source_ids"))
+        context = passages(of("B").select(F.col("id").alias("query_id"), F.col("question").alias("query")))
+        b = of("B").join(context.withColumnRenamed("query_id", "id"), "id").select("id", "tier", "refused", generator(F.col("question"), F.col("context")).alias("answer"), "source_ids")
+        ready = of("C").join(calls.select(F.col(key).alias("_id"), "call"), F.col("id") == F.col("_id"), "left").select("id", "question", "tier", "refused", "call")
+        ran = run_tools(ready.select("id", "call"), tables)
+        said = F.coalesce("result", "error_message", F.lit(ASK_CALL))
+        c = of("C").join(ran, "id").select("id", "tier", "refused", generator(F.col("question"), said).alias("answer"), "source_ids")
+        return cut(d.unionByName(a).unionByName(b).unionByName(c).withColumnRenamed("id", key), keep=True)

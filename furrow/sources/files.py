@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,49 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Appends to a table as one job: all of it is committed or nothing."""
+    df.write.mode("append").parquet(path)
+
+
+def replace_rows(df: DataFrame, path: str) -> int:
+    """Empties a table and loads it anew; the number of rows it has then."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A stored table, or an empty one with this schema where there is none yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as one JSON file; more rows are an error."""
+    rows = report.select(F.to_json(F.struct(*report.columns)).alias("value")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a report has exactly one row")
+    report.sparkSession.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+@pandas_udf(T.BooleanType())
+def robots_allow(rules: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
+    """Whether the robots text of a host allows the address for the agent; without a text everything is allowed."""
+    known: dict[str, RobotFileParser] = {}
+
+    def allowed(text, who, where):
+        if text is None or where is None:
+            return True
+        if text not in known:
+            known[text] = RobotFileParser()
+            known[text].parse(text.splitlines())
+        return known[text].can_fetch(who or "*", where)
+
+    return pd.Series([allowed(*x) for x in zip(rules, agent, url, strict=True)], dtype=bool)
+
+
 # Elements, and parts of class names, that hold no content.
 _SKIP = {"nav", "footer", "aside", "script", "style", "header", "form", "iframe"}
 _BAD = ("nav", "footer", "sidebar", "menu", "breadcrumb", "cookie", "banner", "advert")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def run_new(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df, fmt: str = "parquet") -> int:
-    """Applies ``work`` to the files of ``source`` not seen before and appends the result to ``sink``; returns the rows written.
+    """Applies ``work`` to the files of ``source`` not seen before and appends the result to ``sink``; returns the rows read, of
+    the last hundred batches if there were more.
 
     The checkpoint holds which files are done, so a killed run repeats at most its last batch and the sink's commit protocol keeps
     each batch once.

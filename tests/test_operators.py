@@ -203,6 +203,16 @@ def test_layout(spark):
     assert {r.text: r.anchor_id for r in L.anchor_bands(words, anchors).collect()} == {"w1": "A", "w2": "B", "w0": None, "v": None}
 
 
+def test_asof_join_equals_a_loop_over_ranges(spark):
+    rng = random.Random(5)
+    left = [(i, rng.choice("aab"), rng.randrange(200)) for i in range(400)] + [(900, None, 5), (901, "a", None)]
+    right = [(rng.choice("aac"), rng.randrange(200), i) for i in range(60)] + [("a", 50, None)]
+    l_, r = spark.createDataFrame(left, "i int, k string, t int").repartition(7), spark.createDataFrame(right, "k string, t int, v int").repartition(5)
+    got = {x.i: x.last for x in L.asof_join(l_, r, "k", "t", "v", "last").collect()}
+    want = {i: max(((t2, v) for k2, t2, v in right if k2 == k and v is not None and t is not None and t2 <= t), default=(0, None))[1] for i, k, t in left}
+    assert {i: v for i, v in got.items() if i < 900} == {i: v for i, v in want.items() if i < 900} and len(got) == 402 and got[900] is None
+
+
 def test_retrieval_and_packing(spark):
     docs = spark.createDataFrame([(1, "yam beetle yam"), (2, "rice blast"), (3, None), (4, "yam"), (5, "cassava root"), (6, "maize stalk")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "yam beetle"), (2, "unknown"), (3, None)], "query_id int, query string")
@@ -225,7 +235,10 @@ def test_index_round_trip(spark, tmp_path):
     q = spark.createDataFrame([(1, "yam beetle")], "query_id int, query string")
     want = sorted(tuple(r) for r in R.bm25_search(docs, q, 5).collect())
     assert sorted(tuple(r) for r in R.search_index(R.load_index(spark, str(tmp_path)), q, 5).collect()) == want and want
-    assert R.bm25_search(docs.limit(0), q, 5).count() == 0
+    assert R.bm25_search(docs.limit(0), q, 5).count() == 0 and R.bm25_search(docs, q.limit(0), 5).count() == 0
+    many = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["yam", "beetle rice", "rice rice", "none", None])], "query_id string, query string")
+    whole, parts = R.bm25_search(docs, many, 2), R.search_index(R.build_index(docs), many, 2, most=1, cells=2)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) != []
 
 
 def test_dense_topk_equals_brute_force(spark):
@@ -309,3 +322,47 @@ def test_plugins(spark):
     assert P.report_lines(spark.createDataFrame([("x", 10), ("long", 2)], "name string, n int")) == ["name  n", "long  2", "x     10"]
     facts = spark.createDataFrame([("maize", 0.5, "b"), ("maize", 0.9, "a"), ("", 1.0, "z")], "crop string, confidence double, raw_text string")
     assert [tuple(r) for r in P.fact_summary(facts).collect()] == [("maize", "a\nb")]
+
+
+def test_tables_reports_and_robots(spark, tmp_path):
+    from furrow.operators import plugins as P
+    from furrow.plans import questions as A
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    where = str(tmp_path / "t")
+    assert files.read_or_empty(spark, where, "id int, v string").count() == 0
+    files.append_rows(df, where)
+    files.append_rows(df, where)
+    assert files.read_or_empty(spark, where, "id int, v string").count() == 4 and files.replace_rows(df, where) == 2
+    files.write_report(df.agg(F.count("*").alias("n")), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).first().value == '{"n":2}'
+    with pytest.raises(ValueError):
+        files.write_report(df, str(tmp_path / "r2"))
+    rules = "User-agent: *\nDisallow: /private"
+    asked = spark.createDataFrame([(rules, "bot", "http://a/private/x"), (rules, "bot", "http://a/open"), (None, "bot", "http://a/private")], "r string, a string, u string")
+    assert [x.ok for x in asked.select(files.robots_allow("r", "a", "u").alias("ok")).collect()] == [False, True, True]
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [0.5])], "id int, embedding array<double>")
+    assert P.save_vectors(vectors, df, str(tmp_path / "v"), "id") == 2
+    with pytest.raises(ValueError):
+        P.save_vectors(vectors, df.limit(1), str(tmp_path / "v"), "id")
+    raw = spark.createDataFrame([("a.pdf", bytearray(b"x")), ("b.pdf", bytearray(b"bad")), ("c.pdf", bytearray(b"y"))], "path string, content binary")
+
+    def pages(content):
+        if bytes(content) == b"bad":
+            raise OSError("broken")
+        return [("body", [[["h"], ["1"]]])]
+
+    texts, errors = P.extraction_stage(raw, spark.createDataFrame([("c.pdf",)], "path string"), pages)
+    assert [(r.path, r.has_tables) for r in texts.collect()] == [("a.pdf", True)] and errors.first().error == "OSError: broken"
+    centres = spark.createDataFrame([("A", [1.0, 0.0]), ("B", [0.0, 1.0])], "tier string, centroid array<double>")
+    asked = spark.createDataFrame([(1, "maize"), (2, "yam"), (3, "my goat is sick"), (4, None)], "id int, question string")
+
+    def encoder():
+        import numpy as np
+
+        return lambda texts: np.array([[1.0, 0.1] if "maize" in t else [0.0, 1.0] if "yam" in t else [0.5, 0.5] for t in texts])
+
+    got = {r.id: (r.tier, r.refused, r.reason) for r in A.route_questions(asked, centres, 0.9, encoder).collect()}
+    assert got[1] == ("A", False, "classified") and got[2] == ("B", False, "classified") and got[3][1:] == (True, "safety") and got[4][1:] == (True, "low_confidence")
+    text = spark.range(1).select(A.prompt(F.lit("A"), F.lit("Q?"), F.lit("facts")).alias("p")).first().p
+    assert text.startswith(A.TASKS["A"]) and text.endswith("facts\n\nQuestion: Q?")
