@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from furrow.session import cut, scratch
 
 LENGTH, WINDOW = 200, 100
+ROWS_A_TASK = 400_000  # windows that one task counts: about 10 MB
 SMALL = 500_000  # class numbers that may be broadcast: 8 bytes each
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -154,7 +155,9 @@ def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         rows = cut(singles.join(lists, "cls").select("cls", "text", F.col("v.print").alias("p"), F.col("v.salts").alias("n")).mapInArrow(_full_windows(length, window), _WINDOWS))
         texts, members_of = F.count_if(F.col("s") >= 0).alias("n"), F.bit_xor(F.when(F.col("s") >= 0, F.xxhash64("cls"))).alias("g")
         # counted and looked up again in one shuffle: both plans read the same exchange
-        placed = rows.where("salts = 1").repartition("w", "c")
+        calm = rows.where("salts = 1")
+        spread = max(docs.sparkSession.sparkContext.defaultParallelism, -(-calm.count() // ROWS_A_TASK))
+        placed = calm.repartition(spread, "w", "c")
         several = placed.groupBy("w", "c").agg(texts, members_of).where("n > 1").select("w", "c", "n", "g")
         found = placed.join(several, ["w", "c"]).select("cls", F.when(F.col("s") < 0, -1 - F.col("s")).otherwise(F.col("s")).alias("s"), (F.col("s") >= 0).alias("first"), "n", "g")
         if counts.where("salts > 1").limit(1).count():
