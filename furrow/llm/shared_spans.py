@@ -150,18 +150,19 @@ def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         counts = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", F.ceil(F.col("n") / hot).cast("int").alias("salts")))
         # one row per text; its list is no longer than the text
         lists = cut(prints.join(counts, "print").groupBy("cls").agg(F.collect_list(F.struct("print", "salts")).alias("v")))
-        if lists.count() <= SMALL:  # then texts without repeated anchor are left out before the shuffle
+        told = lists.agg(F.count("*").alias("texts"), F.sum(F.size("v")).alias("anchors")).first()
+        if told.texts <= SMALL:  # then texts without repeated anchor are left out before the shuffle
             singles = singles.join(F.broadcast(lists.select("cls")), "cls", "left_semi")
-        rows = cut(singles.join(lists, "cls").select("cls", "text", F.col("v.print").alias("p"), F.col("v.salts").alias("n")).mapInArrow(_full_windows(length, window), _WINDOWS))
+        rows = singles.join(lists, "cls").select("cls", "text", F.col("v.print").alias("p"), F.col("v.salts").alias("n")).mapInArrow(_full_windows(length, window), _WINDOWS)
         texts, members_of = F.count_if(F.col("s") >= 0).alias("n"), F.bit_xor(F.when(F.col("s") >= 0, F.xxhash64("cls"))).alias("g")
         # counted and looked up again in one shuffle: both plans read the same exchange
-        calm = rows.where("salts = 1")
-        spread = max(docs.sparkSession.sparkContext.defaultParallelism, -(-calm.count() // ROWS_A_TASK))
-        placed = calm.repartition(spread, "w", "c")
+        # an anchor is that of about half the runs it lies in
+        spread = max(docs.sparkSession.sparkContext.defaultParallelism, (told.anchors or 0) * (length - window + 1) // 2 // ROWS_A_TASK + 1)
+        placed = rows.where("salts = 1").repartition(spread, "w", "c")
         several = placed.groupBy("w", "c").agg(texts, members_of).where("n > 1").select("w", "c", "n", "g")
         found = placed.join(several, ["w", "c"]).select("cls", F.when(F.col("s") < 0, -1 - F.col("s")).otherwise(F.col("s")).alias("s"), (F.col("s") >= 0).alias("first"), "n", "g")
         if counts.where("salts > 1").limit(1).count():
-            crowd = rows.where("salts > 1")
+            crowd = cut(rows.where("salts > 1"))
             parts = crowd.groupBy("w", "c", "salt").agg(texts, members_of)
             whole = parts.groupBy("w", "c").agg(F.sum("n").alias("n"), F.bit_xor("g").alias("g")).where("n > 1")
             salted = parts.select("w", "c", "salt").join(whole, ["w", "c"])
