@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.text import tag_terms
 from furrow.functions.vocabulary import CROPS, ZONES
-from furrow.session import bounded, cut, scratch
+from furrow.session import bounded, computed, cut, scratch
 
 # Products, planting material, rates, splits, spacings and agrochemicals.
 SEEDS: dict[str, tuple[str, list[tuple]]] = {
@@ -105,8 +105,7 @@ def fertiliser_plan(requests: DataFrame, rates: DataFrame, splits: DataFrame, pr
         one = F.struct(s["timing"].alias("timing"), s["product_name"].alias("product_name"), half_up(total).alias("product_kg"), whole_up(total / s["bag"]).alias("bags"), (total / s["bag"]).alias("bags_exact"))
         return F.struct((acc["rn"] - n).alias("rn"), (acc["rp"] - p).alias("rp"), (acc["rk"] - k).alias("rk"), (acc["sn"] + n * F.col("area_ha")).alias("sn"), (acc["sp"] + p * F.col("area_ha")).alias("sp"), (acc["sk"] + k * F.col("area_ha")).alias("sk"), F.concat(acc["apps"], F.array(one)).alias("apps"), err.alias("err"))
 
-    # as the one row of a generator, so that the fold is not copied into every column that reads it
-    done = rows.select("*", F.explode(F.array(F.aggregate("steps", start, step))).alias("f"))
+    done = computed(rows, f=F.aggregate("steps", start, step))
     error = F.coalesce("error_type", "f.err")
     ok = lambda c: F.when(error.isNull(), c)
     return done.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.vocabulary import CROPS, ZONES
-from furrow.session import cut, scratch
+from furrow.session import computed, cut, scratch, spread
 
 # Months, units, pests and the phrases that announce a fact. Groups are numbered as the columns of each table expect.
 MONTH = r"(January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -106,7 +106,7 @@ def matches(docs: DataFrame, patterns: Sequence[tuple[str, str]], key: str = "do
     the position of the match therein, ``doc_crops`` the array column ``crops`` (empty without one). Null and empty texts have none."""
     about = F.coalesce(F.col(crops), F.array()) if crops else F.array()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), about.cast("array<string>").alias("crops"))
-    return rows.mapInArrow(_matcher(patterns), f"key {dict(docs.dtypes)[key]}, doc_crops array<string>, pattern string, start int, stop int, groups array<string>, raw_text string, around string, at int")
+    return spread(rows).mapInArrow(_matcher(patterns), f"key {dict(docs.dtypes)[key]}, doc_crops array<string>, pattern string, start int, stop int, groups array<string>, raw_text string, around string, at int")
 
 
 def _distance(term: str) -> Column:
@@ -152,11 +152,11 @@ def facts_of(found: DataFrame, table: str, key: str = "doc_id", terms: Sequence[
     """The facts of one table from its ``matches``."""
     g = lambda i: F.coalesce(F.get("groups", F.lit(i)), F.lit(""))
     p = F.col("pattern")
-    rows = found.withColumn("crop", nearest_crop(F.col("doc_crops"), terms))
+    rows = computed(found, crop=nearest_crop(F.col("doc_crops"), terms))
     has_crop = F.col("crop") != ""
     yes, no = F.lit(True), F.lit(False)
     if table == "crop_calendar":
-        rows = rows.withColumn("zone", first_place(zones)).withColumn("state", first_place(STATES))
+        rows = computed(rows, zone=first_place(zones), state=first_place(STATES))
         cols = {"zone": F.col("zone"), "state": F.col("state"), "activity": p, "month_start": F.initcap(g(0)), "month_end": F.initcap(g(1))}
         conf = confidence(has_crop, (F.col("zone") != "") | (F.col("state") != ""), yes)
     elif table == "spacing":
@@ -180,10 +180,9 @@ def facts_of(found: DataFrame, table: str, key: str = "doc_id", terms: Sequence[
     elif table == "pest":
         rows = rows.withColumn("window", F.substring("around", F.col("at") + 1, F.lit(WINDOW)))
         rows = rows.withColumn("raw_text", F.replace(F.substring("window", 1, 300), F.lit("\n"), F.lit(" ")))
-        for name, regex in SECTIONS.items():
-            rows = rows.withColumn(name, F.substring(F.replace(F.regexp_replace(F.regexp_extract("window", regex, 1), r"(?U)^\s+|\s+$", ""), F.lit("\n"), F.lit(" ")), 1, 400))
+        cell = lambda regex: F.substring(F.replace(F.regexp_replace(F.regexp_extract("window", regex, 1), r"(?U)^\s+|\s+$", ""), F.lit("\n"), F.lit(" ")), 1, 400)
         stages = F.array_compact(F.array(*[F.when(F.lower("window").contains(s), F.lit(s)) for s in STAGES]))
-        rows = rows.withColumn("growth_stage", F.coalesce(F.try_element_at(stages, F.lit(1)), F.lit("")))
+        rows = computed(rows, **{name: cell(regex) for name, regex in SECTIONS.items()}, growth_stage=F.coalesce(F.try_element_at(stages, F.lit(1)), F.lit("")))
         cols = {"pest_name": F.trim(g(0)), **{c: F.col(c) for c in ("symptoms", "growth_stage", "cultural_control", "chemical_control")}}
         fields = sum((F.when(F.col(c) != "", 1).otherwise(0) for c in ("symptoms", "growth_stage", "cultural_control", "chemical_control")), F.lit(0))
         conf = F.round(F.least(F.lit(0.3) + 0.15 * fields + F.when(has_crop, 0.1).otherwise(0.0), F.lit(1.0)), 2)
@@ -197,7 +196,7 @@ def fact_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tables
     """(key, fact_table, pattern, n): matches per document, of all tables in one pass over the texts. Counts need no offsets, so
     texts don't leave the JVM."""
     cells = [F.struct(F.lit(t).alias("fact_table"), F.lit(n).alias("pattern"), F.regexp_count(text, F.lit("(?U)" + p)).cast("long").alias("n")) for t, ps in tables.items() for n, p in ps]
-    return docs.select(key, F.explode(F.filter(F.array(*cells), lambda x: x["n"] > 0)).alias("c")).select(key, "c.*")
+    return spread(docs.select(key, text)).select(key, F.explode(F.filter(F.array(*cells), lambda x: x["n"] > 0)).alias("c")).select(key, "c.*")
 
 
 def all_facts(docs: DataFrame, key: str = "doc_id", text: str = "text", crops: str | None = None, tables: Mapping[str, Sequence[tuple[str, str]]] = PATTERNS) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.functions.text import tokenize
 from furrow.operators.vectors import Best
-from furrow.session import cut, scratch
+from furrow.session import cut, scratch, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -34,7 +34,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(key, dl, terms, tfs), one row per document: its length in tokens, its distinct terms and their frequencies. They are counted
     where the document is, so nothing is shuffled. Keys must be unique; a null text has no terms."""
     rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    return rows.mapInArrow(_counted, f"key {dict(docs.dtypes)[key]}, dl int, terms array<string>, tfs array<int>").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(_counted, f"key {dict(docs.dtypes)[key]}, dl int, terms array<string>, tfs array<int>").withColumnRenamed("key", key)
 
 
 def corpus_stats(posts: DataFrame) -> DataFrame:

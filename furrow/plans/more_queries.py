@@ -17,6 +17,7 @@ from furrow.operators import retrieval as R
 from furrow.plans import cases
 from furrow.plans.queries import _chunks, _manifest, _results, _t, query
 from furrow.plans.questions import answer, crop_facts, question_crop
+from furrow.session import spread
 from furrow.sources import files
 
 # --- sources ------------------------------------------------------------------------------------------------------------------
@@ -190,7 +191,7 @@ def chunk_enrich(spark, sf):
 
 def _texts(spark, sf) -> DataFrame:
     """All documents, and one sentence per pattern; a document is about the crops its column names."""
-    rows = _t(spark, sf, "documents").select("doc_id", "text", X.crop_list("crop").alias("about"))
+    rows = spread(_t(spark, sf, "documents").select("doc_id", "text", X.crop_list("crop").alias("about")))
     return rows.unionByName(spark.createDataFrame(cases.FACT_SENTENCES, "doc_id long, text string").withColumn("about", F.array().cast("array<string>")))
 
 

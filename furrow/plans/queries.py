@@ -20,7 +20,7 @@ from furrow.operators import vectors as V
 from furrow.operators.latest import latest
 from furrow.operators.ordering import prefix_totals
 from furrow.plans.questions import unsafe
-from furrow.session import cut
+from furrow.session import cut, spread
 from furrow.streaming.incremental import tumbling_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,7 +112,7 @@ def url_union_dedupe(spark, sf):
 
 def _of_chunks(spark, sf, **columns) -> DataFrame:
     """Columns made from the texts of current chunks; the texts themselves are not shuffled."""
-    made = _t(spark, sf, "chunks").select("chunk_id", "chunked_at", *[c.alias(n) for n, c in columns.items()])
+    made = spread(_t(spark, sf, "chunks").select("chunk_id", "chunked_at", "text")).select("chunk_id", "chunked_at", *[c.alias(n) for n, c in columns.items()])
     return latest(made, "chunk_id", "chunked_at", list(columns))
 
 

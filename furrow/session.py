@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -91,3 +91,20 @@ MOST_BROADCAST_ROWS = 100_000
 def bounded(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, and the join is left to Catalyst."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files are smaller than one piece per core: a small table may be a single row group, which Spark cannot
+    split. Larger tables are read in enough pieces and stay as they are. For steps that compute much per row."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    piece = 128 << 20
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * piece
+    return df.repartition(cores) if small else df
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however many later columns read them: as the one row of a generator they aren't copied
+    into those."""
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(one).alias("_one")).select(*df.columns, "_one.*")
