@@ -82,12 +82,12 @@ def best_rates(requests: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def fertiliser_plan(requests: DataFrame, rates: DataFrame, splits: DataFrame, products: DataFrame) -> DataFrame:
-    """(request_id, error_type, matched_exactly, n_kg, p2o5_kg, k2o_kg, n_open, p2o5_open, k2o_open, applications): splits in order, each
+    """(request_id, error_type, matched_exactly, n_kg, p2o5_kg, k2o_kg, n_open, p2o5_open, k2o_open, applications, source_ids): splits in order, each
     covering what earlier ones left of its nutrient. An ordered fold over the request's few splits."""
     best = best_rates(requests, rates)
-    prod = products.select(F.col("product_name").alias("_p"), "n_pct", "p2o5_pct", "k2o_pct", F.coalesce(F.nullif("bag_weight_kg", F.lit(0.0)), F.lit(50.0)).alias("bag"))
+    prod = products.select(F.col("product_name").alias("_p"), F.col("source_id").alias("product_source"), "n_pct", "p2o5_pct", "k2o_pct", F.coalesce(F.nullif("bag_weight_kg", F.lit(0.0)), F.lit(50.0)).alias("bag"))
     recipe = splits.join(bounded(prod), F.col("product_name") == F.col("_p"), "left").groupBy("fertilizer_rate_id").agg(
-        F.array_sort(F.collect_list(F.struct("split_number", "timing", "product_name", "basis_nutrient", "split_fraction", "n_pct", "p2o5_pct", "k2o_pct", "bag", F.col("_p").isNotNull().alias("known")))).alias("steps")
+        F.array_sort(F.collect_list(F.struct("split_number", "timing", "product_name", "basis_nutrient", "split_fraction", "n_pct", "p2o5_pct", "k2o_pct", "bag", F.col("_p").isNotNull().alias("known"), "source_id", "product_source"))).alias("steps")
     )
     rows = best.join(bounded(recipe), F.col("rate.id") == F.col("fertilizer_rate_id"), "left").withColumn("steps", F.coalesce("steps", F.array()))
     zero = F.lit(0.0)
@@ -107,10 +107,13 @@ def fertiliser_plan(requests: DataFrame, rates: DataFrame, splits: DataFrame, pr
 
     done = computed(rows, f=F.aggregate("steps", start, step))
     error = F.coalesce("error_type", "f.err")
+    # of the rate, and of each split and its product in order
+    named = F.concat(F.array("rate.source_id"), F.flatten(F.transform("steps", lambda x: F.array(x["source_id"], x["product_source"]))))
+    sources = F.array_distinct(F.filter(named, lambda x: F.coalesce(x, F.lit("")) != ""))
     ok = lambda c: F.when(error.isNull(), c)
     return done.select(
         "request_id", error.alias("error_type"), ok(F.col("matched_exactly")).alias("matched_exactly"), *[ok(half_up(F.col(f"f.s{x}"))).alias(f"{n}_kg") for x, n in (("n", "n"), ("p", "p2o5"), ("k", "k2o"))],
-        *[ok(half_up(F.col(f"rate.{n}_rate_kg_ha") * F.col("area_ha") - F.col(f"f.s{x}"))).alias(f"{n}_open") for x, n in (("n", "n"), ("p", "p2o5"), ("k", "k2o"))], ok(F.col("f.apps")).alias("applications"),
+        *[ok(half_up(F.col(f"rate.{n}_rate_kg_ha") * F.col("area_ha") - F.col(f"f.s{x}"))).alias(f"{n}_open") for x, n in (("n", "n"), ("p", "p2o5"), ("k", "k2o"))], ok(F.col("f.apps")).alias("applications"), ok(sources).alias("source_ids"),
     )
 
 
@@ -305,7 +308,7 @@ def run_tools(calls: DataFrame, tables: Callable[[str], DataFrame], key: str = "
         plan = fertiliser_plan(fert, rates, tables("calc_fertilizer_split"), tables("calc_product")).join(fert.select("request_id", "crop", "zone"), "request_id")
         plan = plan.join(known.withColumn("_is", F.lit(True)), F.col("crop") == F.col("_kc"), "left").drop("_kc").join(where, (F.col("crop") == F.col("_kc")) & (F.col("zone") == F.col("_kz")), "left")
         absent = F.when(F.col("_is").isNull(), _say("no_rate", F.col("crop"))).when(F.col("_src").isNull(), _say("no_zone", F.col("crop"), F.col("zone"))).otherwise(missing)
-        a = done(plan, "fertiliser_rate", ["n_kg", "p2o5_kg", "k2o_kg", "n_open", "p2o5_open", "k2o_open", "applications", "matched_exactly"], invalid, absent, F.coalesce("_src", none))
+        a = done(plan, "fertiliser_rate", ["n_kg", "p2o5_kg", "k2o_kg", "n_open", "p2o5_open", "k2o_open", "applications", "matched_exactly"], invalid, absent, F.coalesce("source_ids", none))
         pair = F.transform(F.try_variant_get(F.col(call), "$.params.spacing_cm", "array<variant>"), lambda v: F.try_variant_get(v, "$", "string").try_cast("double"))
         seed = ready("seed_rate").select(rid, crop.alias("crop"), num("area_ha").alias("area_ha"), pair[0].alias("row_cm"), pair[1].alias("within_row_cm"), num("germination_pct").alias("germination_pct"), F.coalesce(num("seeds_per_stand").cast("int"), F.lit(1)).alias("seeds_per_stand"))
         material = tables("calc_planting_material")
