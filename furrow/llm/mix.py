@@ -64,7 +64,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
 
     The mix has ``total_tokens``, by default as many as the listed sources hold. A source that cannot give its part of that within
     max_repeats copies of each document is capped: it gives all copies, and the others take up the rest in proportion to their shares, so
-    among themselves they keep their targets. A source that isn't capped comes within ``block`` tokens of its quota if it has documents
+    among themselves they keep their targets. A source that isn't capped comes within an eighth of ``block`` of its quota if it has documents
     small enough to fill what is left of it. Listed sources without tokens cannot take part and are reported with 0.
     Sources that are not listed, null sources and texts without token are not in the mix. Each copy number of a
     source is shuffled anew (by hash, so the result is fixed), and copy n + 1 starts when all documents were used n times.
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
         while True:
             # what is left of a quota is filled with the next documents that fit into it
             got = {r.source: r.n for r in chosen.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-            gaps = [(k, q - got.get(k, 0)) for k, q in quota.items() if q - got.get(k, 0) > block]
+            gaps = [(k, q - got.get(k, 0)) for k, q in quota.items() if q - got.get(k, 0) > block / 8]
             if not gaps:
                 break
             gap = F.broadcast(spark.createDataFrame(gaps, "source string, gap double"))

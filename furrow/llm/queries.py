@@ -94,12 +94,12 @@ def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of the mix whatever the tokenizer: who takes part, repeats, shares and size."""
     rows, shares = mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     open_ = F.when(~F.col("capped"), F.col("target_share"))
-    whole = shares.agg(F.sum("mix_tokens").alias("total"), F.sum(F.when(F.col("capped"), F.col("mix_tokens")).otherwise(0)).alias("given"), F.sum(open_).alias("open"), F.sum("n_tokens").alias("at_hand"))
+    whole = shares.agg(F.sum("mix_tokens").alias("total"), F.sum(F.when(F.col("capped"), F.col("mix_tokens")).otherwise(0)).alias("given"), F.sum(open_).alias("open"), F.count(open_).alias("n_open"), F.sum("n_tokens").alias("at_hand"))
     told = rows.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("most"))
     part = (F.col("total") - F.col("given")) * F.col("target_share") / F.col("open")
     met = F.when(F.col("capped"), F.col("mix_tokens") == F.col("n_tokens") * F.col("max_repeats")).otherwise(F.abs(F.col("mix_tokens") - part) <= mix.BLOCK)
     return shares.join(F.broadcast(whole), F.lit(True)).join(told, "source", "left").select(
-        "source", "n_docs", (F.col("mix_rows") > 0).alias("in_mix"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), met.alias("share_met"), (F.abs(F.col("total") / F.col("at_hand") - 1) < 0.05).alias("full_size")
+        "source", "n_docs", (F.col("mix_rows") > 0).alias("in_mix"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), met.alias("share_met"), (F.abs(F.col("total") - F.col("at_hand")) <= F.col("n_open") * mix.BLOCK).alias("full_size")
     )
 
 

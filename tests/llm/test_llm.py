@@ -459,3 +459,29 @@ def test_queries_run_on_the_smallest_tables(spark, sf):
     for name, f in queries.queries().items():
         df = f(spark, sf)
         assert df.count() >= 0 and df.columns, name
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import decimal
+    import math
+    from pathlib import Path
+
+    import duckdb
+
+    from furrow.llm import oracle, queries
+
+    def plain(v):
+        v = float(v) if isinstance(v, decimal.Decimal) else v
+        return (None if math.isnan(v) else round(v, 5) + 0.0) if isinstance(v, float) else v
+
+    con = duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
+    for name, sql in oracle.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        cols = sorted(df.columns)
+        res = con.execute(sql)
+        names = [x[0] for x in res.description]
+        assert sorted(names) == cols, name
+        want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
+        assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want, name
