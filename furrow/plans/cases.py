@@ -15,6 +15,12 @@ FACT_SENTENCES = [
     (-10, "Stem borer in maize\nSymptoms: small holes in the whorl and frass on the leaves at the seedling stage.\nCultural control: destroy the stubble early\n\nChemical control: none is needed here\n\n"),
 ]
 
+# a running head on every page, a table of contents by name and one by its dots
+MARKED = [
+    (-1, "lost\n[[PAGE:1]]\nRUNNING HEAD\nThe soil is im-\nportant.\n[[PAGE:2]]\nRUNNING HEAD\nTable of contents\nx....1\n[[PAGE:3]]\nRUNNING HEAD\n[[TABLE_START]]\n| in a table |\n[[TABLE_END]]\nDone here."),
+    (-2, "[[PAGE:7]]\nOne ..... 1\nTwo ..... 2\nThree ... 3\nFour\n[[PAGE:8]]\n[[TABLE_START]]\n| in a table |\n[[TABLE_END]]\n[[PAGE:9]]\n[[TABLE_START]]\n| in a table |\n[[TABLE_END]]"),
+]
+
 PAGES = [
     ("https://farm.example/docs/index.html", '<html><body><nav><a href="/home">Home</a></nav><main><h1>Guides</h1><p>Read <a href="maize.pdf">Maize guide</a> or <a href="/rice.html"><b>Rice</b> guide</a>.</p></main><p>Related <a href="x.pdf"></a></p></body></html>'),
     ("https://reg.example/list", '<body><div class="sidebar">menu</div><div class="page-content"><table><tr><th>Product</th><th>Crop</th></tr><tr><td>Weedoff</td><td>maize</td></tr><tr><td>Alone</td></tr><tr><td>Rotstop</td><td>yam</td></tr></table></div><footer>end</footer></body>'),

@@ -6,6 +6,7 @@ from furrow.functions.text import STOPWORDS
 from furrow.functions.vocabulary import COUNTRIES, CROPS, LANGUAGE_MARKS, LEXICON, LOOSE_ZONES, PUBLISHER_POINTS, TABLE_WORDS, TOPIC_WORDS, ZONES
 from furrow.operators.calculators import SEEDS
 from furrow.operators.extract import PATTERNS
+from furrow.plans import cases
 from furrow.plans.questions import SAFETY
 
 
@@ -202,6 +203,12 @@ units AS (SELECT 'table' AS kind, unnest(regexp_extract_all(body, '{_TABLE}')) A
 )
 
 
+def _marked() -> str:
+    """The pages of the documents and of the literal ones."""
+    rows = " UNION ALL ".join(f"SELECT {k}, " + " || chr(10) || ".join(_s(x) for x in t.split("\n")) for k, t in cases.MARKED)
+    return _PAGES.replace("FROM documents)", f"FROM (SELECT doc_id, text FROM documents UNION ALL {rows}))")
+
+
 def _packed_context() -> str:
     from furrow.plans.more_oracle import packed
 
@@ -246,12 +253,12 @@ def oracle_sql() -> dict[str, str]:
         "source_ids": r"SELECT DISTINCT file_path, 'RAW_' || substring(regexp_replace(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.[^.]*$', ''), '[^A-Za-z0-9_\-]', '_', 'g'), 1, 40) || '_' || substring(sha1(file_path), 1, 8) AS raw_id FROM sources WHERE file_path <> ''",
         "safe_filename": _M + r", n AS (SELECT id, substring(regexp_replace(trim(regexp_replace(coalesce(title, ''), '[^\p{L}\p{N} _.\-]', '_', 'g')), '\s+', '_', 'g'), 1, 120) AS name FROM m) SELECT id, CASE WHEN name = '' THEN 'untitled' ELSE name END AS name FROM n",
         "is_garbled": _C + r" SELECT garbled, count(*) AS n FROM (SELECT CASE WHEN len(w) = 0 THEN true WHEN len(w) < 4 THEN false ELSE len(list_filter(w, lambda x: length(x) <= 2)) / len(w) > 0.35 END AS garbled FROM (SELECT list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM c)) GROUP BY garbled",
-        "is_toc_page": r"SELECT doc_id, true AS toc FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents) WHERE regexp_matches(t, '(?im)table of contents|^contents$') OR (len(ls) > 3 AND len(list_filter(ls, lambda x: regexp_matches(x, '\.{3,}\s*\d+\s*$'))) / len(ls) > 0.3)",
+        "is_toc_page": _marked() + r", typed AS (SELECT body, regexp_matches(body, '(?im)table of contents|^contents$') OR (len(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')) > 3 AND len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '\.{3,}\s*\d+\s*$'))) / len(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')) > 0.3) AS toc FROM pages) SELECT toc, count(*) AS n, sum(length(body))::bigint AS chars FROM typed GROUP BY toc",
         "safety_override": _E + f", n AS (SELECT id, question, {_NORMAL} AS normalised FROM e) SELECT id, {_UNSAFE} AS unsafe FROM n",
         "structural_checks": _C + r" SELECT coalesce(token_count, 0) < 50 AS too_short, len(regexp_extract_all(coalesce(text, ''), '\[\[TABLE_START\]\]')) <> len(regexp_extract_all(coalesce(text, ''), '\[\[TABLE_END\]\]')) AS broken_table, count(*) AS n FROM c GROUP BY 1, 2",
         "licence_left_join": _M + ", l AS (SELECT source_id, max(licence) AS licence FROM sources GROUP BY source_id) SELECT m.id, coalesce(l.licence, '') AS licence FROM m LEFT JOIN l ON l.source_id = m.id",
         "chunk_provenance_join": _C + ", s AS (SELECT source_id, min(title) AS source_title FROM sources GROUP BY source_id) SELECT source_id, source_title, count(*) AS n_chunks FROM c JOIN s USING (source_id) GROUP BY ALL",
-        "rejected_chunks": _C + " SELECT source_id, count(*) AS n_chunks FROM c WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.source_id = c.source_id) GROUP BY source_id",
+        "rejected_chunks": _C + " SELECT count(*) AS n_chunks, count(DISTINCT source_id) AS n_sources FROM c WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.source_id = c.source_id)",
         "resume_antijoin": f"SELECT DISTINCT id FROM download_manifest d WHERE NOT EXISTS (SELECT 1 FROM fetch_log f WHERE f.id = d.id AND {_outcome('f.status')} IN ('success', 'blocked_robots', 'http_404'))",
         "query_grid": f"SELECT crop, country, query FROM (SELECT crop, country, unnest([crop || ' production guide ' || country || ' extension', crop || ' ' || country || ' smallholder farming', crop || ' agro-ecological zone ' || country || ' recommendation']) AS query FROM (SELECT unnest({_list(CROPS)}) AS crop), (SELECT unnest({_list(COUNTRIES)}) AS country))",
         "word_column_range_join": "SELECT CASE WHEN x0 >= 0 AND x0 < 10 THEN 'a' WHEN x0 >= 10 AND x0 < 25.5 THEN 'b' WHEN x0 >= 25.5 AND x0 < 40 THEN 'c' WHEN x0 >= 40 AND x0 < 50 THEN 'd' END AS \"column\", count(*) AS n, max(x0) AS max_x0 FROM (SELECT cast(l_quantity AS double) AS x0 FROM lineitem) GROUP BY 1",
@@ -264,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
         + f"), d AS (SELECT 'crop' AS kind, unnest({_list(CROPS)}) AS name UNION ALL SELECT 'zone', unnest({_list(ZONES)}) UNION ALL SELECT 'fact_table', unnest({_list(TABLE_WORDS)})) SELECT d.kind, d.name, count(f.name) AS n FROM d LEFT JOIN f ON f.kind = d.kind AND f.name = d.name GROUP BY d.kind, d.name",
         "table_crop_matrix": _FLAT + f" SELECT d.name, {crop_cols} FROM (SELECT unnest({_list(TABLE_WORDS)}) AS name) d LEFT JOIN flat f ON f.fact_table = d.name GROUP BY d.name",
         "crop_zone_matrix": _C + f", f AS (SELECT zone, unnest({_CROPS.replace('crops_covered', 'crops')}) AS crop FROM c) SELECT d.name, {zone_cols} FROM (SELECT unnest({_list(CROPS)}) AS name) d LEFT JOIN f ON f.crop = d.name GROUP BY d.name",
-        "hard_gaps": _FLAT + f" SELECT a.crop, b.fact_table FROM (SELECT unnest({_list(CROPS)}) AS crop) a, (SELECT unnest({_list(TABLE_WORDS)}) AS fact_table) b WHERE NOT EXISTS (SELECT 1 FROM flat f WHERE f.crop = a.crop AND f.fact_table = b.fact_table)",
+        "hard_gaps": _FLAT + f" SELECT a.crop, b.fact_table FROM (SELECT unnest({_list([*CROPS, 'millet'])}) AS crop) a, (SELECT unnest({_list(TABLE_WORDS)}) AS fact_table) b WHERE NOT EXISTS (SELECT 1 FROM flat f WHERE f.crop = a.crop AND f.fact_table = b.fact_table)",
         "chunk_stats": _C + " SELECT count(*) AS n, min(token_count) AS least, quantile_cont(token_count, 0.5) AS median, max(token_count) AS most FROM c",
         "crop_chunk_counts": _C + " SELECT crop, count(*) FILTER (contains(lower(coalesce(crops, '')), crop)) AS n FROM c, (SELECT unnest(" + _list(CROPS) + ") AS crop) GROUP BY crop",
         "topic_distribution": _C + " SELECT topic, count(*) AS n FROM c GROUP BY topic",
@@ -329,7 +336,7 @@ SELECT error_type, count(*) AS n, sum(CASE WHEN error_type IS NULL THEN round(ro
         "unit_types": _UNITS + " SELECT kind, count(*) AS n, sum(length(text))::bigint AS chars FROM units GROUP BY kind",
         "pack_context": _packed_context(),
         "split_pages": _PAGES + " SELECT doc_id, page_index, page_no, length(body) AS n_chars FROM pages",
-        "repeated_lines": _PAGES
+        "repeated_lines": _marked()
         + """, totals AS (SELECT doc_id, count(*) AS pages FROM pages GROUP BY doc_id), lines AS (SELECT doc_id, page_index, unnest(list_distinct(list_filter(list_transform(string_split(regexp_replace(body, '(?s)\\[\\[TABLE_START\\]\\].*?\\[\\[TABLE_END\\]\\]', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) > 2))) AS line FROM pages),
 counted AS (SELECT doc_id, line, count(*) AS n_pages FROM lines GROUP BY ALL HAVING count(*) >= 2) SELECT doc_id, line, n_pages FROM counted JOIN totals USING (doc_id) WHERE n_pages / pages > 0.3""",
         "tumbling_windows": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

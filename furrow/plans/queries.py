@@ -19,6 +19,7 @@ from furrow.operators import retrieval as R
 from furrow.operators import vectors as V
 from furrow.operators.latest import latest
 from furrow.operators.ordering import prefix_totals
+from furrow.plans import cases
 from furrow.plans.questions import unsafe
 from furrow.session import cut, spread
 from furrow.streaming.incremental import tumbling_counts
@@ -183,9 +184,14 @@ def is_garbled(spark, sf):
     return _of_chunks(spark, sf, garbled=X.is_garbled("text")).groupBy("garbled").agg(F.count("*").alias("n"))
 
 
+def _with_marked(spark, sf) -> DataFrame:
+    """All documents, and two with what these lack: running heads and contents pages."""
+    return _t(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(cases.MARKED, "doc_id long, text string"))
+
+
 @query
 def is_toc_page(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", X.is_toc_page("text").alias("toc")).where("toc")
+    return D.page_rows(_with_marked(spark, sf)).groupBy(X.is_toc_page("body").alias("toc")).agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
 @query
@@ -217,7 +223,7 @@ def chunk_provenance_join(spark, sf):
 
 @query
 def rejected_chunks(spark, sf):
-    return _chunks(spark, sf, "source_id").join(_t(spark, sf, "sources").select("source_id").distinct(), "source_id", "left_anti").groupBy("source_id").agg(F.count("*").alias("n_chunks"))
+    return _chunks(spark, sf, "source_id").join(_t(spark, sf, "sources").select("source_id").distinct(), "source_id", "left_anti").agg(F.count("*").alias("n_chunks"), F.count_distinct("source_id").alias("n_sources"))
 
 
 @query
@@ -298,7 +304,7 @@ def crop_zone_matrix(spark, sf):
 
 @query
 def hard_gaps(spark, sf):
-    return C.hard_gaps(_manifest(spark, sf, "crops_covered", "sql_tables_likely"), X.crop_list("crops_covered"), X.split_list("sql_tables_likely"), CROPS, list(TABLE_WORDS)).select(F.col("left").alias("crop"), F.col("right").alias("fact_table"))
+    return C.hard_gaps(_manifest(spark, sf, "crops_covered", "sql_tables_likely"), X.crop_list("crops_covered"), X.split_list("sql_tables_likely"), [*CROPS, "millet"], list(TABLE_WORDS)).select(F.col("left").alias("crop"), F.col("right").alias("fact_table"))
 
 
 @query
@@ -327,7 +333,7 @@ def crop_balance(spark, sf):
 
 @query
 def repeated_lines(spark, sf):
-    return D.repeated_lines(D.page_rows(_t(spark, sf, "documents")))
+    return D.repeated_lines(D.page_rows(_with_marked(spark, sf)))
 
 
 @query
