@@ -9,12 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.functions.text import tokenize
-from furrow.operators.vectors import Best
 from furrow.session import cut, scratch, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -76,66 +75,208 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("posts", "stats", "terms")))
 
 
-def _scores(ids: list, kind: pa.DataType, vocabulary: dict[str, int], weights: np.ndarray, avgdl: float, k: int, cells: int):
-    """Scores of the queries ``ids``, the columns of ``weights``, for all documents of a partition; the k best of each query remain."""
-    step = max(1, cells // max(1, len(ids)))
+@dataclass
+class _Block:
+    """Queries scored in one scan of the postings. A query is its base, the words it has in common with many others, and rare words; entry j of a base
+    or of a rare word is one word of it. Words that occur in the same bases equally often share a row of the base weights."""
+
+    words: pa.Array
+    column: np.ndarray  # by word: its column among the words of bases, or -1
+    idf: np.ndarray  # by column
+    row: np.ndarray  # by column: its row of the weights
+    weights: tuple[np.ndarray, np.ndarray, np.ndarray]  # row, base, value
+    base_at: np.ndarray  # by base: where its entries begin
+    base_column: np.ndarray
+    base_weight: np.ndarray
+    rare_at: np.ndarray  # by word: where its entries begin
+    rare_query: np.ndarray
+    rare_weight: np.ndarray
+    base_of: np.ndarray  # by query
+
+
+def _spans(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of each of ``which``, whose entries begin at ``at``: (place in ``which``, entry)."""
+    n = at[which + 1] - at[which]
+    place = np.repeat(np.arange(len(which)), n)
+    return place, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[which][place]
+
+
+def _scan(block: _Block, avgdl: float, k: int, cells: int, first_slot: int):
+    """The k best documents of a partition, for each base and then for each query among the documents with a rare word of it; slots are numbered from
+    ``first_slot``. Bases are scored in single precision against all documents; what may be among the best, by a bound on the error, is scored again."""
+    n_bases, n_columns = len(block.base_at) - 1, len(block.idf)
+    n_rows, n_slots = int(block.row.max(initial=-1)) + 1, n_bases + len(block.base_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, key_kind = Best(k), None
+        weights = np.zeros((n_rows, n_bases), np.float32)
+        weights[block.weights[0], block.weights[1]] = block.weights[2]
+        owner = np.repeat(np.arange(n_bases), np.diff(block.base_at))
+        margin = (n_rows + 8) * 2.0**-23 * (K1 + 1) * np.bincount(owner, np.abs(block.base_weight), n_bases) + 1e-8
+        low = np.where(np.bincount(owner, block.base_weight < 0, n_bases) > 0, -margin, 0.0)  # what does not score above this is not among the best
+        best, item, names, kind, begun = np.full((n_slots, k), -np.inf), np.full((n_slots, k), -1), None, None, False
+
+        def exact(columns: np.ndarray, doc: np.ndarray, base: np.ndarray) -> np.ndarray:
+            out, ends = np.zeros(len(doc)), np.cumsum(block.base_at[base + 1] - block.base_at[base])
+            lo = 0
+            while lo < len(doc):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + cells // 4, "right")))
+                place, entry = _spans(block.base_at, base[lo:hi])
+                out[lo:hi] = np.bincount(place, columns[doc[lo:hi][place], block.base_column[entry]] * block.base_weight[entry], hi - lo)
+                lo = hi
+            return out
+
+        def keep(slot: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+            score = np.round(score, 9)
+            slot, doc, score = (x[score > 0] for x in (slot, doc, score))
+            own = np.unique(slot)
+            was = item[own] >= 0
+            slot, doc, score = np.r_[np.repeat(own, was.sum(1)), slot], np.r_[item[own][was], doc], np.r_[best[own][was], score]
+            order = np.lexsort((names[doc], -score, slot))
+            slot, doc, score = slot[order], doc[order], score[order]
+            at = np.arange(len(slot)) - np.searchsorted(slot, slot)
+            top = at < k
+            best[slot[top], at[top]], item[slot[top], at[top]] = score[top], doc[top]
+            own = own[own < n_bases]
+            low[own] = np.maximum(low[own], best[own, k - 1] - margin[own])
+
         for whole in batches:
-            key_kind = whole.schema.field(0).type
-            for low in range(0, whole.num_rows, step):
-                batch = whole.slice(low, step)
-                scores = np.zeros((batch.num_rows, len(ids)))
-                for n, (dl, terms, tfs) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
-                    hit = [(v, tf) for t, tf in zip(terms, tfs, strict=True) if (v := vocabulary.get(t)) is not None]
-                    if hit:
-                        at, tf = np.array(hit).T
-                        scores[n] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))) @ weights[at]
-                scores = np.round(scores, 9)
-                scores[scores <= 0] = -np.inf
-                best.add(scores, np.array(batch.column(0).to_pylist()))
-        q, items, s = best.rows()
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), pa.array(items.tolist(), key_kind), pa.array(s)], ["query_id", "key", "score"])
+            kind, before = whole.schema.field(0).type, 0 if names is None else len(names)
+            new = np.array(whole.column(0).to_pylist())
+            names = new if names is None else np.r_[names, new]
+            lists = whole.column(2)
+            word = pc.index_in(terms := lists.flatten(), block.words.cast(terms.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(whole.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            tf, dl = (c.to_numpy(zero_copy_only=False) for c in (whole.column(3).flatten(), whole.column(1)))
+            doc, word, tf = doc[word >= 0], word[word >= 0], tf[word >= 0]
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+            step = max(1, cells // max(1, n_bases, n_columns))
+            for start in range(0, whole.num_rows, step):
+                size = min(step, whole.num_rows - start)
+                a, z = np.searchsorted(doc, [start, start + size])
+                d, w, x = doc[a:z] - start, word[a:z], part[a:z]
+                c = block.column[w]
+                common = c >= 0
+                columns = np.zeros((size, n_columns))
+                columns[d[common], c[common]] = x[common]
+                rows = np.bincount(d[common] * n_rows + block.row[c[common]], x[common] * block.idf[c[common]], size * n_rows).reshape(size, n_rows)
+                scores = rows.astype(np.float32) @ weights
+                if not begun and size >= k:  # no need to score all of the first documents twice
+                    low, begun = np.maximum(low, np.partition(scores, size - k, axis=0)[size - k] - 2 * margin), True
+                i, g = np.nonzero(scores > low.astype(np.float32))
+                if len(i):
+                    keep(g, i + before + start, exact(columns, i, g))
+                place, entry = _spans(block.rare_at, w)
+                if len(place):
+                    pair, back = np.unique(d[place] * len(block.base_of) + block.rare_query[entry], return_inverse=True)
+                    more = np.bincount(back, x[place] * block.rare_weight[entry])
+                    i, q = pair // len(block.base_of), pair % len(block.base_of)
+                    g = block.base_of[q]
+                    near = scores[i, g] + more > np.maximum(low[g], best[n_bases + q, k - 1] - margin[g])
+                    i, q, g, more = i[near], q[near], g[near], more[near]
+                    keep(n_bases + q, i + before + start, exact(columns, i, g) + more)
+        slot, n = np.nonzero(item >= 0)
+        if len(slot):
+            yield pa.RecordBatch.from_arrays([pa.array(slot + first_slot), pa.array(names[item[slot, n]].tolist(), kind), pa.array(best[slot, n])], ["slot", "key", "score"])
 
     return run
 
 
-def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query", most: int = 1000, cells: int = 4_000_000) -> DataFrame:
+# Measured: scoring a document again for a query with a rare word of it takes as long as scoring so many bases against it.
+PAIR_COST = 30
+
+
+def _blocks(lists: pa.ListArray, n_docs: int, cells: int) -> Iterator[tuple[np.ndarray, _Block]]:
+    """Blocks of the queries whose words (term, qtf, df, idf) are given, each with its queries' numbers."""
+    entries = lists.flatten()
+    query = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = pc.dictionary_encode(entries.field("term"))
+    word, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    qtf, df, idf = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("qtf", "df", "idf"))
+    of_word = np.zeros(len(vocabulary))
+    of_word[word] = idf
+    # Any limit between rare and common words gives the same result; that of the least work is taken. Rare words must not lower a score.
+    marks = np.random.default_rng(0).integers(0, 2**63, len(vocabulary), np.uint64)[word] * qtf.astype(np.uint64)
+
+    def work(limit: int) -> int:
+        common, sums = (df > limit) | (idf < 0), np.zeros(len(lists), np.uint64)
+        np.add.at(sums, query[common], marks[common])
+        return PAIR_COST * int(df[~common].sum()) + n_docs * len(np.unique(sums))
+
+    limit = min([0, *(2**i for i in range(2, max(3, n_docs.bit_length())))], key=work)
+    common = (df > limit) | (idf < 0)
+    q, w, n = query[common], word[common], qtf[common]
+    ends = np.searchsorted(q, np.arange(len(lists) + 1))
+    known: dict[bytes, int] = {}
+    base_of = np.array([known.setdefault(w[a:z].tobytes() + n[a:z].tobytes(), len(known)) for a, z in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+    _, like = np.unique(base_of, return_index=True)  # a query of each base
+    place, entry = _spans(ends, like)
+    height = 1
+    by = np.lexsort((place, w[entry]))
+    if len(by):
+        height = len(np.unique(w[entry]))
+    width = max(1, cells // height)
+    if height > 1 and len(like) > width:  # rows that are shared leave room for more bases
+        width = max(width, cells // len(np.unique(_patterns(w[entry][by], place[by], n[entry][by])[1])))
+    for first in range(0, len(like), width):
+        mine = np.flatnonzero((base_of >= first) & (base_of < first + width))
+        place, entry = _spans(ends, like[first : first + width])
+        by = np.lexsort((place, w[entry]))
+        columns, row = _patterns(w[entry][by], place[by], n[entry][by])
+        column = np.full(len(vocabulary), -1)
+        column[columns] = np.arange(len(columns))
+        at = np.r_[0, np.cumsum(np.bincount(place, minlength=min(width, len(like) - first)))]
+        number = np.full(len(lists), -1)
+        number[mine] = np.arange(len(mine))
+        rare = np.flatnonzero(~common & (number[query] >= 0))
+        rare = rare[np.argsort(word[rare], kind="stable")]
+        yield mine, _Block(
+            vocabulary, column, of_word[columns], row, (row[column[w[entry]]], place, n[entry]), at, column[w[entry]], n[entry] * of_word[w[entry]],
+            np.r_[0, np.cumsum(np.bincount(word[rare], minlength=len(vocabulary)))], number[query[rare]], qtf[rare] * idf[rare], base_of[mine] - first,
+        )
+
+
+def _patterns(word: np.ndarray, base: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, in order, and for each the number of its pattern: the bases that hold it, and how often. Entries are in order of words and bases."""
+    words, starts = np.unique(word, return_index=True)
+    known: dict[bytes, int] = {}
+    return words, np.array([known.setdefault(base[a:z].tobytes() + n[a:z].tobytes(), len(known)) for a, z in zip(starts, [*starts[1:], len(word)], strict=True)], np.int64)
+
+
+def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query", most: int = 200_000, cells: int = 4_000_000) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query with a positive score. Query terms count as often as they are
     repeated. Ties go to the smaller key.
 
-    Queries are a stated set. They are taken in blocks of about ``most``, and so that their weights fill at most about ``cells`` cells; for each block
-    the documents' term counts are scanned once, each document is scored against all queries of the block where it lies, and only
-    k rows per query and partition are shuffled. Nothing grows with the product of queries, terms and documents but arithmetic.
+    Queries are taken in blocks of about ``most``, and so that their weights fill at most about ``cells`` cells; for each block the documents' term
+    counts are scanned once, each document is scored where it lies, and only k rows per slot and partition are shuffled.
+
+    Questions are alike but for a few rare words, such as names. A query's score is that of its common words, its *base*, plus that of its
+    rare ones, which is never negative. So its best documents are among the best of its base and those that hold a rare word of it: each base is scored once against
+    all documents, however many queries share it, and rare words are looked up from the documents that hold them.
     """
     spark = queries.sparkSession
-    kind = dict(queries.dtypes)[query_key]
-    schema = f"query_id {kind}, key {dict(index.posts.dtypes)[key]}, score double"
+    kind, key_kind = dict(queries.dtypes)[query_key], dict(index.posts.dtypes)[key]
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = cut(asked.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    known = asked.join(index.terms.select("term", "df", "idf"), "term")
+    weighted = cut(known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf", "df", "idf"))).alias("words")))
     told = index.stats.first()
-    near = spark.createDataFrame([], schema)
-    blocks = max(1, -(-queries.count() // most))
-    arrow = to_arrow_type(queries.schema[query_key].dataType)
+    near, members = spark.createDataFrame([], f"slot long, key {key_kind}, score double"), spark.createDataFrame([], f"slot long, query_id {kind}")
+    posts, slots = index.posts.select(F.col(key).alias("key"), "dl", "terms", "tfs"), 0
+    blocks = max(1, -(-weighted.count() // max(1, min(most, cells // k))))
     for b in range(blocks if told and told.avgdl else 0):
-        per: dict = {}
-        for r in weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():
-            per.setdefault(r.query_id, {})[r.term] = r.w
-        ids = list(per)
-        vocabulary = {t: n for n, t in enumerate(dict.fromkeys(t for x in per.values() for t in x))}
-        width = max(1, cells // max(1, len(vocabulary)))
-        for low in range(0, len(ids), width):
-            part = ids[low : low + width]
-            own = {t: n for n, t in enumerate(dict.fromkeys(t for i in part for t in per[i]))}
-            weights = np.zeros((len(own), len(part)))
-            for col, i in enumerate(part):
-                for t, w in per[i].items():
-                    weights[own[t], col] = w
-            near = near.unionByName(index.posts.select(F.col(key).alias("key"), "dl", "terms", "tfs").mapInArrow(_scores(part, arrow, own, weights, told.avgdl, k, cells), schema))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if not rows.num_rows:
+            continue
+        for mine, block in _blocks(rows.column("words").combine_chunks(), told.n_docs, cells):
+            near = near.unionByName(posts.mapInArrow(_scan(block, told.avgdl, k, cells, slots), near.schema))
+            n_bases = len(block.base_at) - 1
+            slot = np.r_[slots + block.base_of, slots + n_bases + np.arange(len(mine))]
+            table = pa.table({"slot": slot, "query_id": rows.column("query_id").take(pa.array(np.r_[mine, mine]))})
+            members = members.unionByName(spark.createDataFrame(table, members.schema))
+            slots += n_bases + len(mine)
+    order = lambda of: Window.partitionBy(of).orderBy(F.desc("score"), "key")
+    best = near.withColumn("rank", F.row_number().over(order("slot"))).where(F.col("rank") <= k)
+    per = best.join(members, "slot").repartition("query_id").groupBy("query_id", "key").agg(F.max("score").alias("score"))
+    ranked = per.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 

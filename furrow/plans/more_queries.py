@@ -17,7 +17,7 @@ from furrow.operators import retrieval as R
 from furrow.plans import cases
 from furrow.plans.queries import _chunks, _manifest, _results, _t, query
 from furrow.plans.questions import answer, crop_facts, question_crop
-from furrow.session import spread
+from furrow.session import cut, spread
 from furrow.sources import files
 
 # --- sources ------------------------------------------------------------------------------------------------------------------
@@ -236,7 +236,11 @@ def nearest_place(spark, sf):
 
 
 def _crop_facts(spark, sf) -> DataFrame:
-    pests = E.extract(_t(spark, sf, "documents").withColumn("about", X.crop_list("crop")), "pest", crops="about")
+    # only pests with symptoms count: texts, then matches, without the word are left out before the work on them
+    told = lambda c: F.lower(c).contains("symptom")
+    docs = _t(spark, sf, "documents").where(told("text")).withColumn("about", X.crop_list("crop"))
+    found = E.matches(docs, E.PATTERNS["pest"], crops="about").where(told(F.substring("around", F.col("at") + 1, F.lit(E.WINDOW))))
+    pests = E.facts_of(found, "pest")
     return crop_facts(K.seed_table(spark, "calc_spacing"), K.seed_table(spark, "calc_fertilizer_rate"), pests)
 
 
@@ -276,10 +280,10 @@ def tool_results(spark, sf):
 
 
 def _passages(spark, sf):
-    """Passages for questions: the four best current chunks by words, packed. The index is built once."""
-    chunks = _chunks(spark, sf, "source_id", "text").select("chunk_id", "source_id", "text")
+    """Passages for questions: the four best current chunks by words, packed. The current chunks are found, and the index is built, once."""
 
     def passages(questions: DataFrame) -> DataFrame:
+        chunks = cut(_chunks(spark, sf, "source_id", "text").select("chunk_id", "source_id", "text"))
         hits = R.bm25_search(chunks, questions, 4, key="chunk_id")
         return R.pack_context(hits.join(chunks, "chunk_id"), key="chunk_id", queries=questions)
 

@@ -97,7 +97,7 @@ def answer(questions: DataFrame, facts: DataFrame, passages: Callable[[DataFrame
         none = F.array().cast("array<string>")
         of = lambda t: rows.where((F.col("tier") == t) & ~F.col("refused"))
         d = rows.where("refused").select("id", "tier", "refused", F.lit(REFUSAL).alias("answer"), none.alias("source_ids"))
-        known = bounded(facts.select(F.col("crop").alias("_crop"), "facts", F.col("source_ids").alias("_src")))
+        known = bounded(cut(facts.select(F.col("crop").alias("_crop"), "facts", F.col("source_ids").alias("_src"))))
         asked = of("A").withColumn("crop", question_crop(F.col("question")))
         told = F.coalesce("facts", F.format_string(NO_FACT, F.col("crop")))
         a = asked.join(known, F.col("crop") == F.col("_crop"), "left").select("id", "tier", "refused", generator(F.col("question"), told).alias("answer"), F.coalesce("_src", none).alias("source_ids"))

@@ -16,7 +16,9 @@ from furrow.operators import retrieval as R
 from furrow.operators import vectors as V
 from furrow.operators.latest import latest
 from furrow.operators.ordering import prefix_totals
+from furrow.plans import more_queries as M
 from furrow.plans import queries as Q
+from furrow.plans.questions import crop_facts
 from furrow.sources import files
 from furrow.streaming.incremental import run_new
 
@@ -241,6 +243,46 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) != []
 
 
+def test_many_questions_alike_are_searched_in_one_scan(spark):
+    rng = random.Random(7)
+    words, names = [f"w{i}" for i in range(25)], [f"n{i}" for i in range(150)]
+    docs = [(f"d{i:03}", " ".join([rng.choice(words[: rng.randint(1, 25)]) for _ in range(rng.randint(0, 30))] + rng.sample(names, rng.randint(0, 2)))) for i in range(200)]
+    docs += [(f"c{i:03}", t) for i, (_, t) in enumerate(docs[:60])]  # ties
+    forms = ["w1 w2 w2 w7 %s", "W3 w5 w24 %s here", "%s", "w0 w1", "w9 %s w9 n1 n1", "none"]
+    asked = [(i, f % rng.choice(names) if "%" in f else f) for i in range(3000) for f in [rng.choice(forms)]] + [(3000, None)]
+    index = R.build_index(spark.createDataFrame(docs, "doc_id string, text string").repartition(3))
+    found = R.search_index(index, spark.createDataFrame(asked, "query_id int, query string"), 4)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # was a scan for every 1,000 questions, each scored against all documents
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    terms = {d: t.split() for d, t in docs}
+    stats = {r.term: r.idf for r in index.terms.collect()}
+    mean = sum(map(len, terms.values())) / len(docs)
+    want: dict = {}
+    for text in {t for _, t in asked}:
+        hits = []
+        for d, ts in terms.items():
+            tf = lambda t: ts.count(t)  # noqa: B023, E731
+            score = sum(stats[t] * tf(t) * 2.5 / (tf(t) + 1.5 * (0.25 + 0.75 * len(ts) / mean)) for t in (text or "").lower().split() if t in stats)
+            hits += [(-round(score, 9), d)] if score > 0 else []
+        want[text] = [d for _, d in sorted(hits)[:4]]
+    assert all([got.get(i, {})[n][0] for n in range(1, len(got.get(i, {})) + 1)] == want[t] for i, t in asked)
+    whole, parts = found.where("query_id < 40").collect(), R.search_index(index, spark.createDataFrame(asked[:40], "query_id int, query string"), 4, most=20, cells=200).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) != []
+
+
+def test_facts_of_a_crop_hold_all_pests_with_symptoms(spark, tmp_path):
+    sign = "Maize Stem borer. %s: holes in the whorl and yellow leaves all over.\n\nYam Leaf beetle is seen."
+    texts = [(1, sign % "SYMPTOMS", "maize"), (2, "Cassava Brown rot. None are told.", "cassava"), (3, sign % "Symptom", None), (4, None, "yam"), (5, "Symptoms of hunger. " + "x " * 500 + "Rice Leaf blast and Rice Neck rot", "rice")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, crop string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pests = E.extract(docs.withColumn("about", X.crop_list("crop")), "pest", crops="about")
+    want = sorted(map(tuple, crop_facts(K.seed_table(spark, "calc_spacing"), K.seed_table(spark, "calc_fertilizer_rate"), pests).collect()))
+    assert sorted(map(tuple, M._crop_facts(spark, str(tmp_path)).collect())) == want
+    assert any("holes in the whorl" in facts and facts.count("Source: 1") and "Source: 3" in facts for _, facts, _ in want)
+
+
 def test_dense_topk_equals_brute_force(spark):
     import numpy as np
 
