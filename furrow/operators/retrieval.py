@@ -188,9 +188,9 @@ PAIR_COST = 30
 def _blocks(lists: pa.ListArray, n_docs: int, cells: int) -> Iterator[tuple[np.ndarray, _Block]]:
     """Blocks of the queries whose words (term, qtf, df, idf) are given, each with its queries' numbers."""
     entries = lists.flatten()
-    query = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    query = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(entries.field("term"))
-    word, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    word, vocabulary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     qtf, df, idf = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("qtf", "df", "idf"))
     of_word = np.zeros(len(vocabulary))
     of_word[word] = idf
@@ -200,9 +200,10 @@ def _blocks(lists: pa.ListArray, n_docs: int, cells: int) -> Iterator[tuple[np.n
     def work(limit: int) -> int:
         common, sums = (df > limit) | (idf < 0), np.zeros(len(lists), np.uint64)
         np.add.at(sums, query[common], marks[common])
-        return PAIR_COST * int(df[~common].sum()) + n_docs * len(np.unique(sums))
+        return PAIR_COST * int(df[~common].sum(dtype=np.int64)) + n_docs * len(np.unique(sums))
 
     limit = min([0, *(2**i for i in range(2, max(3, n_docs.bit_length())))], key=work)
+    del marks
     common = (df > limit) | (idf < 0)
     q, w, n = query[common], word[common], qtf[common]
     ends = np.searchsorted(q, np.arange(len(lists) + 1))
@@ -210,13 +211,8 @@ def _blocks(lists: pa.ListArray, n_docs: int, cells: int) -> Iterator[tuple[np.n
     base_of = np.array([known.setdefault(w[a:z].tobytes() + n[a:z].tobytes(), len(known)) for a, z in zip(ends[:-1], ends[1:], strict=True)], np.int64)
     _, like = np.unique(base_of, return_index=True)  # a query of each base
     place, entry = _spans(ends, like)
-    height = 1
     by = np.lexsort((place, w[entry]))
-    if len(by):
-        height = len(np.unique(w[entry]))
-    width = max(1, cells // height)
-    if height > 1 and len(like) > width:  # rows that are shared leave room for more bases
-        width = max(width, cells // len(np.unique(_patterns(w[entry][by], place[by], n[entry][by])[1])))
+    width = max(1, cells // max(1, len(set(_patterns(w[entry][by], place[by], n[entry][by])[1].tolist()))))
     for first in range(0, len(like), width):
         mine = np.flatnonzero((base_of >= first) & (base_of < first + width))
         place, entry = _spans(ends, like[first : first + width])
@@ -242,7 +238,7 @@ def _patterns(word: np.ndarray, base: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return words, np.array([known.setdefault(base[a:z].tobytes() + n[a:z].tobytes(), len(known)) for a, z in zip(starts, [*starts[1:], len(word)], strict=True)], np.int64)
 
 
-def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query", most: int = 200_000, cells: int = 4_000_000) -> DataFrame:
+def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query_text: str = "query", most: int = 100_000, cells: int = 4_000_000) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query with a positive score. Query terms count as often as they are
     repeated. Ties go to the smaller key.
 
@@ -257,7 +253,7 @@ def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id",
     kind, key_kind = dict(queries.dtypes)[query_key], dict(index.posts.dtypes)[key]
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     known = asked.join(index.terms.select("term", "df", "idf"), "term")
-    weighted = cut(known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf", "df", "idf"))).alias("words")))
+    weighted = cut(known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", F.col("qtf").cast("int").alias("qtf"), F.col("df").cast("int").alias("df"), "idf"))).alias("words")))
     told = index.stats.first()
     near, members = spark.createDataFrame([], f"slot long, key {key_kind}, score double"), spark.createDataFrame([], f"slot long, query_id {kind}")
     posts, slots = index.posts.select(F.col(key).alias("key"), "dl", "terms", "tfs"), 0
@@ -266,11 +262,13 @@ def search_index(index: Index, queries: DataFrame, k: int, key: str = "doc_id",
         rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         if not rows.num_rows:
             continue
-        for mine, block in _blocks(rows.column("words").combine_chunks(), told.n_docs, cells):
+        ids, words = rows.column("query_id"), rows.column("words").combine_chunks()
+        del rows
+        for mine, block in _blocks(words, told.n_docs, cells):
             near = near.unionByName(posts.mapInArrow(_scan(block, told.avgdl, k, cells, slots), near.schema))
             n_bases = len(block.base_at) - 1
             slot = np.r_[slots + block.base_of, slots + n_bases + np.arange(len(mine))]
-            table = pa.table({"slot": slot, "query_id": rows.column("query_id").take(pa.array(np.r_[mine, mine]))})
+            table = pa.table({"slot": slot, "query_id": ids.take(pa.array(np.r_[mine, mine]))})
             members = members.unionByName(spark.createDataFrame(table, members.schema))
             slots += n_bases + len(mine)
     order = lambda of: Window.partitionBy(of).orderBy(F.desc("score"), "key")
